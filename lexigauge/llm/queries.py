@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from .base import LOWER, UPPER, table
 from .exact_dedup import exact_dedup
+from .minmax import near_duplicates
 
 
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents")).drop("tkey")
 
 
+def op9_minmax_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80).drop("tkey")
+
+
 QUERIES = {
+    "op9_minmax_dedup": op9_minmax_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
