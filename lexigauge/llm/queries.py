@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from .base import LOWER, UPPER, table
+from pyspark.sql import functions as F
+
+from . import langid, quality, secrets, toxicity
+from .base import LOWER, UPPER, crc_mod, table
 from .exact_dedup import exact_dedup
 from .minmax import near_duplicates
 
@@ -11,11 +14,34 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents")).drop("tkey")
 
 
+def op2_langid(spark, sf_dir):
+    return langid.learn_and_identify(table(spark, sf_dir, "documents"), folds=4, held=2)
+
+
+def op4_secrets(spark, sf_dir):
+    return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+def op5_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), where=crc_mod(F.col("doc_id"), 3) != 1)
+    return quality.quality(docs, model, folds=3, held=1)
+
+
+def op8_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.severity(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).drop("tkey")
+
+
 def op9_minmax_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80).drop("tkey")
 
 
 QUERIES = {
+    "op2_langid": op2_langid,
+    "op4_secrets": op4_secrets,
+    "op5_quality": op5_quality,
+    "op8_toxicity": op8_toxicity,
     "op9_minmax_dedup": op9_minmax_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
