@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, quality, secrets, toxicity
+from . import decontam, langid, pages, quality, secrets, toxicity
 from .base import LOWER, UPPER, crc_mod, table
 from .exact_dedup import exact_dedup
 from .minmax import near_duplicates
@@ -14,6 +14,10 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents")).drop("tkey")
 
 
+def op1_main_text(spark, sf_dir):
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_langid(spark, sf_dir):
     return langid.learn_and_identify(table(spark, sf_dir, "documents"), folds=4, held=2)
 
@@ -28,6 +32,10 @@ def op5_quality(spark, sf_dir):
     return quality.quality(docs, model, folds=3, held=1)
 
 
+def op7_decontam(spark, sf_dir):
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tkey")
+
+
 def op8_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.severity(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).drop("tkey")
@@ -38,9 +46,11 @@ def op9_minmax_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_main_text": op1_main_text,
     "op2_langid": op2_langid,
     "op4_secrets": op4_secrets,
     "op5_quality": op5_quality,
+    "op7_decontam": op7_decontam,
     "op8_toxicity": op8_toxicity,
     "op9_minmax_dedup": op9_minmax_dedup,
     "op10_exact_dedup": op10_exact_dedup,
