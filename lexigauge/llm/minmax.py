@@ -11,7 +11,8 @@ probability 1 - (1 - s**rows)**bands: 0.99999 at 0.8 for the defaults.
    keys. Documents with one digest are one class; only classes go on, so a
    group of copies costs one row.
 2. In each bucket every class is compared with the bucket's smallest, a star in
-   place of all pairs. Full sets are compared, not signatures.
+   place of all pairs. Full sets are compared, not signatures. The first
+   bands go first; in the others only classes that are still apart are compared.
 3. Classes of one bucket that are still in different components are compared
    too. Large groups of near copies are one component by then, and what is left
    is small; the join is on the bucket key, which adaptive execution splits.
@@ -36,6 +37,7 @@ from .base import keep_rows, materialise, text_key
 from .graph import components
 
 PERMS, ROWS, BANDS = 168, 7, 48
+FIRST_BANDS = 4
 WORDS_CACHED = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _cache: dict[bytes, int] = {}
@@ -73,10 +75,12 @@ def _lanes(seed: int, perms: int) -> tuple[np.ndarray, np.ndarray]:
 def band_keys(s: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int, bands: int) -> np.ndarray:
     """Keys of the bands of a non-empty set; each permutation gives its minimum and its maximum."""
     x = (s >> np.uint64(32)).astype(np.uint32) ^ (s & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    lo, hi = np.empty(len(a), np.uint32), np.empty(len(a), np.uint32)
-    for i in range(len(a)):
-        y = x * a[i] + b[i]
-        lo[i], hi[i] = y.min(), y.max()
+    lo, hi = np.full(len(a), 2**32 - 1, np.uint32), np.zeros(len(a), np.uint32)
+    for i in range(0, len(x), 512):  # a block of hashes at a time stays in the cache
+        y = a[:, None] * x[None, i : i + 512]
+        y += b[:, None]
+        np.minimum(lo, y.min(1), out=lo)
+        np.maximum(hi, y.max(1), out=hi)
     v = np.stack([lo, hi], 1).reshape(-1)[: rows * bands].astype(np.uint64).reshape(bands, rows)
     key = np.arange(1, bands + 1, dtype=np.uint64) * _MIX
     for j in range(rows):
@@ -105,10 +109,9 @@ def signatures(docs: DataFrame, k: int, perms: int, rows: int, bands: int, seed:
     return docs.mapInArrow(run, "doc_id long, tkey long, n long, node long, keys array<long>")
 
 
-def class_sets(docs: DataFrame, sig: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, n, s): the full sets of the classes in ``nodes``, each from one of its documents."""
-    one = sig.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "tkey")).alias("d"))
-    one = one.select("node", F.col("d.doc_id").alias("__i"), F.col("d.tkey").alias("__k"))
+def class_sets(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(node, n, s): the full set of each class, from the document (doc_id, tkey) that stands for it."""
+    one = classes.select("node", F.col("doc_id").alias("__i"), F.col("tkey").alias("__k"))
     d = docs.join(one, (docs["doc_id"] == one["__i"]) & (docs["tkey"] == one["__k"])).select("node", "text")
 
     def run(batches):
@@ -137,27 +140,36 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, perms: int =
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("tkey"), F.col(text_col).alias("text"))
     sig = materialise(signatures(docs, k, perms, rows, bands, seed), "signatures")
     known = sig.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = known.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    rowsets = classes.select("node", "n", F.explode("keys").alias("key"))
+    classes = known.groupBy("node").agg(F.min(F.struct("doc_id", "tkey")).alias("d"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    classes = materialise(classes.select("node", "d.doc_id", "d.tkey", "n", "keys"), "classes")
+    rowsets = classes.select("node", "n", F.posexplode("keys").alias("band", "key"))
     shared = rowsets.groupBy("key").agg(F.min("node").alias("c"), F.max("node").alias("z")).filter("c <> z").select("key", "c")
     members = materialise(rowsets.join(shared, "key"), "members")
     fits = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * percent)  # noqa: E731  sizes too far apart can't be similar
-    size = members.select(F.col("node").alias("c"), F.col("n").alias("m")).distinct()
-    stars = members.filter("node <> c").select("c", "node", "n").distinct().join(size, "c").filter(fits(F.col("n"), F.col("m")))
-    stars = materialise(stars.select(F.col("c").alias("a"), F.col("node").alias("b")), "stars")
-    sets = materialise(class_sets(docs, known.select("node", "doc_id", "tkey"), members.select("node").distinct(), k), "sets")
-    links = materialise(confirmed(stars, sets, percent), "links")
-    comp = components(links)
+    sets = materialise(class_sets(docs, classes.join(members.select("node").distinct(), "node", "left_semi"), k), "sets")
+    size = classes.select(F.col("node").alias("c"), F.col("n").alias("m"))
+    links = comp = tried = None
+    for most in (FIRST_BANDS, bands):  # a few bands join most near copies, so the others need few comparisons
+        stars = members.filter((F.col("band") < most) & (F.col("node") != F.col("c"))).select("c", "node", "n").distinct()
+        if comp is not None:
+            mine, its = comp.select("node", F.col("label").alias("l1")), comp.select(F.col("node").alias("c"), F.col("label").alias("l2"))
+            stars = stars.join(mine, "node", "left").join(its, "c", "left").filter(F.coalesce("l1", "node") != F.coalesce("l2", "c"))
+        stars = stars.join(size, "c").filter(fits(F.col("n"), F.col("m"))).select(F.col("c").alias("a"), F.col("node").alias("b"))
+        stars = materialise(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), "stars")
+        tried = stars if tried is None else tried.union(stars)
+        found = materialise(confirmed(stars, sets, percent), "links")
+        links = found if links is None else links.union(found)
+        comp = components(links)
     m = members.select("key", "node", "n").join(comp, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_ = m.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     m = materialise(m.join(open_, "key", "left_semi"), "open")
     p, q = m.select("key", *[F.col(c).alias(f"{c}1") for c in ("node", "n", "label")]), m.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "label")])
     rest = p.join(q, "key").filter((F.col("node1") < F.col("node2")) & (F.col("label1") != F.col("label2")) & fits(F.col("n1"), F.col("n2")))
-    rest = rest.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    rest = rest.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = materialise(confirmed(rest, sets, percent), "links")
     if not more.isEmpty():
         comp = components(links.union(more))
-    firsts = known.groupBy("node").agg(F.min("doc_id").alias("first")).join(comp, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    firsts = classes.select("node", F.col("doc_id").alias("first")).join(comp, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = firsts.groupBy("label").agg(F.min("first").alias("component"))
     named = firsts.join(least, "label").select("node", "component")
     out = sig.select("doc_id", "tkey", "n", "node").join(named, "node", "left")
