@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, langid, pages, quality, secrets, toxicity
+from . import decontam, langid, pages, pieces, pii, quality, secrets, toxicity
 from .base import LOWER, UPPER, crc_mod, table
 from .exact_dedup import exact_dedup
 from .minmax import near_duplicates
@@ -22,6 +22,10 @@ def op2_langid(spark, sf_dir):
     return langid.learn_and_identify(table(spark, sf_dir, "documents"), folds=4, held=2)
 
 
+def op3_pii_surrogates(spark, sf_dir):
+    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark, sf_dir):
     return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -32,6 +36,10 @@ def op5_quality(spark, sf_dir):
     return quality.quality(docs, model, folds=3, held=1)
 
 
+def op6_pieces(spark, sf_dir):
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
 def op7_decontam(spark, sf_dir):
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tkey")
 
@@ -48,8 +56,10 @@ def op9_minmax_dedup(spark, sf_dir):
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_langid": op2_langid,
+    "op3_pii_surrogates": op3_pii_surrogates,
     "op4_secrets": op4_secrets,
     "op5_quality": op5_quality,
+    "op6_pieces": op6_pieces,
     "op7_decontam": op7_decontam,
     "op8_toxicity": op8_toxicity,
     "op9_minmax_dedup": op9_minmax_dedup,
