@@ -14,8 +14,8 @@ probability 1 - (1 - s**rows)**bands: 0.99999 at 0.8 for the defaults.
    place of all pairs. Full sets are compared, not signatures. The first
    bands go first; in the others only classes that are still apart are compared.
 3. Classes of one bucket that are still in different components are compared
-   too. Large groups of near copies are one component by then, and what is left
-   is small; the join is on the bucket key, which adaptive execution splits.
+   too, all of them, in blocks of bounded size; only links that join components
+   are emitted, never pairs.
 4. The links make components; each component gets its smallest doc_id.
 
 Texts are read twice and moved once, for the classes that share a bucket.
@@ -38,6 +38,7 @@ from .graph import components
 
 PERMS, ROWS, BANDS = 168, 7, 48
 FIRST_BANDS = 4
+BLOCK = 512
 WORDS_CACHED = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _cache: dict[bytes, int] = {}
@@ -132,6 +133,81 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(same * 100 >= (F.size("sa") + F.size("sb") - same) * percent).select("a", "b")
 
 
+def _joined(node: np.ndarray, label: np.ndarray, side: np.ndarray, off: np.ndarray, flat: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between different components among the rows of one block pair; no more than join them."""
+    m, sizes = len(node), np.diff(off)
+    _, inv, count = np.unique(flat, return_inverse=True, return_counts=True)
+    own, many = np.repeat(np.arange(m), sizes), count[inv] > 1
+    _, inv = np.unique(inv[many], return_inverse=True)
+    own, order = own[many], np.argsort(inv, kind="stable")
+    inv, own, same = inv[order], own[order], np.zeros((m, m), np.float32)
+    for at in range(0, int(inv[-1]) + 1 if len(inv) else 0, 4096):
+        lo, hi = np.searchsorted(inv, [at, at + 4096])
+        block = np.zeros((m, 4096), np.float32)
+        block[own[lo:hi], inv[lo:hi] - at] = 1
+        same += block @ block.T
+    ok = same * 100 >= percent * (sizes[:, None] + sizes[None, :] - same)
+    ok &= label[:, None] != label[None, :]
+    if side.min() != side.max():
+        ok &= side[:, None] != side[None, :]
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.get(x, x) != x:
+            x = up[x] = up.get(up[x], up[x])
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(ok, 1))):
+        x, y = top(int(label[i])), top(int(label[j]))
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            out.append((int(node[i]), int(node[j])))
+    return out
+
+
+def open_links(members: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): links between components within a bucket; ``members``: (key, node, label).
+
+    Large buckets are dealt into blocks, and every pair of blocks is one piece
+    of work of bounded size. Pairs aren't emitted: intersections come from
+    products of membership matrices, and only links that join components leave.
+    """
+    nb = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
+    m = members.join(nb, "key").withColumn("side", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least("side", j).alias("lo"), F.greatest("side", j).alias("hi")))
+    m = m.select("key", "node", "label", "side", F.explode(pairs).alias("p")).select("key", "p.lo", "p.hi", "node", "label", "side")
+    m = m.join(sets.select("node", "s"), "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+
+    def groups(batches):
+        kept, now = [], None
+        for b in batches:
+            k = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(3)], 1)
+            cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), len(k)] if len(k) else [0]
+            for i, j in zip(cuts, cuts[1:]):
+                if now is not None and now != tuple(k[i]):
+                    yield kept
+                    kept = []
+                now = tuple(k[i])
+                kept.append(b.slice(i, j - i))
+        if kept:
+            yield kept
+
+    def run(batches):
+        for g in groups(batches):
+            t = pa.Table.from_batches(g).combine_chunks()
+            if t.num_rows < 2:
+                continue
+            node, label, side = (t.column(c).to_numpy() for c in ("node", "label", "side"))
+            s = t.column("s").chunk(0)
+            off = s.offsets.to_numpy().astype(np.int64)
+            found = _joined(node, label, side, off - off[0], s.values.to_numpy()[off[0] : off[-1]], percent)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return m.select("key", "lo", "hi", "node", "label", "side", "s").mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, perms: int = PERMS, rows: int = ROWS, bands: int = BANDS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, tkey, n_shingles, component_id, kept), one row per input row.
 
@@ -163,10 +239,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, perms: int =
     m = members.select("key", "node", "n").join(comp, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_ = m.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     m = materialise(m.join(open_, "key", "left_semi"), "open")
-    p, q = m.select("key", *[F.col(c).alias(f"{c}1") for c in ("node", "n", "label")]), m.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "label")])
-    rest = p.join(q, "key").filter((F.col("node1") < F.col("node2")) & (F.col("label1") != F.col("label2")) & fits(F.col("n1"), F.col("n2")))
-    rest = rest.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = materialise(confirmed(rest, sets, percent), "links")
+    more = materialise(open_links(m, sets, percent), "links")
     if not more.isEmpty():
         comp = components(links.union(more))
     firsts = classes.select("node", F.col("doc_id").alias("first")).join(comp, "node", "left").withColumn("label", F.coalesce("label", "node"))
