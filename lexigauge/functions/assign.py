@@ -9,6 +9,7 @@ import difflib
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -92,8 +93,7 @@ def gned_of(gt: list[str], pred: list[str]) -> float:
     return float((c[assign(c)].sum() + abs(len(pred) - len(gt))) / n)
 
 
-@F.pandas_udf("double")
-def gned(gt: pd.Series, pred: pd.Series) -> pd.Series:
+def _gned(gt: pd.Series, pred: pd.Series) -> pd.Series:
     return pd.Series([None if g is None or p is None else gned_of(list(g), list(p)) for g, p in zip(gt, pred)], dtype="float64")
 
 
@@ -107,14 +107,29 @@ def typos_of(irrelevant: list[str], missing: list[str], most: float = 0.5) -> tu
     return [irrelevant[i] for i, _ in pairs], [x for i, x in enumerate(irrelevant) if i not in gone_i], [x for j, x in enumerate(missing) if j not in gone_j]
 
 
-@F.pandas_udf("struct<typo:array<string>,irrelevant:array<string>,missing:array<string>>")
-def typo_pairs(irrelevant: pd.Series, missing: pd.Series) -> pd.DataFrame:
+def _typo_pairs(irrelevant: pd.Series, missing: pd.Series) -> pd.DataFrame:
     rows = [typos_of(list(a) if a is not None else [], list(b) if b is not None else []) for a, b in zip(irrelevant, missing)]
     return pd.DataFrame({k: [r[i] for r in rows] for i, k in enumerate(("typo", "irrelevant", "missing"))})
 
 
-@F.pandas_udf("string")
-def closest(word: pd.Series, candidates: pd.Series) -> pd.Series:
-    """The candidate with the largest sequence-matcher ratio; null without candidates."""
+def _closest(word: pd.Series, candidates: pd.Series) -> pd.Series:
     found = [(difflib.get_close_matches(w, list(c), 1, 0.0) or [None])[0] if w is not None and c is not None else None for w, c in zip(word, candidates)]
     return pd.Series(found, dtype="object")
+
+
+# Made when used: a return type is parsed by a session, which executors that import this module don't have.
+
+
+def gned(gt, pred) -> Column:
+    """``gned_of`` of two token lists, null where one is null."""
+    return F.pandas_udf(_gned, "double")(gt, pred)
+
+
+def typo_pairs(irrelevant, missing) -> Column:
+    """struct(typo, irrelevant, missing): pairs of the least-cost assignment that are near enough."""
+    return F.pandas_udf(_typo_pairs, "struct<typo:array<string>,irrelevant:array<string>,missing:array<string>>")(irrelevant, missing)
+
+
+def closest(word, candidates) -> Column:
+    """The candidate with the largest sequence-matcher ratio, null without candidates."""
+    return F.pandas_udf(_closest, "string")(word, candidates)

@@ -109,11 +109,15 @@ def nested_quotes(prompt: str) -> list[str]:
     return list(dict.fromkeys(inside(prompt)))
 
 
-@F.pandas_udf("array<string>")
-def prompt_quotes(prompt: pd.Series) -> pd.Series:
+def _prompt_quotes(prompt: pd.Series) -> pd.Series:
     return pd.Series([None if p is None else nested_quotes(p) for p in prompt], dtype="object")
 
 
+def prompt_quotes(prompt) -> Column:
+    """``nested_quotes`` of each prompt."""
+    return F.pandas_udf(_prompt_quotes, "array<string>")(prompt)
+
+
 def prompt_target(prompt: Column, mode: str) -> Column:
     """Target text of a prompt: its quoted texts joined by spaces."""
     if mode in ("zh", "cn"):
@@ -123,10 +127,7 @@ def prompt_target(prompt: Column, mode: str) -> Column:
     raise ValueError(f"unknown mode {mode}")
 
 
-@F.pandas_udf("array<string>")
-def python_list(s: pd.Series) -> pd.Series:
-    """A list written as a Python literal; null where it isn't one."""
-
+def _python_list(s: pd.Series) -> pd.Series:
     def one(x):
         try:
             v = ast.literal_eval(x)
@@ -135,3 +136,8 @@ def python_list(s: pd.Series) -> pd.Series:
         return [str(y) for y in v] if isinstance(v, (list, tuple)) else None
 
     return pd.Series([one(x) for x in s], dtype="object")
+
+
+def python_list(s) -> Column:
+    """A list written as a Python literal; null where it isn't one."""
+    return F.pandas_udf(_python_list, "array<string>")(s)
