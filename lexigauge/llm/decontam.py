@@ -87,9 +87,14 @@ def contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, litera
     hit = hashes.select("doc_id", "tkey", F.explode("w").alias("h")).join(near(b.select("h").distinct()), "h", "left_semi")
     hit = materialise(hit.select("doc_id", "tkey").distinct(), "hits")
     few = d.join(hit.select(F.col("doc_id").alias("i"), F.col("tkey").alias("k")), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("tkey") == F.col("k")), "left_semi").dropDuplicates(["doc_id", "tkey"])
-    few = few.select("doc_id", "tkey", tokens(F.col("text")).alias("t")).select("doc_id", "tkey", "t", canonical(F.col("t")).alias("c"))
-    few = few.select("doc_id", "tkey", slot_values(F.col("t")).alias("v"), F.posexplode(windows(F.col("c"), window)).alias("pos", "h"))
-    m = few.join(near(b), "h").select("doc_id", "tkey", "item", "bpos", (F.col("pos") - F.col("bpos")).alias("shift"), "bslots", F.slice("v", F.col("pos") + 1, window).alias("dslots"))
+    few = few.select("doc_id", "tkey", tokens(F.col("text")).alias("t"))
+    few = materialise(few.select("doc_id", "tkey", slot_values(F.col("t")).alias("v"), windows(canonical(F.col("t")), window).alias("w")), "few")
+    # a text's slots meet its matches once, not once for each of its windows
+    hits = few.select("doc_id", "tkey", F.posexplode("w").alias("pos", "h")).join(near(b), "h")
+    hits = hits.groupBy(F.col("doc_id").alias("i"), F.col("tkey").alias("k")).agg(F.collect_list(F.struct("item", "bpos", "pos", "bslots")).alias("hits"))
+    m = few.join(hits, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("tkey") == F.col("k")))
+    aligned = F.transform("hits", lambda x: F.struct(x["item"].alias("item"), x["bpos"].alias("bpos"), (x["pos"] - x["bpos"]).alias("shift"), x["bslots"].alias("bslots"), F.slice("v", x["pos"] + 1, window).alias("dslots")))
+    m = m.select("doc_id", "tkey", F.explode(aligned).alias("m")).select("doc_id", "tkey", "m.*")
     m = materialise(m, "matches")
     at = ["doc_id", "tkey", "item", "shift"]
     slots = m.select(*at, "bpos", F.explode(F.arrays_zip("bslots", "dslots")).alias("s")).select(*at, "bpos", F.col("s.bslots").alias("b"), F.col("s.dslots").alias("d")).filter("b IS NOT NULL")
