@@ -44,15 +44,22 @@ def ambiguous_ids(rec: DataFrame) -> DataFrame:
     return g.filter("lo_p <> hi_p OR lo_q <> hi_q OR lo_n <> hi_n").select("id")
 
 
+def _without_recipes(rec: DataFrame, ambiguous: DataFrame) -> DataFrame:
+    """Empties the recipes that hold an ambiguous identifier; their digests still tell them apart."""
+    bad = rec.select("text_sha256", F.explode("ids").alias("id")).distinct().join(ambiguous, "id", "left_semi").select("text_sha256").distinct()
+    rec = rec.join(bad.withColumn("bad", F.lit(True)), "text_sha256", "left")
+    return rec.withColumn("ids", F.when(F.col("bad"), F.array().cast("array<bigint>")).otherwise(F.col("ids"))).drop("bad")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256, tkey), one row per input row.
 
     Equal: identical after lower-casing A-Z. The largest id of a group stays.
     """
     rec = materialise(recipes(docs, id_col, text_col), "recipes")
-    bad = rec.select("text_sha256", F.explode("ids").alias("id")).join(ambiguous_ids(rec), "id", "left_semi").select("text_sha256").distinct()
-    rec = rec.drop("proofs").join(bad.withColumn("bad", F.lit(True)), "text_sha256", "left")
-    rec = rec.withColumn("ids", F.when(F.col("bad"), F.array().cast("array<bigint>")).otherwise(F.col("ids")))
+    ambiguous = materialise(ambiguous_ids(rec), "ambiguous")
+    if not ambiguous.isEmpty():
+        rec = _without_recipes(rec, ambiguous)
     one = rec.groupBy("ids", "text_sha256", "doc_id", "tkey").agg(F.count(F.lit(1)).alias("n"))
     group = one.groupBy("ids", "text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"), F.max(F.struct("doc_id", "tkey")).alias("best"))
     out = one.join(group, ["ids", "text_sha256"]).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
