@@ -13,7 +13,7 @@ def pivot_table(df: DataFrame, row: str, column: str, value: str, order: list[st
 
 def as_text(df: DataFrame, columns: list[str], digits: int = 3, gap: str = "NA") -> DataFrame:
     """Numbers as text, halves to even as the decimal digits show them, gaps as ``NA``."""
-    return df.withColumns({c: F.coalesce(F.format_string(f"%.{digits}f", F.bround(F.col(f"`{c}`"), digits)), F.lit(gap)) for c in columns})
+    return df.withColumns({c: F.when(F.col(f"`{c}`").isNull(), gap).otherwise(F.format_string(f"%.{digits}f", F.bround(F.col(f"`{c}`"), digits))) for c in columns})
 
 
 def ranked(df: DataFrame, by: str, name: str) -> DataFrame:
