@@ -118,3 +118,51 @@ def length_profile(df: DataFrame, length: str, short: int, long: int) -> DataFra
         F.count(F.lit(1)).alias("n"), F.count_if(n < short).alias("short"), F.count_if((n >= short) & (n < long)).alias("middle"), F.count_if(n >= long).alias("long"),
         F.min(n).alias("lo"), F.max(n).alias("hi"), F.avg(n).alias("mean"), F.median(n).alias("median"),
     )
+
+
+def board_name(model: Column, path: Column) -> Column:
+    """English-only data sets mark their models so."""
+    return F.when(path.rlike("cvtg|lex|atlas|tiif"), F.concat(model, F.lit("_EN"))).otherwise(model)
+
+
+def regroup(counts: DataFrame, keys: list[str], category: str, table: dict[str, str], out: str = "grp") -> DataFrame:
+    """Counters summed over the categories of a group, and ratios derived from the sums; unknown categories are left out."""
+    from ..functions.text import lookup
+
+    d = counts.withColumn(out, lookup(F.col(category), table)).filter(F.col(out).isNotNull())
+    return ratios(d.groupBy(*keys, out).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")]))
+
+
+def wide_mean(df: DataFrame, columns: list[str], out: str = "mean") -> DataFrame:
+    """Mean over columns of a row, NaN and null left out; null where all are."""
+    known = F.filter(F.array(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)) for c in columns]), lambda x: x.isNotNull())
+    return df.withColumn(out, F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, x: a + x), F.nullif(F.size(known), F.lit(0))))
+
+
+def accuracy(df: DataFrame, keys: list[str], right: str) -> DataFrame:
+    """Share of right answers in lists of booleans, null where there are no questions."""
+    hits = F.size(F.filter(right, lambda x: x))
+    return df.groupBy(*keys).agg(F.try_divide(F.sum(hits), F.sum(F.size(right))).alias("accuracy"))
+
+
+def style_scores(images: DataFrame, refs: DataFrame, style: str, encoders: list[str]) -> DataFrame:
+    """Adds style_score: the mean over encoders of the largest cosine with the style's reference vectors, at least 0.
+
+    ``refs`` has a bounded number of vectors a style; images of unknown style are left out.
+    """
+    from ..functions import vec
+
+    r = refs.groupBy(style).agg(*[F.collect_list(e).alias(f"__{e}") for e in encoders])
+    nearest = lambda e: F.array_max(F.transform(f"__{e}", lambda v: F.greatest(vec.cosine(F.col(e), v), F.lit(0.0))))
+    best = [nearest(e) for e in encoders]
+    d = images.filter(F.col(style).isNotNull()).join(r, style)
+    return d.withColumn("style_score", vec.mean_known(F.array(*best))).drop(*[f"__{e}" for e in encoders])
+
+
+def success(df: DataFrame, ok: Column) -> DataFrame:
+    return df.agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("ok"), F.avg(ok.cast("double")).alias("rate"))
+
+
+def concat_lists(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """Lists of batches as one list, in the order of the batches."""
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("__l")).select(*keys, F.flatten(F.col(f"__l.{value}")).alias(value))

@@ -62,3 +62,17 @@ def not_done(items: DataFrame, done: DataFrame, key: str, repeats: int = 1, repe
 def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
     """``name``_0, ``name``_1, ... in the order given; one task numbers the rows, so meant for item lists."""
     return df.withColumn("id", F.concat(F.lit(f"{name}_"), (F.row_number().over(Window.orderBy(*order)) - 1).cast("string")))
+
+
+def whitelist(df: DataFrame, column: str, values: list | None) -> DataFrame:
+    """Rows with one of the values; all rows where no list is given."""
+    return df if values is None else df.filter(F.col(column).isin(values))
+
+
+def with_default(df: DataFrame, other: DataFrame, key: str, value: str, default: float = 0.0) -> DataFrame:
+    return df.join(other.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
+
+
+def token_pairs(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """Every token of one list beside every token of the other, row by row; for inspection of short lists."""
+    return df.select(key, F.explode(a).alias("x"), b).select(key, "x", F.explode(b).alias("y"))

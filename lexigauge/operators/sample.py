@@ -68,3 +68,21 @@ def composition_parts(s: Column, seed: Column) -> Column:
 def choose(values: list[str], seed: Column) -> Column:
     """One of the values by hash."""
     return F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.xxhash64(seed), F.lit(len(values))) + 1).cast("int"))
+
+
+def composed_prompts(seed: Column, subjects: list[str], activities: list[str]) -> Column:
+    """A subject with its article and an activity, by hash."""
+    noun = choose(subjects, seed)
+    return F.concat_ws(" ", F.when(F.lower(noun).rlike("^[aeiou]"), "an").otherwise("a"), noun, choose(activities, seed + 1))
+
+
+def sign_prompts(seed: Column, subjects: list[str], most: int = 9) -> Column:
+    """A subject that holds a sign with 1 to ``most`` sixes."""
+    n = (F.pmod(F.xxhash64(seed + 2), F.lit(most)) + 1).cast("int")
+    return F.concat(F.lit("A "), choose(subjects, seed), F.lit(' holding a sign that says "'), F.repeat(F.lit("6"), n), F.lit('"'))
+
+
+def near_equal_parts(df: DataFrame, size: int, *order: str) -> DataFrame:
+    """Batches of at most ``size`` rows and nearly equal sizes, for calls to an external scorer."""
+    n = df.count()
+    return df.withColumn("batch", F.ntile(max(1, -(-n // size))).over(Window.orderBy(*order)) - 1)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import assign, match, parse, text, vec
-from ..operators import aggregate, joins, report, reward, sample
+from ..operators import aggregate, joins, layout, registry, report, reward, sample
 from ..streaming import rewards as streams
 
 QUERIES: dict = {}
@@ -503,6 +503,54 @@ def moving_average(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", r6(reward.ema(F.col("embedding"), 0.9, 2)).alias("ema"))
 
 
+@query("SELECT p_partkey, round(0.5 * (1 - CASE WHEN contains(lower(p_name), lower(p_type)) THEN 0 ELSE least(levenshtein(lower(p_name), lower(p_type)), length(p_type)) END / length(p_type)) + 0.5 * p_size / 5, 6) AS reward FROM part")
+def registered_rewards(spark, sf):
+    """Rewards by their registered names, and a weighted sum of them."""
+    d = table(spark, sf, "part").select("p_partkey", F.lower("p_type").alias("a"), F.lower("p_name").alias("b"), "p_size")
+    d = registry.composite(registry.add_rewards(d, {"text": ("ocr", ["a", "b"]), "size": ("grade", ["p_size"])}), {"text": 0.5, "size": 0.5})
+    return d.select("p_partkey", r6(F.col("reward_avg")).alias("reward"))
+
+
+@query(
+    """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), r AS (SELECT label, arg_min(e, vec_id) AS r FROM v GROUP BY 1)
+    SELECT label, round(avg(greatest(list_cosine_similarity(e, r), 0.0)), 6) AS style FROM v JOIN r USING (label) GROUP BY 1"""
+)
+def style_scores(spark, sf):
+    d = table(spark, sf, "embeddings")
+    refs = d.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    return aggregate.style_scores(d, refs, "label", ["embedding"]).groupBy("label").agg(r6(F.avg("style_score")).alias("style"))
+
+
+@query("SELECT p_partkey, 0.1 AS m, p_size > 40 AS wide FROM part WHERE p_size > 40")
+def layout_check(spark, sf):
+    """Regions derived from part sizes against the layout's constraints."""
+    d = table(spark, sf, "part").select("p_partkey", F.lit(0.1).alias("m_offset"), F.lit(0.1).alias("n_offset"), (F.col("p_size") / 100).alias("m_scale"), (F.col("p_size") / 200).alias("n_scale"))
+    return d.filter(layout.region_ok(0.41 * 0.205 - 1e-9)).select("p_partkey", F.col("m_offset").alias("m"), (F.col("m_scale") > 0.4).alias("wide"))
+
+
+@query("SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) >= 4) GROUP BY 1")
+def not_done(spark, sf):
+    """Orders of customers that don't have four repeats yet."""
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderpriority")
+    return joins.not_done(o, o, "o_custkey", 4, "o_orderpriority").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH c AS (SELECT source, CASE WHEN lang IN ('en', 'de') THEN 'germanic' WHEN lang IN ('fr', 'es') THEN 'romance' END AS grp, quality = 1 AS g, toxic = 1 AS p FROM documents JOIN labels USING (doc_id))
+    SELECT grp, count(*) FILTER (g AND p) AS tp, count(*) FILTER (NOT g AND p) AS fp, count(*) FILTER (g AND NOT p) AS fn, count(*) FILTER (NOT g AND NOT p) AS tn FROM c WHERE grp IS NOT NULL GROUP BY 1"""
+)
+def regrouped_counts(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels"), "doc_id")
+    c = aggregate.confusion(d, ["lang"], F.col("quality") == 1, F.col("toxic") == 1).filter("lang <> 'total'")
+    return aggregate.regroup(c, [], "lang", {"en": "germanic", "de": "germanic", "fr": "romance", "es": "romance"}).select("grp", "tp", "fp", "fn", "tn")
+
+
+@query("SELECT user_id, round(sum(CASE WHEN lower(event_type) = 'click' THEN 1 ELSE 0 END) / count(*), 6) AS accuracy FROM events GROUP BY 1")
+def answer_accuracy(spark, sf):
+    right = match.answers_right(F.array(F.lit(" Click "), F.lit("extra")), F.array(F.col("event_type")))
+    return aggregate.accuracy(table(spark, sf, "events").select("user_id", right.alias("right")), ["user_id"], "right").select("user_id", r6(F.col("accuracy")).alias("accuracy"))
+
+
 # -- sampling and sets
 
 

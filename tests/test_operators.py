@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lexigauge.operators import aggregate, joins, report, reward, sample
+from lexigauge.operators import aggregate, joins, layout, registry, report, reward, sample
 from lexigauge.sources import readers, sinks
 from lexigauge.streaming import rewards as streams
 
@@ -140,3 +140,29 @@ def test_stream_batches(spark, tmp_path):
     q = spark.readStream.schema("pos int, prompt string, reward double").parquet(str(tmp_path / "in")).writeStream.foreachBatch(f).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination()
     assert len(got) == 6 and sum(got) == pytest.approx(0, abs=1e-9)
+
+
+def test_layouts(spark):
+    d = layout.fixed_layouts(spark)
+    assert d.count() == 15 and layout.overlaps(d).count() == 0
+    two = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.5, 0.5), (1, 1, 0.4, 0.4, 0.5, 0.5)], layout.SCHEMA)
+    assert layout.overlaps(two).count() == 1
+    r = spark.range(200).select(layout.random_region(F.col("id")).alias("r")).select("r.*")
+    assert r.filter("m_offset + m_scale > 1.0000001 OR n_offset + n_scale > 1.0000001 OR m_scale < 0.1").count() == 0
+
+
+def test_registry(spark):
+    d = registry.add_rewards(spark.createDataFrame([("abc", "xabc", 4.0)], "t string, r string, g double"), {"o": ("ocr", ["t", "r"]), "g": ("grade", ["g"])})
+    assert registry.composite(d, {"o": 0.5, "g": 0.5}).first().reward_avg == pytest.approx(0.9)
+
+
+def test_small_helpers(spark):
+    d = spark.createDataFrame([("m", float("nan"), 1.0, None)], "k string, a double, b double, c double")
+    assert aggregate.wide_mean(d, ["a", "b", "c"]).first()["mean"] == 1.0
+    x = spark.createDataFrame([(1, 2, ["b"]), (1, 1, ["a"])], "k int, i int, v array<string>")
+    assert aggregate.concat_lists(x, ["k"], "v", "i").first().v == ["a", "b"]
+    assert joins.whitelist(x, "i", [1]).count() == 1 and joins.whitelist(x, "i", None).count() == 2
+    assert joins.with_default(x, x.limit(0).withColumn("s", F.lit(1.0)), "k", "s").first().s == 0.0
+    p = spark.range(40).select(sample.composed_prompts(F.col("id"), ["owl", "dog"], ["runs"]).alias("p"), sample.sign_prompts(F.col("id"), ["owl"]).alias("s"))
+    assert {r.p for r in p.collect()} == {"an owl runs", "a dog runs"} and all(r.s.endswith('6"') for r in p.collect())
+    assert sample.near_equal_parts(spark.range(130), 64, "id").groupBy("batch").count().count() == 3
