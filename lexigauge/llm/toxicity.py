@@ -54,6 +54,7 @@ def words(text: str | None) -> dict[str, int]:
 class Ordinal:
     weights: dict[str, float]
     theta: tuple[float, ...]
+    cut: float  # a text is called toxic from this probability on
 
     def score(self, found: dict[str, int]) -> tuple[float, float]:
         """(expected severity, probability of any toxicity)."""
@@ -82,39 +83,25 @@ def select_words(texts: list[str], y: np.ndarray, most: int, least_rows: int) ->
     return [w for _, w in heapq.nsmallest(most, scored)]
 
 
-def fit(texts: list[str], y: np.ndarray, most: int = 1500, least_rows: int = 3, l1: float = 4e-4, rounds: int = 400, rate: float = 0.5) -> Ordinal:
-    """Proximal full-batch descent on the ordinal likelihood; weights shared, thresholds ordered by construction."""
-    if len(y) == 0 or y.min() == y.max():
-        return Ordinal({}, (40.0, 41.0, 42.0))
-    vocab = select_words(texts, y, most, least_rows)
-    at = {w: i for i, w in enumerate(vocab)}
-    x = np.zeros((len(y), len(vocab)), np.float32)
-    for i, t in enumerate(texts):
-        for w, n in words(t).items():
-            if (j := at.get(w)) is not None:
-                x[i, j] = 1 + np.log(n)
-    p1, p0 = (x[y == 1] > 0).mean(0), (x[y == 0] > 0).mean(0)
-    marks = (x[:, p1 > 3 * p0 + 0.002] > 0).sum(1)
-    cut = np.quantile(marks[y == 1], [1 / 3, 2 / 3])
-    grade = np.where(y == 1, 1 + (marks > cut[0]) + (marks > max(cut[1], cut[0] + 1)), 0).astype(int)
-    above = np.stack([grade > j for j in range(3)], 1).astype(np.float64)
-    share = np.clip(above.mean(0), 1e-4, 1 - 1e-4)
+def _descend(x: np.ndarray, grade: np.ndarray, l1: float, rounds: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds by proximal full-batch ascent of the ordinal likelihood; gaps are exponentials, so thresholds stay in order."""
+    n, rows = len(grade), np.arange(len(grade))
+    share = np.clip(np.stack([grade > j for j in range(3)], 1).mean(0), 1e-4, 1 - 1e-4)
     theta = -np.log(share / (1 - share))
     base, gap = theta[0], np.log(np.maximum(np.diff(theta), 0.05))
-    w, gw, gb, gg = np.zeros(len(vocab)), np.full(len(vocab), 1e-8), 1e-8, np.full(2, 1e-8)
+    w, gw, gb, gg = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-8), 1e-8, np.full(2, 1e-8)
     for _ in range(rounds):
         theta = base + np.concatenate([[0], np.cumsum(np.exp(gap))])
         eta = (x @ w.astype(np.float32)).astype(np.float64)
         p = 1 / (1 + np.exp(-np.clip(eta[:, None] - theta, -40, 40)))
         # adjacent thresholds give the category's probability; its logarithm's slope in each cumulative term
-        up = np.concatenate([np.ones((len(y), 1)), p], 1)[np.arange(len(y)), grade]
-        low = np.concatenate([p, np.zeros((len(y), 1))], 1)[np.arange(len(y)), grade]
+        up = np.concatenate([np.ones((n, 1)), p], 1)[rows, grade]
+        low = np.concatenate([p, np.zeros((n, 1))], 1)[rows, grade]
         mass = np.maximum(up - low, 1e-9)
         slope = p * (1 - p)
-        pad = np.concatenate([np.zeros((len(y), 1)), slope, np.zeros((len(y), 1))], 1)
-        su, sl = pad[np.arange(len(y)), grade], pad[np.arange(len(y)), grade + 1]
-        d_eta = (su - sl) / mass / len(y)
-        d_theta = np.array([(np.where(grade == j, slope[:, j], 0) / mass).sum() - (np.where(grade == j + 1, slope[:, j], 0) / mass).sum() for j in range(3)]) / len(y)
+        pad = np.concatenate([np.zeros((n, 1)), slope, np.zeros((n, 1))], 1)
+        d_eta = (pad[rows, grade] - pad[rows, grade + 1]) / mass / n
+        d_theta = np.array([(np.where(grade == j, slope[:, j], 0) / mass).sum() - (np.where(grade == j + 1, slope[:, j], 0) / mass).sum() for j in range(3)]) / n
         g = x.T @ d_eta.astype(np.float32)
         gw += g * g
         step = rate / np.sqrt(gw)
@@ -123,8 +110,41 @@ def fit(texts: list[str], y: np.ndarray, most: int = 1500, least_rows: int = 3,
         db, dg = d_theta.sum(), np.array([d_theta[1:].sum() * np.exp(gap[0]), d_theta[2] * np.exp(gap[1])])
         gb, gg = gb + db * db, gg + dg * dg
         base, gap = base + 0.1 * db / np.sqrt(gb), np.clip(gap + 0.1 * dg / np.sqrt(gg), -3, 3)
-    theta = base + np.concatenate([[0], np.cumsum(np.exp(gap))])
-    return Ordinal({v: float(w[i]) for i, v in enumerate(vocab) if w[i]}, tuple(map(float, theta)))
+    return w, base + np.concatenate([[0], np.cumsum(np.exp(gap))])
+
+
+def best_cut(logit: np.ndarray, y: np.ndarray) -> float:
+    """The probability that divides the rows with the fewest errors; the middle of the widest such gap."""
+    order = np.argsort(logit, kind="stable")
+    z, t = logit[order], y[order]
+    errors = np.concatenate([[0], np.cumsum(t)]) + np.concatenate([np.cumsum((1 - t)[::-1])[::-1], [0]])  # with the first i rows below
+    gaps = np.diff(np.concatenate([[z[0]], z, [z[-1]]]))
+    gaps[errors > errors.min()] = -1
+    i = int(gaps.argmax())
+    middle = (z[max(i - 1, 0)] + z[min(i, len(z) - 1)]) / 2
+    return float(1 / (1 + np.exp(-np.clip(middle, -6, 6))))
+
+
+def fit(texts: list[str], y: np.ndarray, most: int = 1500, least_rows: int = 3, l1: float = 4e-4, rounds: int = 150, refit: int = 500, rate: float = 0.5) -> Ordinal:
+    """A first fit under a strong penalty chooses the features, a second under one that weakens as rows grow sets their weights."""
+    if len(y) == 0 or y.min() == y.max():
+        return Ordinal({}, (40.0, 41.0, 42.0), 0.5)
+    vocab = select_words(texts, y, most, least_rows)
+    at = {w: i for i, w in enumerate(vocab)}
+    x = np.zeros((len(y), len(vocab)), np.float32)
+    for i, t in enumerate(texts):
+        for w, n in words(t).items():
+            if (j := at.get(w)) is not None:
+                x[i, j] = 1 + np.log(n)
+    p1, p0 = (x[y == 1] > 0).mean(0), (x[y == 0] > 0).mean(0)
+    marks = (x[:, p1 > 3 * p0 + 0.002] > 0).sum(1)
+    cut = np.quantile(marks[y == 1], [1 / 3, 2 / 3])
+    grade = np.where(y == 1, 1 + (marks > cut[0]) + (marks > max(cut[1], cut[0] + 1)), 0).astype(int)
+    w, _ = _descend(x, grade, l1, rounds, rate)
+    chosen = np.flatnonzero(w)
+    w, theta = _descend(x[:, chosen], grade, l1 * min(1.0, max(0.05, 1000 / len(y))), refit, rate)
+    cut = best_cut(x[:, chosen] @ w - theta[0], y)
+    return Ordinal({vocab[j]: float(v) for j, v in zip(chosen, w) if v}, tuple(map(float, theta)), cut)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "toxic", where=None) -> Ordinal:
@@ -143,12 +163,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str =
 
 
 def severity(docs: DataFrame, model: Ordinal) -> DataFrame:
-    """(doc_id, tkey, severity, p_toxic, toxic) of each row; toxic where a grade above 0 is likelier than not."""
+    """(doc_id, tkey, severity, p_toxic, toxic) of each row; toxic from the model's cut on."""
 
     def run(batches):
         for b in batches:
             s = [model.score(words(t.as_py())) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in s], pa.float64()), pa.array([p for _, p in s], pa.float64()), pa.array([p >= 0.5 for _, p in s], pa.bool_())], ["doc_id", "tkey", "severity", "p_toxic", "toxic"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in s], pa.float64()), pa.array([p for _, p in s], pa.float64()), pa.array([p >= model.cut for _, p in s], pa.bool_())], ["doc_id", "tkey", "severity", "p_toxic", "toxic"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("tkey"), "text").mapInArrow(run, "doc_id long, tkey long, severity double, p_toxic double, toxic boolean")
 
@@ -160,6 +180,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
     def run(batches):
         for b in batches:
             i = b.schema.get_field_index("text")
-            yield b.filter(pa.array([model.score(words(t.as_py()))[1] < 0.5 for t in b.column(i)], pa.bool_()))
+            yield b.filter(pa.array([model.score(words(t.as_py()))[1] < model.cut for t in b.column(i)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
