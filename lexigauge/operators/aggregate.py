@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,9 +122,10 @@ def length_profile(df: DataFrame, length: str, short: int, long: int) -> DataFra
     )
 
 
-def board_name(model: Column, path: Column) -> Column:
-    """English-only data sets mark their models so."""
-    return F.when(path.rlike("cvtg|lex|atlas|tiif"), F.concat(model, F.lit("_EN"))).otherwise(model)
+def board_name(model: Column, path: Column, english_only: list[str]) -> Column:
+    """Models scored on data sets that exist in English alone (found by name in the path) are marked so."""
+    of_one = reduce(lambda a, b: a | b, [path.contains(x) for x in english_only], F.lit(False))
+    return F.when(of_one, F.concat(model, F.lit("_EN"))).otherwise(model)
 
 
 def regroup(counts: DataFrame, keys: list[str], category: str, table: dict[str, str], out: str = "grp") -> DataFrame:

@@ -11,11 +11,11 @@ from ..operators import joins
 SCHEMAS = {
     "longtext": "prompt_id INT, prompt STRING, text ARRAY<STRING>",
     "gentext": "prompt_id INT, prompt STRING, target STRING",
-    "cvtg": "data_list ARRAY<STRUCT<index:INT, prompt:STRING, carrier_list:ARRAY<STRING>, sentence_list:ARRAY<STRING>>>",
-    "oneig_text": "id STRING, prompt_en STRING, prompt_cn STRING, text_content STRING",
-    "lex": "id STRING, enhanced_caption STRING, text ARRAY<STRING>",
-    "atlas": "id STRING, annotation STRING, raw_text STRING",
-    "tiif": "type STRING, long_description STRING, short_description STRING, yn_question_list ARRAY<STRING>, yn_answer_list ARRAY<STRING>",
+    "regions": "data_list ARRAY<STRUCT<index:INT, prompt:STRING, carrier_list:ARRAY<STRING>, sentence_list:ARRAY<STRING>>>",
+    "table_text": "id STRING, prompt_en STRING, prompt_cn STRING, text_content STRING",
+    "captions": "id STRING, enhanced_caption STRING, text ARRAY<STRING>",
+    "annotations": "id STRING, annotation STRING, raw_text STRING",
+    "instructions": "type STRING, long_description STRING, short_description STRING, yn_question_list ARRAY<STRING>, yn_answer_list ARRAY<STRING>",
     "inference_row": "id STRING, data_source STRING, class STRING, response STRING, labels STRING",
     "converted_row": "image STRING, id STRING, data_source STRING, pred_text STRING, gt_text STRING",
     "vqa_result": "attribute STRING, desc STRING, jsonl_file STRING, line_idx INT, questions ARRAY<STRING>, gt_answers ARRAY<STRING>, model_pred ARRAY<STRING>, model_output STRING",
@@ -102,38 +102,38 @@ def load_gentext(spark, images: str, prompts: str, mode: str = "en") -> DataFram
     return _samples(_with_id(files(spark, images), "prompt_id", True), p, "prompt_id", "error", "prompt", (t, F.col("target")))
 
 
-def load_lex(spark, images: str, prompts: str, mode: str = "en") -> DataFrame:
-    p = json_or_jsonl(spark, prompts, "lex").withColumn("ori", F.array_join("text", " "))
+def load_captions(spark, images: str, prompts: str, mode: str = "en") -> DataFrame:
+    p = json_or_jsonl(spark, prompts, "captions").withColumn("ori", F.array_join("text", " "))
     return _samples(_with_id(files(spark, images), "id", False), p, "id", "skip", "enhanced_caption", (F.col("ori"), F.col("ori")))
 
 
-def load_atlas(spark, images: str, prompts: str, mode: str = "en") -> DataFrame:
-    p = json_or_jsonl(spark, prompts, "atlas")
+def load_annotations(spark, images: str, prompts: str, mode: str = "en") -> DataFrame:
+    p = json_or_jsonl(spark, prompts, "annotations")
     return _samples(_with_id(files(spark, images), "id", False), p, "id", "skip", "annotation", (F.col("raw_text"), F.col("raw_text")))
 
 
-def load_oneig(spark, images: str, prompts: str, mode: str = "en") -> DataFrame:
+def load_table_text(spark, images: str, prompts: str, mode: str = "en") -> DataFrame:
     p = strings_csv(spark, prompts).withColumn("ori", F.array_join(parse.python_list(F.col("text_content")), " "))
     f = files(spark, images).filter(text.is_image(F.col("path"))).withColumn("id", F.substring("name", 1, 3))
     return _samples(f, p, "id", "skip", "prompt_cn" if mode == "zh" else "prompt_en", (text.target_or_original(F.col("ori"), F.col("ori")), F.col("ori")))
 
 
-def load_cvtg(spark, images: str, prompts: str, mode: str = "en") -> DataFrame:
-    p = rows_in_document(spark, prompts, "cvtg", "data_list").withColumn("id", F.col("index").cast("string"))
+def load_regions(spark, images: str, prompts: str, mode: str = "en") -> DataFrame:
+    p = rows_in_document(spark, prompts, "regions", "data_list").withColumn("id", F.col("index").cast("string"))
     f = files(spark, images).filter(text.is_image(F.col("path"))).withColumn("id", text.stem(F.col("name")))
     t = parse.prompt_target(F.col("prompt"), mode)
     return _samples(f, p, "id", "skip", "prompt", (t, t))
 
 
-def load_tiif(spark, images: str, prompts: str, mode: str = "en", description: str = "short_description") -> DataFrame:
+def load_instructions(spark, images: str, prompts: str, mode: str = "en", description: str = "short_description") -> DataFrame:
     """The id of a prompt is its line number."""
-    raw = lines(spark, prompts).select(F.col("pos").cast("string").alias("id"), F.from_json("prompt", SCHEMAS["tiif"]).alias("r")).select("id", "r.*")
+    raw = lines(spark, prompts).select(F.col("pos").cast("string").alias("id"), F.from_json("prompt", SCHEMAS["instructions"]).alias("r")).select("id", "r.*")
     f = files(spark, images).filter(text.is_image(F.col("path"))).withColumn("id", text.id_from_name(F.col("name")))
     t = parse.prompt_target(F.col(description), mode)
     return _samples(f, raw, "id", "skip", description, (text.target_or_original(F.col(description), t), t))
 
 
-LOADERS = {"longtext": load_longtext, "gentext": load_gentext, "lex": load_lex, "atlas": load_atlas, "oneig": load_oneig, "cvtg": load_cvtg, "tiif": load_tiif}
+LOADERS = {"longtext": load_longtext, "gentext": load_gentext, "captions": load_captions, "annotations": load_annotations, "table_text": load_table_text, "regions": load_regions, "instructions": load_instructions}
 
 
 def load(spark: SparkSession, kind: str, images: str, prompts: str, mode: str = "en") -> DataFrame:

@@ -118,8 +118,8 @@ def test_loader(spark, tmp_path):
     (tmp_path / "img").mkdir()
     for n in ("1_0.png", "2.jpg", "9.png", "note.txt"):
         (tmp_path / "img" / n).write_bytes(b"x")
-    (tmp_path / "lex.json").write_text(json.dumps([{"id": "1", "enhanced_caption": "c1", "text": ["a", "b"]}, {"id": "2", "enhanced_caption": "c2", "text": ["d"]}]))
-    rows = readers.load(spark, "lex", str(tmp_path / "img"), str(tmp_path / "lex.json")).orderBy("id").collect()
+    (tmp_path / "captions.json").write_text(json.dumps([{"id": "1", "enhanced_caption": "c1", "text": ["a", "b"]}, {"id": "2", "enhanced_caption": "c2", "text": ["d"]}]))
+    rows = readers.load(spark, "captions", str(tmp_path / "img"), str(tmp_path / "captions.json")).orderBy("id").collect()
     assert [(r.id, r.prompt, r.target) for r in rows] == [("1", "c1", "a b"), ("2", "c2", "d")]
 
 
@@ -151,6 +151,22 @@ def test_layouts(spark):
     assert r.filter("m_offset + m_scale > 1.0000001 OR n_offset + n_scale > 1.0000001 OR m_scale < 0.1").count() == 0
 
 
+def test_more_loaders(spark, tmp_path):
+    (tmp_path / "img").mkdir()
+    for n in ("1.png", "001_a.png", "0.png"):
+        (tmp_path / "img" / n).write_bytes(b"x")
+    img = str(tmp_path / "img")
+    put = lambda name, s: (tmp_path / name).write_text(s) and str(tmp_path / name)
+    load = lambda kind, path, mode="en": [(r.id, r.prompt, r.target) for r in readers.load(spark, kind, img, path, mode).orderBy("id").collect()]
+    assert load("regions", put("r.json", json.dumps({"data_list": [{"index": 1, "prompt": "sign '中' “鱼”"}]})), "zh") == [("1", "sign '中' “鱼”", "中 鱼")]
+    assert load("table_text", put("t.csv", ",id,prompt_en,prompt_cn,text_content\n0,001,p,q,\"['a', 'b']\"\n")) == [("001", "p", "a b")]
+    assert load("annotations", put("a.json", json.dumps([{"id": "1", "annotation": "p", "raw_text": "t"}]))) == [("1", "p", "t")]
+    assert load("instructions", put("i.jsonl", json.dumps({"type": "text", "short_description": 'say "hi there"'}) + "\n")) == [("0", 'say "hi there"', "hi there")]
+    assert load("gentext", put("g.jsonl", "\n".join(json.dumps({"prompt_id": i, "prompt": "p", "target": "a,b"}) for i in (0, 1, 1)))) [:1] == [("0", "p", "a b")]
+    with pytest.raises(Exception, match="no prompt"):
+        load("longtext", put("l.jsonl", json.dumps({"prompt_id": 7, "prompt": "p", "text": ["a"]})))
+
+
 def test_registry(spark):
     d = registry.add_rewards(spark.createDataFrame([("abc", "xabc", 4.0)], "t string, r string, g double"), {"o": ("ocr", ["t", "r"]), "g": ("grade", ["g"])})
     assert registry.composite(d, {"o": 0.5, "g": 0.5}).first().reward_avg == pytest.approx(0.9)
