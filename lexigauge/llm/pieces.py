@@ -17,9 +17,11 @@ and broadcast (its size is that of a vocabulary):
 
 Composition with an input is done lazily: from each position of the input only
 the arcs that read the next characters are built, and the tropical-semiring
-shortest path goes from left to right. Since exactly one finite path reaches
-each position, one state a position is kept. No piece spans the start of a
-word, so an input is cut there and words' paths are kept in a bounded cache.
+shortest path is searched from left to right, long arcs first. At most one
+finite path reaches a position, so a position whose arcs all weigh infinity is
+left for good, and the first path to the end is the shortest. No piece spans the
+start of a word, so an input is cut there and words' paths are kept in a bounded
+cache.
 
 Decoding maps ids back to their strings and bytes; ``round_trip`` says that it
 gave the text. Null and empty texts have no ids; the round trip of an empty text
@@ -89,8 +91,9 @@ class Transducer:
         self.unknown = next((i for i, (_, _, kind) in enumerate(pieces) if kind == UNKNOWN), 0)
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
             raise ValueError("pieces that span the start of a word aren't supported")
-        self.begins = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
-        self.built: dict[str, bool] = {}
+        #: Beginnings of pieces; true for those that are pieces which the merges do build.
+        self.arcs = {p[:n]: False for p in self.ids for n in range(1, len(p) + 1)}
+        self.arcs |= {p: True for p in self.ids if len(self.merged(p)) == 1}
         self.beside: dict[str, dict[str, bool]] = {}
         self.paths: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
@@ -116,13 +119,6 @@ class Transducer:
         """Weight 0 rather than infinity for the arc that writes ``b`` after ``a``."""
         return self.merged(a + b) == [a, b]
 
-    def reachable(self, p: str) -> bool:
-        """A piece that the merges do build from its characters."""
-        found = self.built.get(p)
-        if found is None:
-            found = self.built[p] = len(self.merged(p)) == 1
-        return found
-
     def _cuts(self) -> str:
         """A pattern whose matches no piece goes beyond: marks start one, and so does each
         symbol that no piece holds behind another character than a mark or such a symbol."""
@@ -143,34 +139,46 @@ class Transducer:
     def path(self, word: str) -> tuple[int, ...]:
         """Ids of one word (no start of a word inside)."""
         n = len(word)
-        last: list[str | None] = [None] * (n + 1)  # the piece that ends at a position on its finite path
-        ids_of, begins, built, beside = self.ids, self.begins, self.built, self.beside
+        arcs, beside = self.arcs, self.beside
         if len(beside) > CACHED:
             beside.clear()
-        for i in range(n):
-            before = last[i]
-            if i and before is None:
-                continue
-            next_to = beside.setdefault(before, {}) if i else None
-            for j in range(i + 1, n + 1):
-                p = word[i:j]
-                if p not in begins and j > i + 1:
-                    break
-                if last[j] is not None or j > i + 1 and (p not in ids_of or not (built[p] if p in built else self.reachable(p))):
+        out: list[str] = []
+        left: list[list[int]] = []  # ends of the arcs from each piece's start that aren't tried yet, the longest last
+        closed: set[int] = set()
+        i = 0
+        while i < n:
+            if len(left) == len(out):
+                ends = [i + 1]
+                for j in range(i + 1, n + 1):
+                    kind = arcs.get(word[i:j])
+                    if kind is None:
+                        if j > i + 1:
+                            break
+                    elif kind and j > i + 1:
+                        ends.append(j)
+                left.append(ends)
+            next_to = beside.setdefault(out[-1], {}) if out else None
+            ends = left[-1]
+            while ends:
+                j = ends.pop()
+                if j in closed:
                     continue
+                p = word[i:j]
                 if next_to is not None:
                     ok = next_to.get(p)
                     if ok is None:
-                        ok = next_to[p] = self.may_follow(before, p)
+                        ok = next_to[p] = self.may_follow(out[-1], p)
                     if not ok:
                         continue
-                last[j] = p
-        out, j = [], n
-        while j:
-            out.append(last[j])
-            j -= len(last[j])
+                out.append(p)
+                i = j
+                break
+            else:  # all arcs from here weigh infinity
+                closed.add(i)
+                left.pop()
+                i -= len(out.pop())
         ids: list[int] = []
-        for p in reversed(out):
+        for p in out:
             i = self.ids.get(p)
             if i is not None:
                 ids.append(i)
