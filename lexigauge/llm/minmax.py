@@ -39,6 +39,7 @@ from .graph import components
 PERMS, ROWS, BANDS = 168, 7, 48
 FIRST_BANDS = 4
 BLOCK = 512
+BROADCAST_ROWS = 1_000_000
 WORDS_CACHED = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _cache: dict[bytes, int] = {}
@@ -173,8 +174,11 @@ def open_links(members: DataFrame, sets: DataFrame, percent: int, block: int = B
     of work of bounded size. Pairs aren't emitted: intersections come from
     products of membership matrices, and only links that join components leave.
     """
-    nb = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
-    m = members.join(nb, "key").withColumn("side", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    # only buckets beyond one block need a number of blocks, so rows stay where they are
+    large = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb")).filter("nb > 1")
+    large = materialise(large, "large")
+    m = members.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "key", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
+    m = m.withColumn("side", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least("side", j).alias("lo"), F.greatest("side", j).alias("hi")))
     m = m.select("key", "node", "label", "side", F.explode(pairs).alias("p")).select("key", "p.lo", "p.hi", "node", "label", "side")
     m = m.join(sets.select("node", "s"), "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
