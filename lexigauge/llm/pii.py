@@ -34,6 +34,8 @@ from .base import let, materialise, text_key
 FEMALE = "Mrs|Ms|Miss|Madam|Frau|Mme|Madame|Mlle|Sra|Señora|г-жа|госпожа"
 MALE = "Mr|Herr|Monsieur|Sr|Señor|г-н|господин"
 NEUTRAL = "Dr|Prof"
+TITLES = f"{FEMALE}|{MALE}|{NEUTRAL}"
+FIRST_LETTERS = "".join(sorted({t[0] for t in TITLES.split("|")}))
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "ip": r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9])(?!\.[0-9])",
@@ -41,10 +43,11 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![0-9])(?:[0-9]{4}[ -]?){3}[0-9]{1,7}(?![0-9])",
-    "person": rf"(?<![\p{{L}}-])(?:{FEMALE}|{MALE}|{NEUTRAL})\.? \p{{Lu}}\p{{L}}+(?:[ -]\p{{Lu}}\p{{L}}+){{0,2}}",
+    "person": rf"(?<![\p{{L}}-])(?:{TITLES})\.? \p{{Lu}}\p{{L}}+(?:[ -]\p{{Lu}}\p{{L}}+){{0,2}}",
 }
 ANY = "|".join(PATTERNS.values())
-HINT = rf"[0-9]|@|(?:{FEMALE}|{MALE}|{NEUTRAL})\.? \p{{Lu}}"
+#: A cheap test that every text with an entity passes; the look-ahead spares most places the titles.
+HINT = rf"[0-9@]|(?=[{FIRST_LETTERS}])(?:{TITLES})\.? \p{{Lu}}"
 LATIN, CYRILLIC, GREEK = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω"
 ONSETS = {"latin": "b d f g h k l m n p r s t v z br dr gr kl tr st".split(), "cyrillic": "б в г д ж з к л м н п р с т ф".split()}
 VOWELS = {"latin": "a e i o u".split(), "cyrillic": "а е и о у".split()}
@@ -194,9 +197,9 @@ def pseudonymise(docs: DataFrame, key: str = "lexigauge", id_col: str = "doc_id"
     has = F.coalesce(t.rlike(HINT) & t.rlike(ANY), F.lit(False))
     some = d.filter(has)
     found = some.select("doc_id", "tkey", F.explode(F.array_distinct(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))).alias("raw")).distinct()
+    found = materialise(found, "mentions")
     raws = found.select("raw").distinct().select("raw", kind_of(F.col("raw")).alias("k"))
     raws = raws.select("raw", F.posexplode(parts_of(F.col("raw"), F.col("k"))).alias("i", "p")).select("raw", "i", "p.kind", "p.piece")
-    found = materialise(found, "mentions")
     raws = materialise(raws.withColumn("canon", canon_of(F.col("kind"), F.col("piece"))), "pieces")
     table = surrogates(raws.filter("kind IS NOT NULL"), key)
     names = F.col("kind").startswith("given") | (F.col("kind") == "family")
