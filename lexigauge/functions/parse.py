@@ -10,15 +10,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import assign, match, text
+from .expr import let
 
 
 def json_body(s: Column) -> Column:
     """The first fenced json block, or the text less one pair of quotes; cut after the last brace, or bracket."""
     fenced = F.regexp_extract(s, r"(?s)```json\s*(.*?)\s*```", 1)
-    bare = F.trim(s)
-    bare = F.when(bare.rlike(r"""(?s)^(["']).*\1$"""), F.substr(bare, F.lit(2), F.length(bare) - 2)).otherwise(bare)
-    body = F.when(fenced != "", fenced).otherwise(bare)
-    return F.when(body.contains("}"), F.regexp_replace(body, r"(?s)^(.*\}).*$", "$1")).when(body.contains("]"), F.regexp_replace(body, r"(?s)^(.*\]).*$", "$1")).otherwise(body)
+    peeled = let(F.trim(s), lambda x: F.when(x.rlike(r"""(?s)^(["']).*\1$"""), F.substr(x, F.lit(2), F.length(x) - 2)).otherwise(x))
+    cut = lambda x: F.when(x.contains("}"), F.regexp_replace(x, r"(?s)^(.*\}).*$", "$1")).when(x.contains("]"), F.regexp_replace(x, r"(?s)^(.*\]).*$", "$1")).otherwise(x)
+    return let(F.coalesce(F.nullif(fenced, F.lit("")), peeled), cut)
 
 
 LENIENT = {"allowUnquotedControlChars": "true"}
@@ -26,10 +26,12 @@ LENIENT = {"allowUnquotedControlChars": "true"}
 
 def json_field(s: Column, field: str) -> Column:
     """A field of a tolerant JSON response; a list is joined by spaces; null where there is no such object."""
-    body = json_body(s)
-    raw = F.from_json(body, f"`{field}` string", LENIENT)[field]
-    as_list = F.from_json(raw, "array<string>", LENIENT)
-    return F.when(raw.rlike(r"(?s)^\s*\[.*\]\s*$") & as_list.isNotNull(), F.array_join(as_list, " ")).otherwise(raw)
+
+    def plain(raw: Column) -> Column:
+        as_list = F.array_join(F.from_json(raw, "array<string>", LENIENT), " ")
+        return F.when(raw.rlike(r"(?s)^\s*\[.*\]\s*$"), F.coalesce(as_list, raw)).otherwise(raw)
+
+    return let(F.from_json(json_body(s), f"`{field}` string", LENIENT)[field], plain)
 
 
 def fallback_field(s: Column, field: str = "recognized_text", keep_marks: bool = False) -> Column:
@@ -50,8 +52,8 @@ def recognised(s: Column, compat: bool = True) -> Column:
 
 def score(response: Column, ref: Column, amp: float = 1.0) -> Column:
     """struct(quality, semantic, recognised): semantic is null without a reference; unreadable responses score 0."""
-    rec = text.process_raw_text(recognised(response))
-    failed = recognised(response).isNull()
+    raw = recognised(response)
+    rec, failed = text.process_raw_text(raw), raw.isNull()
     words = lambda c: text.tokens(text.lower_split(c))
     g = assign.gned(words(ref), words(text.match_marks(rec, ref)))
     return F.struct(
@@ -67,12 +69,21 @@ def score_levels(response: Column, ref: Column, reference_free: bool = False) ->
     Unreadable responses: 0 quality where more than half of the text is marks and
     no reference is given, else nothing but the error mark.
     """
-    rec_raw = F.coalesce(json_field(response, "recognized_text"), fallback_field(response))
-    cor_raw = F.coalesce(json_field(response, "correct_text"), fallback_field(response, "correct_text"))
-    is_json = json_field(response, "recognized_text").isNotNull()
+    fields = F.struct(
+        json_field(response, "recognized_text").alias("j"), fallback_field(response).alias("r"),
+        F.coalesce(json_field(response, "correct_text"), fallback_field(response, "correct_text")).alias("c"),
+    )
+    return let(fields, lambda x: _levels(response, ref, reference_free, F.coalesce(x["j"], x["r"]), x["c"], x["j"].isNotNull()))
+
+
+def _levels(response: Column, ref: Column, reference_free: bool, rec_raw: Column, cor_raw: Column, is_json: Column) -> Column:
     bad = ~is_json & match.is_bad(response) & (ref.isNull() if ref is not None else F.lit(True))
     marks = lambda c: F.replace(F.replace(c, F.lit("<#>"), F.lit("#")), F.lit("<###>"), F.lit("###"))
-    rec, cor = text.process_raw_text(rec_raw), marks(text.process_raw_text(cor_raw))
+    both = F.struct(text.process_raw_text(rec_raw).alias("rec"), marks(text.process_raw_text(cor_raw)).alias("cor"))
+    return let(both, lambda x: _graded(ref, reference_free, rec_raw, cor_raw, is_json, bad, marks, x["rec"], x["cor"]))
+
+
+def _graded(ref, reference_free, rec_raw, cor_raw, is_json, bad, marks, rec, cor) -> Column:
     row = lambda s, q, r, c: F.struct(s.cast("int").alias("semantic"), q.cast("int").alias("quality"), r.alias("recognised"), c.alias("correct"))
     none, error = F.lit(None).cast("string"), F.lit("<JSON_ERROR>")
     zh = text.contains_chinese(ref)

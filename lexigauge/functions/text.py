@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .expr import let
+
 # Character ranges and keywords that results depend on.
 CJK = "一-鿿"  # any ideograph (U+4E00 to U+9FFF)
 CJK_NARROW = "一-龥"  # to U+9FA5, used by the whitelists
@@ -62,9 +64,6 @@ SOFT = "，。！？, "
 
 def process_raw_text(s: Column) -> Column:
     """Unescapes, then takes punctuation for white space; inside balanced quotes it stays and the quotes go."""
-    t = unescape(F.coalesce(s, F.lit("")))
-    quotes = F.length(t) - F.length(F.translate(t, OPENERS, ""))
-    plain = F.regexp_replace(t, "[，。！？,]+", " ")
     start = F.struct(F.lit("").alias("out"), F.lit("").alias("close"))
 
     def step(acc: Column, ch: Column) -> Column:
@@ -81,9 +80,13 @@ def process_raw_text(s: Column) -> Column:
             .otherwise(state(add(ch), acc["close"]))
         )
 
-    # a closing mark that isn't an opener too (” ’ 〞) is an ordinary character and leaves the quote open
-    quoted = F.aggregate(F.split(t, ""), start, step, lambda a: a["out"])
-    return F.trim(F.regexp_replace(F.when(quotes >= 2, quoted).otherwise(plain), r"(?U)\s+", " "))
+    def whole(t: Column) -> Column:
+        quotes = F.length(t) - F.length(F.translate(t, OPENERS, ""))
+        # a closing mark that isn't an opener too (” ’ 〞) is an ordinary character and leaves the quote open
+        quoted = F.aggregate(F.split(t, ""), start, step, lambda a: a["out"])
+        return F.when(quotes >= 2, quoted).otherwise(F.regexp_replace(t, "[，。！？,]+", " "))
+
+    return F.trim(F.regexp_replace(let(unescape(F.coalesce(s, F.lit(""))), whole), r"(?U)\s+", " "))
 
 
 def words_in_quotes(s: Column) -> Column:
