@@ -9,6 +9,8 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expr import let  # noqa: F401  for the operators
+
 
 def work_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir`` where it is set."""
@@ -54,11 +56,6 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("\0null")))
 
 
-def let(value: Column, then) -> Column:
-    """``then(value)`` with the value computed once, even where ``then`` uses it inside another lambda."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
