@@ -1,6 +1,7 @@
 """Every registered query against its SQL on the smallest tables, and plans without Python or products."""
 
 import os
+import re
 from pathlib import Path
 
 import duckdb
@@ -38,3 +39,23 @@ def test_query(spark, duck, name):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert name in WITH_PYTHON or "Python" not in plan
     assert name in ONE_ROW_PRODUCTS or "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize(
+    ("name", "columns"),
+    [
+        ("weighted_rollup", {"l_quantity", "l_discount", "l_returnflag", "l_linestatus"}),
+        ("tag_means", {"lang", "n_chars"}),
+        ("zero_std_ratio", {"l_orderkey", "l_discount"}),
+        ("sad_confusion", {"doc_id", "text"}),
+    ],
+)
+def test_scans_read_what_is_used(spark, name, columns):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    read = {c.split(":")[0] for part in re.findall(r"ReadSchema: struct<([^>]*)>", plan) for c in part.split(",")}
+    assert read == columns
+
+
+def test_filters_reach_the_scan(spark):
+    plan = catalog._turns(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(role,user)" in plan and "EqualTo(role,assistant)" in plan
