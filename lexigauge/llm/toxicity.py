@@ -37,11 +37,16 @@ STEMS = (3, 5, 7)
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def words(text: str | None) -> dict[str, int]:
-    """Counts of the words, lower-cased, and of their beginnings."""
+def counted(text: str | None) -> dict[str, int]:
+    """Counts of the words, lower-cased."""
     out: dict[str, int] = {}
     for w in WORD.findall((text or "").lower()):
         out[w] = out.get(w, 0) + 1
+    return out
+
+
+def with_stems(out: dict[str, int]) -> dict[str, int]:
+    """Adds the counts of the words' beginnings."""
     for w, n in list(out.items()):
         for k in STEMS:
             if len(w) > k:
@@ -50,6 +55,15 @@ def words(text: str | None) -> dict[str, int]:
     return out
 
 
+def words(text: str | None) -> dict[str, int]:
+    return with_stems(counted(text))
+
+
+def unpacked(row: tuple[str, bytes]) -> dict[str, int]:
+    """The same from a text's different words and their counts."""
+    return with_stems(dict(zip(row[0].split(" "), np.frombuffer(row[1], np.int32).tolist()))) if row[0] else {}
+
+
 @dataclass
 class Ordinal:
     weights: dict[str, float]
@@ -66,13 +80,13 @@ class Ordinal:
         return float(sum(p)), float(p[0])
 
 
-def select_words(texts: list[str], y: np.ndarray, most: int, least_rows: int) -> list[str]:
+def select_words(rows: list, y: np.ndarray, most: int, least_rows: int, features=words) -> list[str]:
     """Features whose presence says most about y (chi-square with half a row added), ties by name."""
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     seen: dict[str, int] = {}  # rows, and rows with y = 1 in the higher bits
-    for t, k in zip(texts, y):
+    for t, k in zip(rows, y):
         one = 1 + (int(k) << 32)
-        for w in words(t):
+        for w in features(t):
             seen[w] = seen.get(w, 0) + one
     scored = []
     for w, both in seen.items():
@@ -125,15 +139,15 @@ def best_cut(logit: np.ndarray, y: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-np.clip(middle, -6, 6))))
 
 
-def fit(texts: list[str], y: np.ndarray, most: int = 1500, least_rows: int = 3, l1: float = 4e-4, rounds: int = 150, refit: int = 500, rate: float = 0.5) -> Ordinal:
-    """A first fit under a strong penalty chooses the features, a second under one that weakens as rows grow sets their weights."""
+def fit(rows: list, y: np.ndarray, features=words, most: int = 1500, least_rows: int = 3, l1: float = 4e-4, rounds: int = 150, refit: int = 500, rate: float = 0.5) -> Ordinal:
+    """``features`` gives the counts of a row. A first fit under a strong penalty chooses the features, a second under one that weakens as rows grow sets their weights."""
     if len(y) == 0 or y.min() == y.max():
         return Ordinal({}, (40.0, 41.0, 42.0), 0.5)
-    vocab = select_words(texts, y, most, least_rows)
+    vocab = select_words(rows, y, most, least_rows, features)
     at = {w: i for i, w in enumerate(vocab)}
     x = np.zeros((len(y), len(vocab)), np.float32)
-    for i, t in enumerate(texts):
-        for w, n in words(t).items():
+    for i, t in enumerate(rows):
+        for w, n in features(t).items():
             if (j := at.get(w)) is not None:
                 x[i, j] = 1 + np.log(n)
     p1, p0 = (x[y == 1] > 0).mean(0), (x[y == 0] > 0).mean(0)
@@ -150,16 +164,15 @@ def fit(texts: list[str], y: np.ndarray, most: int = 1500, least_rows: int = 3,
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "toxic", where=None) -> Ordinal:
     some = labelled(docs.sparkSession, labels, label, F.lit(True) if where is None else where, sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "y", "text")
-    found, y, ids = [], [], []
 
-    def brief(batches):  # words alone reach the driver, not texts
+    def brief(batches):  # different words and counts reach the driver, not texts
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([" ".join(x for w, n in words(t.as_py()).items() if w[0] != "^" for x in [w] * n) for t in b.column(2)], pa.string())], ["doc_id", "y", "words"])
+            c = [counted(t.as_py()) for t in b.column(2)]
+            cols = [pa.array([" ".join(x) for x in c], pa.string()), pa.array([np.array(list(x.values()), np.int32).tobytes() for x in c], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["doc_id", "y", "words", "counts"])
 
-    for r in rows.mapInArrow(brief, "doc_id long, y int, words string").toLocalIterator():
-        ids.append(r.doc_id), found.append(r.words), y.append(int(r.y))
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], found[i]))
-    return fit([found[i] for i in order], np.array([y[i] for i in order], int))
+    got = sorted((r.doc_id, r.words, bytes(r.counts), int(r.y)) for r in rows.mapInArrow(brief, "doc_id long, y int, words string, counts binary").collect())  # at most ``sample`` ids
+    return fit([r[1:3] for r in got], np.array([r[3] for r in got], int), unpacked)
 
 
 def severity(docs: DataFrame, model: Ordinal) -> DataFrame:
