@@ -107,7 +107,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str =
                 packed.append(i.astype(np.uint16).tobytes() + n.astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], ["doc_id", "y", "f"])
 
-    got = [(r.doc_id, int(r.y), bytes(r.f)) for r in rows.mapInArrow(brief, "doc_id long, y int, f binary").collect()]  # at most ``sample`` ids
+    one = rows.mapInArrow(brief, "doc_id long, y int, f binary").groupBy("doc_id", "y").agg(F.min("f").alias("f"))
+    got = [(r.doc_id, int(r.y), bytes(r.f)) for r in one.collect()]  # at most ``sample`` rows, one an id
     found, y = [], []
     for _, label_, f in sorted(got):
         m = len(f) // 6

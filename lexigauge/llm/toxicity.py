@@ -171,7 +171,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str =
             cols = [pa.array([" ".join(x) for x in c], pa.string()), pa.array([np.array(list(x.values()), np.int32).tobytes() for x in c], pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["doc_id", "y", "words", "counts"])
 
-    got = sorted((r.doc_id, r.words, bytes(r.counts), int(r.y)) for r in rows.mapInArrow(brief, "doc_id long, y int, words string, counts binary").collect())  # at most ``sample`` ids
+    found = rows.mapInArrow(brief, "doc_id long, y int, words string, counts binary").groupBy("doc_id", "y").agg(F.min(F.struct("words", "counts")).alias("f"))
+    got = sorted((r.doc_id, r.f.words, bytes(r.f.counts), int(r.y)) for r in found.collect())  # at most ``sample`` rows, one an id
     return fit([r[1:3] for r in got], np.array([r[3] for r in got], int), unpacked)
 
 
