@@ -264,3 +264,8 @@ def resize(width: Column, height: Column, max_size: float, min_size: float, stri
     two = F.when(pixels > room, scaled(one["width"], one["height"], room / pixels)).otherwise(one)
     edge = F.greatest(two["width"], two["height"])
     return F.when(edge > max_size, scaled(two["width"], two["height"], F.lit(float(max_size)) / edge)).otherwise(two)
+
+
+def style_key(class_: Column) -> Column:
+    """A class name as the key of its reference set."""
+    return F.lower(F.replace(class_, F.lit(" "), F.lit("_")))

@@ -84,6 +84,13 @@ def masked(df: DataFrame, mask: str, batches: int, key: str, seed: int = 0, refi
     return kept.unionByName(df.filter(~F.col(mask)).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(lack))
 
 
+def nudged(df: DataFrame, advantages: str, eps: float = 1e-6) -> DataFrame:
+    """Adds eps to every step's advantage where no row of the whole batch has any signal."""
+    any_signal = df.agg(F.coalesce(F.bool_or(nonzero_mask(F.col(advantages))), F.lit(True)).alias("__any"))
+    d = df.crossJoin(F.broadcast(any_signal))  # one row
+    return d.withColumn(advantages, F.when(F.col("__any"), F.col(advantages)).otherwise(F.transform(advantages, lambda x: x + eps))).drop("__any")
+
+
 def over_steps(reward: Column, steps: int | Column, kl: Column | None = None, coef: float = 0.0) -> Column:
     """A reward for each step, less a penalty for divergence."""
     return F.array_repeat(reward, steps) if kl is None else F.transform(kl, lambda k: reward - coef * k)
@@ -93,8 +100,11 @@ def known_mean(value: str, sentinel: float = -10) -> Column:
     return F.avg(F.when(F.col(value) != sentinel, F.col(value)))
 
 
-def policy_stats(df: DataFrame, eps_low: float, eps_high: float | None = None, clip: float = 5.0, guard: bool = False) -> DataFrame:
-    """One row of loss statistics over (advantage, log_prob, old_log_prob) rows; with two sides of clipping."""
+def policy_stats(df: DataFrame, eps_low: float, eps_high: float | None = None, clip: float = 5.0, guard: bool = False, dt: str | None = None) -> DataFrame:
+    """One row of loss statistics over (advantage, log_prob, old_log_prob) rows; with two sides of clipping.
+
+    ``guard`` adds the ratio's mean and sample std; ``dt`` names a column of step sizes that losses are divided by.
+    """
     hi = eps_low if eps_high is None else eps_high
     diff = F.col("log_prob") - F.col("old_log_prob")
     ratio, adv = F.exp(diff), F.greatest(F.lit(-clip), F.least(F.lit(clip), F.col("advantage")))
@@ -105,7 +115,7 @@ def policy_stats(df: DataFrame, eps_low: float, eps_high: float | None = None, c
         share((ratio - 1 > hi) | (1 - ratio > eps_low)).alias("clipfrac"),
         share(ratio - 1 > hi).alias("clipfrac_gt_one"),
         share(1 - ratio > eps_low).alias("clipfrac_lt_one"),
-        F.avg(F.greatest(-adv * ratio, -adv * clipped)).alias("policy_loss"),
+        F.avg(F.greatest(-adv * ratio, -adv * clipped) / (F.lit(1.0) if dt is None else F.col(dt))).alias("policy_loss"),
     ]
     if guard:
         out += [F.avg(ratio).alias("ratio_mean"), F.stddev_samp(ratio).alias("ratio_std")]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from ..functions import parse, text
 from ..operators import joins
@@ -35,6 +36,16 @@ def json_or_jsonl(spark: SparkSession, path: str, schema: str, on_bad: str = "er
     return spark.read.schema(SCHEMAS.get(schema, schema)).option("mode", MODES[on_bad]).option("multiLine", not path.endswith(".jsonl")).json(path)
 
 
+def optional(spark: SparkSession, path: str, schema: str, on_bad: str = "null") -> DataFrame:
+    """As ``json_or_jsonl``; no rows where there is no such file."""
+    try:
+        return json_or_jsonl(spark, path, schema, on_bad)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], SCHEMAS.get(schema, schema))
+
+
 def rows_in_document(spark: SparkSession, path: str, schema: str, field: str) -> DataFrame:
     """Rows of an array inside one JSON object; none where it is missing."""
     return json_or_jsonl(spark, path, schema).select(F.explode(field).alias("r")).select("r.*")

@@ -182,3 +182,13 @@ def test_small_helpers(spark):
     p = spark.range(40).select(sample.composed_prompts(F.col("id"), ["owl", "dog"], ["runs"]).alias("p"), sample.sign_prompts(F.col("id"), ["owl"]).alias("s"))
     assert {r.p for r in p.collect()} == {"an owl runs", "a dog runs"} and all(r.s.endswith('6"') for r in p.collect())
     assert sample.near_equal_parts(spark.range(130), 64, "id").groupBy("batch").count().count() == 3
+
+
+def test_optional_and_nudged(spark, tmp_path):
+    assert readers.optional(spark, str(tmp_path / "none.jsonl"), "longtext").count() == 0
+    d = spark.createDataFrame([([0.0, 0.0],), ([0.0, 0.0],)], "a array<double>")
+    assert [r.a for r in reward.nudged(d, "a").collect()] == [[1e-6, 1e-6]] * 2
+    d = d.union(spark.createDataFrame([([1.0, 0.0],)], d.schema))
+    assert sorted(r.a for r in reward.nudged(d, "a").collect()) == [[0.0, 0.0], [0.0, 0.0], [1.0, 0.0]]
+    p = spark.createDataFrame([(1.0, 0.0, 0.0, 0.5)], "advantage double, log_prob double, old_log_prob double, dt double")
+    assert reward.policy_stats(p, 0.2, dt="dt").first().policy_loss == -2.0
