@@ -40,7 +40,7 @@ PERMS, ROWS, BANDS = 168, 7, 48
 FIRST_BANDS = 4
 BLOCK = 512
 BROADCAST_ROWS = 1_000_000
-WORDS_CACHED = 400_000
+WORDS_CACHED = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _cache: dict[bytes, int] = {}
 
@@ -118,10 +118,12 @@ def class_sets(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sets = [shingles(t.as_py(), k) for t in batch.column(1)]
-            off = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            vals = pa.array(np.concatenate([x.view(np.int64) for x in sets]) if sets else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off), pa.int64()), pa.ListArray.from_arrays(pa.array(off), vals)], ["node", "n", "s"])
+            for at in range(0, batch.num_rows, 500):  # a part's sets are in memory at a time
+                part = batch.slice(at, 500)
+                sets = [shingles(t.as_py(), k) for t in part.column(1)]
+                off = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                vals = pa.array(np.concatenate([x.view(np.int64) for x in sets]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off), pa.int64()), pa.ListArray.from_arrays(pa.array(off), vals)], ["node", "n", "s"])
 
     return d.mapInArrow(run, "node long, n long, s array<long>").dropDuplicates(["node"])
 

@@ -27,7 +27,7 @@ from .base import crc_mod, labelled
 
 SAMPLE, BITS, DIM = 6_000, 15, 12
 GRAMS = (3, 4)
-WORDS_CACHED = 400_000
+WORDS_CACHED = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _cache: dict[str, int] = {}
 
