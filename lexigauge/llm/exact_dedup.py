@@ -62,6 +62,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         rec = _without_recipes(rec, ambiguous)
     one = rec.groupBy("ids", "text_sha256", "doc_id", "tkey").agg(F.count(F.lit(1)).alias("n"))
     group = one.groupBy("ids", "text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"), F.max(F.struct("doc_id", "tkey")).alias("best"))
+    group = materialise(group, "groups")  # else both sides would be dealt alike beforehand, and a large group couldn't be split
     out = one.join(group, ["ids", "text_sha256"]).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     kept = (F.col("i") == 1) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("tkey") == F.col("best.tkey"))
     return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), kept.alias("kept"), "text_sha256", "tkey")
