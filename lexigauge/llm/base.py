@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import let  # noqa: F401  for the operators
@@ -61,18 +60,12 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def crc_mod_py(doc_id: int | None, n: int) -> int | None:
-    return None if doc_id is None else zlib.crc32(str(doc_id).encode()) % n
-
-
 def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` that ``decided`` (doc_id, tkey, kept) keeps, with the columns of ``docs``.
 
     Texts move once, dealt by id. Of rows that repeat one (id, text) the first
     in the order of their other columns stays. Null ids match null ids.
     """
-    from pyspark.sql import Window
-
     cols = docs.columns
     d = docs.withColumn("__k", text_key(F.col(text_col)))
     yes = decided.filter("kept").select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__tk")).distinct()

@@ -29,22 +29,20 @@ from .base import crc_mod
 
 DIM, N, BITS = 512, 3, 7
 CHARS_AT_ONCE = 400_000
-_tables: tuple[np.ndarray, np.ndarray] | None = None
+_table: np.ndarray | None = None
 
 
 def _symbols() -> np.ndarray:
     """Symbol of each code point; 0 for all that isn't a letter."""
-    global _tables
-    if _tables is None:
+    global _table
+    if _table is None:
         t = np.zeros(0x110000, np.uint8)
         for c in range(0x110000):
-            ch = chr(c)
-            if ch.isalpha():
-                low = ch.lower()
-                k = ord(low[0])
+            if chr(c).isalpha():
+                k = ord(chr(c).lower()[0])
                 t[c] = k - 96 if 97 <= k <= 122 else k - 196 if 0xDF <= k <= 0xFF else 60 + (k * 2654435761 >> 7) % 67
-        _tables = (t, np.empty(0))
-    return _tables[0]
+        _table = t
+    return _table
 
 
 def _letters(seed: int, dim: int) -> np.ndarray:
