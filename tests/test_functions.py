@@ -154,3 +154,67 @@ def test_distance(a, b):
         for j in range(1, len(b) + 1):
             d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
     assert assign.distance(a, b) == d[len(a)][len(b)]
+
+
+words = st.lists(st.text("abc", max_size=4), max_size=6)
+
+
+@settings(max_examples=80, deadline=None)
+@given(words, words, st.randoms(use_true_random=False))
+def test_gned_properties(a, b, rnd):
+    v = assign.gned_of(a, b)
+    assert 0 <= v <= 1 and assign.gned_of(a, a) == 0
+    mixed = list(b)
+    rnd.shuffle(mixed)
+    assert assign.gned_of(a, mixed) == pytest.approx(v)
+
+
+def test_bag_properties(spark):
+    rng = np.random.default_rng(3)
+    rows = [([str(x) for x in rng.integers(0, 5, rng.integers(0, 9))], [str(x) for x in rng.integers(0, 5, rng.integers(0, 9))]) for _ in range(200)]
+    d = spark.createDataFrame(rows, "g array<string>, p array<string>")
+    r = d.select("g", "p", match.bag_classify(F.col("g"), F.col("p")).alias("b"), match.bag_overlap(F.col("g"), F.col("p")).alias("o")).collect()
+    for x in r:
+        assert len(x.b.correct) == x.o
+        assert sorted(x.b.correct + x.b.duplicate + x.b.irrelevant) == sorted(x.p)
+        assert sorted(x.b.correct + x.b.missing) == sorted(x.g)
+
+
+def test_quoted_spans_against_a_state_machine(spark):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("ab “”‘’\"'《》"), 14)) for _ in range(400)]
+
+    def plain(s):
+        out, close, start = [], None, 0
+        for i, c in enumerate(s):
+            if close is None and c in text.QUOTES:
+                close, start = text.QUOTES[c], i + 1
+            elif c == close:
+                out.append(s[start:i].strip())
+                close = None
+        return [x for x in out if x]
+
+    got = spark.createDataFrame([(t,) for t in texts], "s string").select("s", text.quoted_spans(F.col("s")).alias("q")).collect()
+    assert all(r.q == plain(r.s) for r in got)
+
+
+def test_raw_text_against_a_state_machine(spark):
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("ab ,，。“”‘'\"〝〞"), 12)) for _ in range(400)]
+
+    def plain(s):
+        pairs = dict(zip(text.OPENERS, text.CLOSERS))
+        if sum(c in pairs for c in s) < 2:
+            return " ".join("".join(" " if c in "，。！？," else c for c in s).split())
+        out, close = "", None
+        for c in s:
+            if c in pairs and close is None:
+                close = pairs[c]
+            elif c in pairs and c == close:
+                close = None
+            else:
+                out += " " if c in text.SOFT and close is None else c
+        return " ".join(out.split())
+
+    got = spark.createDataFrame([(t,) for t in texts], "s string").select("s", text.process_raw_text(F.col("s")).alias("t")).collect()
+    assert all(r.t == plain(r.s) for r in got)

@@ -192,3 +192,12 @@ def test_optional_and_nudged(spark, tmp_path):
     assert sorted(r.a for r in reward.nudged(d, "a").collect()) == [[0.0, 0.0], [0.0, 0.0], [1.0, 0.0]]
     p = spark.createDataFrame([(1.0, 0.0, 0.0, 0.5)], "advantage double, log_prob double, old_log_prob double, dt double")
     assert reward.policy_stats(p, 0.2, dt="dt").first().policy_loss == -2.0
+
+
+def test_advantage_properties(spark):
+    rows = [(i, f"p{i % 37 % 11}", float((i * 7919) % 13)) for i in range(300)]
+    d = spark.createDataFrame(rows, "pos int, prompt string, reward double")
+    sums = reward.grpo_advantage(d, "prompt", "reward").groupBy("prompt").agg(F.sum("advantage").alias("s")).collect()
+    assert all(abs(r.s) < 1e-9 for r in sums)
+    pairs = reward.dpo_pair(d, "prompt", "reward", "pos").groupBy("prompt").agg(F.sum("advantage").alias("s"), F.count_if(F.col("advantage") != 0).alias("n")).collect()
+    assert all(r.s == 0 and r.n == 2 for r in pairs)
