@@ -155,7 +155,15 @@ def length_weights(spark, sf):
     return table(spark, sf, "part").select("p_partkey", r6(text.length_weight(F.col("p_size"))).alias("square"), r6(text.length_weight(F.col("p_size"), "sample")).alias("per_sample"))
 
 
-@query()
+DIVISIBLE = "greatest(16, CAST(round_even(round_even({0} * {1}, 0) / 16, 0) AS INT) * 16)"
+SCALE = "greatest(least(1024.0 / greatest(w, h), 1.0), 256.0 / least(w, h))"
+
+
+@query(
+    f"""WITH a AS (SELECT p_partkey, p_size * 40 AS w, p_retailprice AS h FROM part), b AS (SELECT p_partkey, {DIVISIBLE.format("w", SCALE)} AS w, {DIVISIBLE.format("h", SCALE)} AS h FROM a),
+    c AS (SELECT p_partkey, CASE WHEN w * h > 262144 THEN {DIVISIBLE.format("w", "(262144.0 / (w * h))")} ELSE w END AS w2, CASE WHEN w * h > 262144 THEN {DIVISIBLE.format("h", "(262144.0 / (w * h))")} ELSE h END AS h2 FROM b)
+    SELECT p_partkey, CASE WHEN greatest(w2, h2) > 1024 THEN {DIVISIBLE.format("w2", "(1024.0 / greatest(w2, h2))")} ELSE w2 END AS width, CASE WHEN greatest(w2, h2) > 1024 THEN {DIVISIBLE.format("h2", "(1024.0 / greatest(w2, h2))")} ELSE h2 END AS height FROM c"""
+)
 def resized(spark, sf):
     d = table(spark, sf, "part").select("p_partkey", text.resize(F.col("p_size") * 40, F.col("p_retailprice"), 1024, 256, 16, 512 * 512).alias("r"))
     return d.select("p_partkey", "r.width", "r.height")
@@ -400,7 +408,7 @@ def _first_of(d: DataFrame) -> DataFrame:
 )
 def refset_max_cosine(spark, sf):
     d = table(spark, sf, "embeddings")
-    refs = d.join(F.broadcast(_first_of(d)), ["label", "vec_id"]).groupBy("label").agg(F.collect_list("embedding").alias("refs"))
+    refs = d.join(_first_of(d), ["label", "vec_id"]).groupBy("label").agg(F.collect_list("embedding").alias("refs"))
     best = F.array_max(F.transform("refs", lambda r: F.greatest(vec.cosine(F.col("embedding"), r), F.lit(0.0))))
     return d.join(refs, "label").select("vec_id", r6(best).alias("style"))
 
@@ -489,7 +497,10 @@ def dpo_loss(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", r6(reward.dpo_loss(d, t, t, F.lit(0.02), 100.0)).alias("loss"))
 
 
-@query()
+@query(
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, sqrt(0.8 / (1 - 0.8)) * 0.7 AS sd FROM embeddings)
+    SELECT vec_id, round(list_avg(list_transform(e, lambda x: -pow(0.9 * x - (x * (1 - sd * sd / 1.6 * 0.2) - 0.5 * x * (1 + sd * sd * 0.2 / 1.6) * 0.2), 2) / (2 * sd * sd * 0.2) - ln(sd * sqrt(0.2)) - ln(sqrt(2 * pi())))), 6) AS log_prob FROM v"""
+)
 def step_statistics(spark, sf):
     """Mean and log-probability of a denoising step over embeddings."""
     e = F.transform("embedding", lambda x: x.cast("double"))
