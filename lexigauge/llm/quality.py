@@ -14,7 +14,6 @@ every score is 0.5. Rows are judged one by one; ties and repeats don't matter.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
