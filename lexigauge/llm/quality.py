@@ -66,7 +66,7 @@ class Model:
 
 
 def fit(found: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, bits: int = BITS, dim: int = DIM, epochs: int = 6, rate: float = 4.0, seed: int = 5) -> Model:
-    """found: bucket ids and counts of each row."""
+    """``found``: bucket ids and counts of each row."""
     r = np.random.default_rng(seed)
     e = r.uniform(-1 / dim, 1 / dim, (1 << bits, dim)).astype(np.float32)
     w, b = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
@@ -77,7 +77,8 @@ def fit(found: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, bits: int = B
     steps, total = 0, epochs * len(y)
     for _ in range(epochs):
         for i in r.permutation(len(y)):
-            idx, share = found[i]
+            idx, share = found[i][0], found[i][1].astype(np.float32)
+            share /= max(1e-9, share.sum())
             lr = rate * (1 - steps / total)
             steps += 1
             h = share @ e[idx] if len(idx) else np.zeros(dim, np.float32)
@@ -98,23 +99,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str =
     some = labelled(docs.sparkSession, labels, label, F.lit(True) if where is None else where, sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "y", "text")
 
-    def brief(batches):  # buckets and counts, 6 bytes each
+    def brief(batches):  # buckets and counts, 4 bytes together
         for b in batches:
             packed = []
             for t in b.column(2):
                 i, n = np.unique(features(t.as_py()), return_counts=True)
-                packed.append(i.astype(np.uint16).tobytes() + n.astype(np.float32).tobytes())
+                packed.append(i.astype(np.uint16).tobytes() + np.minimum(n, 65535).astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], ["doc_id", "y", "f"])
 
     one = rows.mapInArrow(brief, "doc_id long, y int, f binary").groupBy("doc_id", "y").agg(F.min("f").alias("f"))
     got = [(r.doc_id, int(r.y), bytes(r.f)) for r in one.collect()]  # at most ``sample`` rows, one an id
-    found, y = [], []
-    for _, label_, f in sorted(got):
-        m = len(f) // 6
-        n = np.frombuffer(f, np.float32, m, 2 * m) if m % 2 == 0 else np.frombuffer(f[2 * m :], np.float32)
-        found.append((np.frombuffer(f, np.uint16, m).astype(np.int64), n / max(1, n.sum())))
-        y.append(label_)
-    return fit(found, np.array(y, int))
+    found = [np.frombuffer(f, np.uint16).reshape(2, -1) for *_, f in sorted(got)]
+    return fit(found, np.array([y for _, y, _ in sorted(got)], int))
 
 
 def quality(docs: DataFrame, model: Model, folds: int = 3, held: int = 1) -> DataFrame:
