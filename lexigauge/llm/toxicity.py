@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -88,25 +89,50 @@ def select_words(rows: list, y: np.ndarray, most: int, least_rows: int, features
         one = 1 + (int(k) << 32)
         for w in features(t):
             seen[w] = seen.get(w, 0) + one
-    scored = []
-    for w, both in seen.items():
-        a, a1 = both & 0xFFFFFFFF, both >> 32
-        if a >= least_rows:
-            p1, p0, p = a1 / n1, (a - a1) / n0, a / (n0 + n1)
-            scored.append((-((p1 - p0) ** 2) / (p * (1 - p) + 0.5 / (n0 + n1)), w))
-    return [w for _, w in heapq.nsmallest(most, scored)]
 
+    def scored():
+        for w, both in seen.items():
+            a, a1 = both & 0xFFFFFFFF, both >> 32
+            if a >= least_rows:
+                p1, p0, p = a1 / n1, (a - a1) / n0, a / (n0 + n1)
+                yield -((p1 - p0) ** 2) / (p * (1 - p) + 0.5 / (n0 + n1)), w
 
-def _descend(x: np.ndarray, grade: np.ndarray, l1: float, rounds: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    return [w for _, w in heapq.nsmallest(most, scored())]
+
+
+@dataclass
+class Sparse:
+    """Feature values of the rows, only those that aren't 0."""
+
+    row: np.ndarray
+    col: np.ndarray
+    val: np.ndarray
+    rows: int
+    cols: int
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.val * w[self.col], self.rows)
+
+    def transposed_times(self, d: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, self.val * d[self.row], self.cols)
+
+    def only(self, cols: np.ndarray) -> Sparse:
+        at = np.full(self.cols, -1)
+        at[cols] = np.arange(len(cols))
+        keep = at[self.col] >= 0
+        return Sparse(self.row[keep], at[self.col[keep]], self.val[keep], self.rows, len(cols))
+
+
+def _descend(x: Sparse, grade: np.ndarray, l1: float, rounds: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by proximal full-batch ascent of the ordinal likelihood; gaps are exponentials, so thresholds stay in order."""
     n, rows = len(grade), np.arange(len(grade))
     share = np.clip(np.stack([grade > j for j in range(3)], 1).mean(0), 1e-4, 1 - 1e-4)
     theta = -np.log(share / (1 - share))
     base, gap = theta[0], np.log(np.maximum(np.diff(theta), 0.05))
-    w, gw, gb, gg = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-8), 1e-8, np.full(2, 1e-8)
+    w, gw, gb, gg = np.zeros(x.cols), np.full(x.cols, 1e-8), 1e-8, np.full(2, 1e-8)
     for _ in range(rounds):
         theta = base + np.concatenate([[0], np.cumsum(np.exp(gap))])
-        eta = (x @ w.astype(np.float32)).astype(np.float64)
+        eta = x.times(w)
         p = 1 / (1 + np.exp(-np.clip(eta[:, None] - theta, -40, 40)))
         # adjacent thresholds give the category's probability; its logarithm's slope in each cumulative term
         up = np.concatenate([np.ones((n, 1)), p], 1)[rows, grade]
@@ -116,7 +142,7 @@ def _descend(x: np.ndarray, grade: np.ndarray, l1: float, rounds: int, rate: flo
         pad = np.concatenate([np.zeros((n, 1)), slope, np.zeros((n, 1))], 1)
         d_eta = (pad[rows, grade] - pad[rows, grade + 1]) / mass / n
         d_theta = np.array([(np.where(grade == j, slope[:, j], 0) / mass).sum() - (np.where(grade == j + 1, slope[:, j], 0) / mass).sum() for j in range(3)]) / n
-        g = x.T @ d_eta.astype(np.float32)
+        g = x.transposed_times(d_eta)
         gw += g * g
         step = rate / np.sqrt(gw)
         w = w + step * g
@@ -145,19 +171,21 @@ def fit(rows: list, y: np.ndarray, features=words, most: int = 1500, least_rows:
         return Ordinal({}, (40.0, 41.0, 42.0), 0.5)
     vocab = select_words(rows, y, most, least_rows, features)
     at = {w: i for i, w in enumerate(vocab)}
-    x = np.zeros((len(y), len(vocab)), np.float32)
+    row, col, val = array("i"), array("i"), array("d")
     for i, t in enumerate(rows):
         for w, n in features(t).items():
             if (j := at.get(w)) is not None:
-                x[i, j] = 1 + np.log(n)
-    p1, p0 = (x[y == 1] > 0).mean(0), (x[y == 0] > 0).mean(0)
-    marks = (x[:, p1 > 3 * p0 + 0.002] > 0).sum(1)
+                row.append(i), col.append(j), val.append(1 + np.log(n))
+    x = Sparse(np.array(row), np.array(col), np.array(val), len(y), len(vocab))
+    p1, p0 = (np.bincount(x.col[y[x.row] == k], minlength=x.cols) / (y == k).sum() for k in (1, 0))
+    marks = np.bincount(x.row[(p1 > 3 * p0 + 0.002)[x.col]], minlength=x.rows)
     cut = np.quantile(marks[y == 1], [1 / 3, 2 / 3])
     grade = np.where(y == 1, 1 + (marks > cut[0]) + (marks > max(cut[1], cut[0] + 1)), 0).astype(int)
     w, _ = _descend(x, grade, l1, rounds, rate)
     chosen = np.flatnonzero(w)
-    w, theta = _descend(x[:, chosen], grade, l1 * min(1.0, max(0.05, 1000 / len(y))), refit, rate)
-    cut = best_cut(x[:, chosen] @ w - theta[0], y)
+    x = x.only(chosen)
+    w, theta = _descend(x, grade, l1 * min(1.0, max(0.05, 1000 / len(y))), refit, rate)
+    cut = best_cut(x.times(w) - theta[0], y)
     return Ordinal({vocab[j]: float(v) for j, v in zip(chosen, w) if v}, tuple(map(float, theta)), cut)
 
 
