@@ -1,4 +1,4 @@
-"""Connected components by label propagation with pointer jumping."""
+"""Connected components by label propagation with hooking of roots and pointer jumping."""
 
 from __future__ import annotations
 
@@ -8,22 +8,25 @@ from pyspark.sql import functions as F
 from .base import materialise
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label) for each node of ``edges`` (a, b): label is the smallest node reachable.
 
-    Each round a node takes the smallest label beside it and then that label's
-    own label, so chains shorten by half or more. Every round is written to
-    the shared folder; only the number of changes reaches the driver.
+    A node's label names another node; each round looks at the labels' own
+    labels. A node takes the smallest of those beside it, and so does the node
+    that its label names, so whole basins of a long chain join at once. Labels
+    only fall, and rounds go on until none does. Every round is written to the
+    shared folder; only whether there were changes reaches the driver.
     """
     e = edges.select("a", "b").filter("a <> b")
     both = materialise(e.union(e.select("b", "a")).distinct(), "edges")
     lab = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
-    for _ in range(max_rounds):
-        seen = both.join(lab.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        near = lab.join(seen, "node", "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("m", "label")).alias("label"))
+    while True:
         up = lab.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        lab = materialise(near.join(up, "label", "left").select("node", "was", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
+        lab = lab.join(up, "label").select("node", F.col("label").alias("was"), "up")
+        seen = both.join(lab.select(F.col("node").alias("b"), "up"), "b").groupBy(F.col("a").alias("node")).agg(F.min("up").alias("m"))
+        near = materialise(lab.join(seen, "node").select("node", "was", F.least("up", "m").alias("m")), "near")
+        root = near.groupBy(F.col("was").alias("node")).agg(F.min("m").alias("r"))
+        lab = materialise(near.join(root, "node", "left").select("node", "was", F.least("m", F.coalesce("r", "m")).alias("label")), "labels")
         if lab.filter("label <> was").isEmpty():
             return lab.select("node", "label")
         lab = lab.select("node", "label")
-    raise RuntimeError(f"components have not settled in {max_rounds} rounds")

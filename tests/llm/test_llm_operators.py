@@ -160,6 +160,15 @@ def test_components(spark):
     assert {r.node: r.label for r in graph.components(e).collect()} == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_components_of_long_chains(spark):
+    """Random names along a chain; each node linked to one or three on either side."""
+    names = np.random.default_rng(3).permutation(3000).tolist()
+    for far, at in ((1, 0), (3, 10**6)):
+        e = [(at + names[i], at + names[i + j]) for j in range(1, far + 1) for i in range(3000 - j)]
+        got = graph.components(spark.createDataFrame(e, "a long, b long")).collect()
+        assert {r.node for r in got} == {at + i for i in range(3000)} and {r.label for r in got} == {at} and len(got) == 3000
+
+
 def test_signatures_are_unbiased():
     a, b = minmax._lanes(3, 400)
     r = np.random.default_rng(0)
