@@ -4,8 +4,9 @@ A text is a layer. In every layer the scanner looks for the base kinds and for
 wrapped parts: percent-encoded runs, backslash-u/x escapes, and base64 words;
 bytes that base64 yields are also inflated if they are gzip or zlib streams.
 Each unwrapped part that reads as text becomes a new layer on the worklist, until
-nothing is left to unwrap. A layer whose content was seen before in this text is
-not scanned again, which ends cycles. Every layer keeps, for each of its
+nothing is left to unwrap. A layer with the content and the place of one seen
+before in this text is not scanned again, which ends cycles; the same content in
+another place is. Every layer keeps, for each of its
 characters, the start and end in the original text it comes from, so a finding
 in any depth maps to a span of the original.
 
@@ -20,9 +21,11 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -152,12 +155,13 @@ def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base = sorted(base_spans(text), key=order)
     n = len(text)
-    work, seen, found = [Layer(text, range(n), range(1, n + 1))], {text}, set(base)
+    work, seen, found = [Layer(text, range(n), range(1, n + 1))], set(), set(base)
     while work:
         for y in unwrapped(work.pop()):
-            if y.text in seen:
+            place = xxhash.xxh3_128_digest(array("q", [*y.at, *y.to]).tobytes())
+            if y.text == text or (y.text, place) in seen:
                 continue
-            seen.add(y.text)
+            seen.add((y.text, place))
             found |= {(k, y.at[a], max(y.to[a:b])) for k, a, b in base_spans(y.text)}
             work.append(y)
     return base, sorted(found, key=order)

@@ -340,6 +340,13 @@ def test_cycles_end():
     assert isinstance(secrets.scan(s + " %25252525252541" * 5)[1], list)
 
 
+def test_one_secret_in_two_places():
+    blob, quoted = base64.b64encode(KEY.encode()).decode(), urllib.parse.quote(KEY)
+    for t, second in ((f"{blob} x {blob}", len(blob) + 3), (f"{blob} x {quoted}", len(blob) + 3)):
+        at = {a for k, a, b in secrets.scan(t)[1] if k == "assign"}
+        assert any(a < len(blob) for a in at) and any(a >= second for a in at)
+
+
 def test_secrets_odd(spark):
     d = documents(spark, ODD + [(20, KEY), (20, KEY)])
     got = secrets.digests(secrets.find_secrets(d)).collect()
