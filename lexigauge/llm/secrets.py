@@ -3,7 +3,9 @@
 A text is a layer. In every layer the scanner looks for the base kinds and for
 wrapped parts: percent-encoded runs, backslash-u/x escapes, and base64 words;
 bytes that base64 yields are also inflated if they are gzip or zlib streams.
-Each unwrapped part that reads as text becomes a new layer on the worklist, until
+A layer with percent or backslash escapes is also unwrapped whole, each escape
+decoded in place, so a secret that is plain in part is found. Each unwrapped
+part that reads as text becomes a new layer on the worklist, until
 nothing is left to unwrap. A layer with the content and the place of one seen
 before in this text is not scanned again, which ends cycles; the same content in
 another place is. Every layer keeps, for each of its
@@ -36,6 +38,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 PERCENT = re.compile(r"(?:[A-Za-z0-9._~+/=:-]*%[0-9A-Fa-f]{2})+[A-Za-z0-9._~+/=:-]*")
 ESCAPES = re.compile(r"(?:[A-Za-z0-9+/_.=: -]*\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}))+[A-Za-z0-9+/_.=-]*")
 ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))")
+PERCENTS = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 INFLATED = 1 << 20
 
@@ -122,6 +125,31 @@ def _escaped(x: Layer, a: int, b: int) -> Layer:
     return Layer("".join(s), at, to)
 
 
+def _runs(x: Layer) -> Layer:
+    """The whole layer, its percent escapes decoded in place; bytes that aren't UTF-8 stay as they are."""
+    s, at, to, i = [], [], [], 0
+    for m in PERCENTS.finditer(x.text):
+        a, data, j = m.start(), bytes.fromhex(m[0].replace("%", "")), 0
+        s.append(x.text[i:a])
+        at += x.at[i:a]
+        to += x.to[i:a]
+        while j < len(data):
+            b = data[j]
+            k = 1 if b < 0x80 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4
+            p, q = a + 3 * j, a + 3 * (j + k)
+            try:
+                s.append(data[j : j + k].decode())
+                at.append(x.at[p]), to.append(x.to[q - 1])
+                j += k
+            except UnicodeDecodeError:
+                s.append(x.text[p : p + 3])
+                at += x.at[p : p + 3]
+                to += x.to[p : p + 3]
+                j += 1
+        i = m.end()
+    return Layer("".join(s) + x.text[i:], [*at, *x.at[i:]], [*to, *x.to[i:]])
+
+
 def _base64(x: Layer, a: int, b: int) -> Layer | None:
     word = x.text[a:b]
     bare = word.rstrip("=")
@@ -143,8 +171,12 @@ def unwrapped(x: Layer) -> list[Layer]:
     t = x.text
     if "%" in t:
         out += [_percent(x, *m.span()) for m in PERCENT.finditer(t)]
+        if PERCENTS.search(t):
+            out.append(_runs(x))
     if "\\" in t:
         out += [_escaped(x, *m.span()) for m in ESCAPES.finditer(t)]
+        if ESCAPE.search(t):
+            out.append(_escaped(x, 0, len(t)))
     out += [_base64(x, *m.span()) for m in BASE64.finditer(t)]
     return [y for y in out if y and y.text]
 

@@ -347,6 +347,13 @@ def test_one_secret_in_two_places():
         assert any(a < len(blob) for a in at) and any(a >= second for a in at)
 
 
+@pytest.mark.parametrize("t", [r'"password": "\u0068unter2hunter2xx"', r"\u0070assword = hunter2hunter2xx", 'token%3D"abcdefabcdefzz"', '%FFtoken%3D"abcdef%61bcdefzz"', r'"password"%3A "hunter2hunter2xx"'])
+def test_partly_encoded_secrets(t):
+    base, every = secrets.scan(f"é 50% {t} %C3%A9 after")
+    end = 6 + len(t.rstrip('"'))
+    assert not base and any(k == "assign" and a < 6 + 9 and b == end for k, a, b in every)
+
+
 def test_secrets_odd(spark):
     d = documents(spark, ODD + [(20, KEY), (20, KEY)])
     got = secrets.digests(secrets.find_secrets(d)).collect()
