@@ -280,8 +280,8 @@ def sad_confusion(spark, sf):
 def anomaly_report(spark, sf):
     """Anomaly confusion and token recognition by language; rows and tokens are aggregated apart."""
     d = table(spark, sf, "documents").select("lang", F.col("text").alias("pred_text"), F.regexp_replace("text", "#", "").alias("gt_text"))
-    line = lambda c: F.slice(F.split(c, " "), 1, 5)  # noqa: E731  each text's first words stand for a caption
-    return aggregate.anomaly_metrics(d, ["lang"], tokens=text.anomaly_tokens(line(F.col("gt_text"))), pred_tokens=text.anomaly_tokens(line(F.col("pred_text")))).select("lang", "tp", "fp", "fn", "tn", "hits", "tokens", r6(F.col("edit")).alias("edit"))
+    words = lambda c: F.split(c, " ")
+    return aggregate.anomaly_metrics(d, ["lang"], tokens=text.anomaly_tokens(words(F.col("gt_text"))), pred_tokens=text.anomaly_tokens(words(F.col("pred_text")))).select("lang", "tp", "fp", "fn", "tn", "hits", "tokens", r6(F.col("edit")).alias("edit"))
 
 
 # -- aggregates

@@ -59,3 +59,10 @@ def test_scans_read_what_is_used(spark, name, columns):
 def test_filters_reach_the_scan(spark):
     plan = catalog._turns(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(role,user)" in plan and "EqualTo(role,assistant)" in plan
+
+
+def test_anomaly_report_reads_whole_texts(spark, tmp_path):
+    rows = [(1, " ".join(f"w{i}" for i in range(40)), "en"), (2, " ".join(f"w{i}" for i in range(9)) + " la#st", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    (r,) = catalog.QUERIES["anomaly_report"](spark, str(tmp_path)).collect()
+    assert r.tokens == 50
