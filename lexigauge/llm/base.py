@@ -12,32 +12,63 @@ from ..functions.expr import let  # noqa: F401  for the operators
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir`` where it is set."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir`` where it is set.
+
+    Only a master that is this machine alone may do without the setting.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = found.get() if found.isDefined() else None
-    if not at:  # a single machine, as in tests
+    if not at:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and the executors of {master} share")
         at = tempfile.mkdtemp(prefix="lexigauge-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def _hadoop(spark: SparkSession, at: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def materialise(df: DataFrame, name: str, written: list[str] | None = None) -> DataFrame:
     """Cuts the lineage: writes Parquet into the shared folder and reads it again.
 
     Unlike an executor's cache it survives lost executors, and unlike
     ``checkpoint()`` it keeps columns apart and row counts known. The folder is
-    removed when the driver's JVM ends.
+    removed when the driver's JVM ends, or by ``discard`` of what ``written`` collects.
     """
     spark = df.sparkSession
     at = f"{work_dir(spark)}/lexigauge-{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    path, fs = _hadoop(spark, at)
+    fs.deleteOnExit(path)
+    if written is not None:
+        written.append(at)
     return spark.read.parquet(at)
 
 
+def discard(spark: SparkSession, written: list[str]) -> None:
+    """Removes written tables that nothing reads any more."""
+    for at in written:
+        path, fs = _hadoop(spark, at)
+        fs.delete(path, True)
+    written.clear()
+
+
+#: Bytes up to which a table is broadcast after it was measured; beyond it, the join shuffles.
+BROADCAST_BYTES = 64 << 20
+
+
+def small_side(df: DataFrame, width: Column | int = 64):
+    """``broadcast`` for a table whose rows, of ``width`` bytes each, were counted and are few; else nothing is hinted."""
+    size = df.agg(F.coalesce(F.sum(F.lit(width) if isinstance(width, int) else width), F.lit(0))).first()[0]
+    return F.broadcast if size <= BROADCAST_BYTES else (lambda x: x)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,14 +95,17 @@ def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_
     """Rows of ``docs`` that ``decided`` (doc_id, tkey, kept) keeps, with the columns of ``docs``.
 
     Texts move once, dealt by id. Of rows that repeat one (id, text) the first
-    in the order of their other columns stays. Null ids match null ids.
+    in the order of their other columns, written as JSON, stays. Null ids match
+    null ids. A row travels as one struct, so its columns may have any name and type.
     """
-    cols = docs.columns
-    d = docs.withColumn("__k", text_key(F.col(text_col)))
-    yes = decided.filter("kept").select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__tk")).distinct()
-    d = d.join(yes, d[id_col].eqNullSafe(yes["__id"]) & (d["__k"] == yes["__tk"]), "left_semi")
-    w = Window.partitionBy(id_col, "__k").orderBy(*[F.col(c) for c in cols if c not in (id_col, text_col)] or [F.lit(1)])
-    return d.withColumn("__n", F.row_number().over(w)).filter("__n = 1").select(*[F.col(f"`{c}`") for c in cols])
+    quoted = ["`" + c.replace("`", "``") + "`" for c in docs.columns]
+    rest = [F.col(q) for c, q in zip(docs.columns, quoted) if c not in (id_col, text_col)]
+    order = F.to_json(F.struct(*rest)) if rest else F.lit("")
+    d = docs.select(F.struct(*quoted).alias("row"), F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("k"), order.alias("o"))
+    yes = decided.filter("kept").select(F.col("doc_id").alias("i"), F.col("tkey").alias("tk")).distinct()
+    d = d.join(yes, d["id"].eqNullSafe(yes["i"]) & (d["k"] == yes["tk"]), "left_semi")
+    first = F.row_number().over(Window.partitionBy("id", "k").orderBy("o"))
+    return d.withColumn("n", first).filter("n = 1").select("row.*")
 
 
 def labelled(spark: SparkSession, labels: DataFrame, label: str, train: Column, limit: int) -> DataFrame:

@@ -13,6 +13,7 @@ from collections import defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -408,15 +409,83 @@ def contaminated(spark, rows, items):
 def test_decontamination(spark):
     changed = ITEM.replace("Anna Smith", "Maria Lopez").replace("12", "7").replace("30 km", "2 kg")
     broken = ITEM.replace("Anna Smith", "Maria Lopez", 1).replace("Anna Smith", "Peter Jones")
-    rows = [(1, f"Intro text here. {ITEM} More."), (2, f"Intro, {changed} More."), (3, "A train leaves the old town at noon and nobody counts apples on the road tonight."), (4, RIVER.upper()), (5, None), (6, ""), (7, "tiny item"), (8, "a tiny item in more words than that"), (9, LONG), (None, ITEM), (None, ITEM)]
-    got = contaminated(spark, rows, [(1, ITEM), (2, ITEM), (3, None), (None, "x y z"), (4, "Tiny item"), (5, RIVER)])
-    assert {k[0]: v for k, v in got.items()} == {1: True, 2: True, 3: False, 4: True, 5: False, 6: False, 7: True, 8: False, 9: False, None: True}
+    rows = [(1, f"Intro text here. {ITEM} More."), (2, f"Intro, {changed} More."), (3, "A train leaves the old town at noon and nobody counts apples on the road tonight."), (4, RIVER.upper()), (5, None), (6, ""), (7, "tiny item"), (8, "a tiny item in more words than that"), (9, LONG), (10, "Paris"), (11, "in paris"), (None, ITEM), (None, ITEM)]
+    got = contaminated(spark, rows, [(1, ITEM), (2, ITEM), (3, None), (None, "x y z"), (4, "Tiny item"), (5, RIVER), (6, "paris")])
+    assert {k[0]: v for k, v in got.items()} == {1: True, 2: True, 3: False, 4: True, 5: False, 6: False, 7: True, 8: True, 9: False, 10: True, 11: False, None: True}
     assert (1, 2) in got and (7, 1) in got
     few = [r for r in decontam.contaminated(documents(spark, [(1, broken)]), spark.createDataFrame([(1, ITEM)], "item_id long, text string"), share=1.0, most=10**6).collect()]
     assert few[0].contaminated is False
     assert contaminated(spark, rows[:2], []) == {(1, 0): False, (2, 0): False}
 
 
+def test_short_and_figured_items(spark):
+    """Items with few ordinary words are found word for word, with any number of tokens; others also with other values."""
+    sums = "12 + 34 + 55 + 66 + 77 = 244 right"
+    many = "Then 3 men met 4 men and 5 men met 6 men on 7 roads in 8 days while 9 women sang old songs about rivers and hills"
+    rows = [(1, "Ask: What is 12 plus 30? Now."), (2, "What is 13 plus 30?"), (3, f"So {sums}, yes."), (4, sums.replace("66", "67")), (5, "x " + many), (6, "x " + many.replace("3", "33").replace("9", "99")), (7, "1 2 3 4 5 6 7 8 9 10 11 12")]
+    got = contaminated(spark, rows, [(1, "What is 12 plus 30?"), (2, sums), (3, many), (4, "11 22 33 44 55 66 77 88 99")])
+    assert {k[0]: v for k, v in got.items()} == {1: True, 2: False, 3: True, 4: False, 5: True, 6: True, 7: False}
+
+
+def brute_contaminated(text, item, window=8, literals=5, share=0.5, most=6):
+    """The rule over every pair of windows, slots compared one by one."""
+
+    def toks(t):
+        return [m[0] for m in regex.finditer(decontam.TOKENS, t)]
+
+    def code(t):
+        return t.lower() if regex.match(r"[\p{L}\p{M}]", t) else 1 if t[0].isspace() else 3 if regex.search(r"[^0-9.,:/]", t) else 2
+
+    a, b = toks(text), toks(item)
+    ca, cb = list(map(code, a)), list(map(code, b))
+    size = min(window, len(b))
+    if not b or size == 1 and len(a) != 1:
+        return False
+    at, n = defaultdict(list), set()
+    dense = {j for j in range(len(b) - size + 1) if (k := sum(isinstance(x, int) for x in cb[j : j + size])) and size - k < literals}
+    for i in range(len(a) - size + 1):
+        for j in range(len(b) - size + 1):
+            if j in dense:
+                if [x.strip().lower() for x in a[i : i + size]] == [x.strip().lower() for x in b[j : j + size]]:
+                    n.add(j)
+            elif ca[i : i + size] == cb[j : j + size]:
+                at[i - j].append(j)
+    for shift, js in at.items():
+        pairs = {(b[x].strip(), a[x + shift].strip()) for j in js for x in range(j, j + size) if isinstance(cb[x], int)}
+        bad = {p for p in pairs if sum(q[0] == p[0] for q in pairs) > 1 or sum(q[1] == p[1] for q in pairs) > 1}
+        n |= {j for j in js if not any((b[x].strip(), a[x + shift].strip()) in bad for x in range(j, j + size) if isinstance(cb[x], int))}
+    of, of_t, n_t = len(b) - size + 1, len(b) - size + 1 - len(dense), len(n - dense)
+    return len(n) >= min(most, of * share) and bool(n) or n_t > 0 and n_t >= of_t * share
+
+
+def test_decontamination_against_brute_force(spark):
+    r = np.random.default_rng(5)
+    pool = "river stone cold valley and the of a walks quickly, tall 12 7 30 km 5 kg Anna Smith Maria Berlin counts apples".split(" ")
+
+    def some(n):
+        return " ".join(r.choice(pool, n))
+
+    items = [(i, some(int(n))) for i, n in enumerate(r.integers(1, 22, 40))]
+    rows = []
+    for i in range(160):
+        t = items[r.integers(40)][1]
+        for old, new in (("Anna", "Petra"), ("12", "99"), ("Berlin", "Anna")):
+            if r.random() < 0.4:
+                t = t.replace(old, new, 1 if r.random() < 0.3 else -1)
+        rows.append((i, f"{some(int(r.integers(0, 9)))} {t} {some(int(r.integers(0, 9)))}"))
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {x.doc_id: set(x.item_ids or ()) for x in decontam.contaminated(documents(spark, rows), b).collect()}
+    want = {i: {j for j, t in items if brute_contaminated(x, t)} for i, x in rows}
+    assert got == want and sum(map(bool, want.values())) > 60
+
+
+def test_endless_runs(spark):
+    """Texts that repeat any repeatable part of a pattern a million times."""
+    n = 10**6
+    rows = [(1, "the " + "Aa Bb " * n), (2, "1.1" + ".1" * n), (3, "a" * n), (4, "5 km " * n), (5, "x" + " A" * n)]
+    assert not any(contaminated(spark, rows, [(1, ITEM)]).values())
+
+
 def test_decontamination_stage(spark):
     d = documents(spark, ODD + [(30, "x " + ITEM)])
     out = decontam.drop_contaminated(d, spark.createDataFrame([(1, ITEM)], "item_id long, text string"))
