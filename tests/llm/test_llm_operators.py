@@ -513,7 +513,7 @@ def test_pii(spark):
         (3, None), (4, ""), (5, "nothing"), (None, "г-н Иванов 123-45-6789"), (5, "nothing"), (2, "+1 (017) 555-7713"), (6, LONG + " a@b.org"),
     ]
     d = documents(spark, rows)
-    got = pii.pseudonymise(d).collect()
+    got = pii.pseudonymise(d, "k").collect()
     assert len(got) == len(rows)
     t = {(r.doc_id, r.n_entities): r.text for r in got}
     one, two = t[1, 4], t[2, 5]
@@ -528,23 +528,48 @@ def test_pii(spark):
     assert luhn(cards[1]) == luhn("4845168114407329")
     assert t[3, 0] is None and t[4, 0] == "" and t[5, 0] == "nothing" and re.match(r"г-н [А-Я][а-я]+ \d{3}-\d\d-\d{4}$", t[None, 2])
     assert t[2, 1] == two[:17]
-    assert pii.pseudonymise(empty(spark)).count() == 0
+    assert pii.pseudonymise(empty(spark), "k").count() == 0
     other = {(r.doc_id, r.n_entities): r.text for r in pii.pseudonymise(d, key="another").collect()}
     assert other[1, 4] != one
 
 
 def test_surrogates_stay_distinct(spark):
     """Draws from two digits collide with each other and with real entities until they are drawn again."""
-    e = spark.createDataFrame([("card", str(i)) for i in range(40)], "kind string, canon string")
+    e = spark.createDataFrame([("card", str(i), None) for i in range(40)], "kind string, canon string, role string")
     narrow = lambda key, attempt: F.pmod(F.xxhash64("canon", F.lit(attempt)), F.lit(100)).cast("string")
     got = pii.surrogates(e, "k", narrow).collect()
     assert len({r.sub for r in got}) == 40 and not {r.sub for r in got} & {str(i) for i in range(40)}
 
 
+def test_full_formats_are_widened(spark):
+    """All addresses of four digits but one are real, so hardly any is left to draw."""
+    rows = [(i, f"see {1 + i % 9}.{1 + i // 9 % 9}.{1 + i // 81 % 9}.{1 + i // 729} now") for i in range(9**4 - 1)]
+    got = {r.doc_id: r.text[4:-4] for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert len(set(got.values())) == len(rows) and not set(got.values()) & {t[4:-4] for _, t in rows}
+    assert all(re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", x) for x in got.values())
+
+
+def test_people_stay_one_person(spark):
+    rows = [
+        (1, "Dr Anna Smith met Ms Anna Smith. Anna Smith left; Smith slept and SMITH'S dog too."), (2, "Mr John Paul George Smith, and Mr Juan de la Cruz. Juan de la Cruz went."), (3, "Mr. J. R. O'Brien wrote; O'Brien said no."),
+        (4, "Smith and Anna without a title."), (5, "Anna-Maria; Frau Anna-Maria von der Heide; heide Heide"), (6, "Mr " + "Aa " * 10**4), (7, "x a@" + "a." * 10**6 + "com"), (8, "Mr Aa " + "de " * 10**6 + "Aa"), (9, "AB12" + "ABCD " * 10**4), (10, "1.1.1.1" + ".1" * 10**5), (11, "+1" + "1" * 10**6),
+    ]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    m = re.fullmatch(r"Dr (\w+) (\w+) met Ms (\w+) (\w+)\. (\w+) (\w+) left; (\w+) slept and (\w+)'S dog too\.", got[1])
+    anna, smith = m[1], m[2]
+    assert m.groups() == (anna, smith, anna, smith, anna, smith, smith, smith.upper()) and not {"Anna", "Smith"} & {anna, smith}
+    assert any(anna.lower().endswith(e) for e in pii.ENDINGS["latin", "given_f"])
+    two = re.fullmatch(r"Mr (\w+) (\w+) (\w+) (\w+), and Mr (\w+) de la (\w+)\. (\w+) de la (\w+) went\.", got[2])
+    assert two[4] == smith and two.group(5, 6) == two.group(7, 8) and not {"John", "Paul", "George", "Juan", "Cruz"} & set(two.groups())
+    three = re.fullmatch(r"Mr\. ([A-Z])\. ([A-Z])\. (\S+) wrote; (\S+) said no\.", got[3])
+    assert three[3] == three[4] != "O'Brien"
+    assert got[4] == rows[3][1] and "Heide" not in got[5] and "heide" in got[5] and "Anna" not in got[5]
+
+
 @needs_tables
 def test_pii_table(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
-    both = d.select("doc_id", F.col("text").alias("old")).join(pii.pseudonymise(d), "doc_id").toPandas()
+    both = d.select("doc_id", F.col("text").alias("old")).join(pii.pseudonymise(d, "k"), "doc_id").toPandas()
     for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[a-z]+", r"(?<!\d)\d{16}(?!\d)", r"\+1 \(\d{3}\) \d{3}-\d{4}", r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d)"):
         table = {}
         for r in both.itertuples():
