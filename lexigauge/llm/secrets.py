@@ -1,21 +1,27 @@
 """Secret scan with a worklist that unwraps nested encodings.
 
-A text is a layer. In every layer the scanner looks for the base kinds and for
-wrapped parts: percent-encoded runs, backslash-u/x escapes, and base64 words;
-bytes that base64 yields are also inflated if they are gzip or zlib streams.
-A layer with percent or backslash escapes is also unwrapped whole, each escape
-decoded in place, so a secret that is plain in part is found. Each unwrapped
-part that reads as text becomes a new layer on the worklist, until
-nothing is left to unwrap. A layer with the content and the place of one seen
-before in this text is not scanned again, which ends cycles; the same content in
-another place is. Every layer keeps, for each of its
-characters, the start and end in the original text it comes from, so a finding
-in any depth maps to a span of the original.
+A text is a layer. In every layer the scanner looks for the base kinds and then
+unwraps it: percent escapes and Unicode escapes (backslash u, x and U, numeric
+character references) are decoded in place, so a secret that is plain in part is
+found; base64 words that stand for plain text are decoded in place too; and every
+base64 word of 16 characters or more, also one that is wrapped over lines, is
+decoded by itself. Its bytes are read as UTF-8, where bytes that aren't keep a
+place of their own, as UTF-16 where every other byte is nearly always zero, and
+inflated, as often as it takes, if they are a gzip or zlib stream.
+
+Each unwrapped layer goes on the worklist, until nothing is left to unwrap. A
+layer with the content and the place of one seen before in this text is not
+scanned again, which ends cycles; the same content in another place is. Every
+layer keeps, for each of its characters, the start and end in the original text
+it comes from, so a finding in any depth maps to a span of the original.
+
+Memory is bounded: layers are unwrapped one at a time, depth first, and a stream
+is inflated ``INFLATED`` bytes at a time, each part scanned with the last
+``OVERLAP`` characters of the part before it. All of it is read.
 
 Base spans are those of the original text and always stay; spans from deeper
 layers are added unless equal to one that is there. A null text counts as empty
-and gives no spans. Rows are judged one by one; nothing is shuffled. A stream is
-inflated at most ``INFLATED`` bytes at a time, and all of it is read.
+and gives no spans. Rows are judged one by one; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -23,9 +29,10 @@ from __future__ import annotations
 import base64
 import re
 import zlib
-from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -35,12 +42,13 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # of AKIA[A-Z0-9]+ those with 18 characters or more
 HEX = re.compile(r"[0-9a-f]{16,}")
-PERCENT = re.compile(r"(?:[A-Za-z0-9._~+/=:-]*%[0-9A-Fa-f]{2})+[A-Za-z0-9._~+/=:-]*")
-ESCAPES = re.compile(r"(?:[A-Za-z0-9+/_.=: -]*\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}))+[A-Za-z0-9+/_.=-]*")
-ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))")
+ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8})|u\{([0-9A-Fa-f]{1,6})\})|&#(?:[xX]([0-9A-Fa-f]{1,6})|([0-9]{1,7}));")
 PERCENTS = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-INFLATED = 1 << 20
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]{16,})*\r?\n[ \t]*[A-Za-z0-9+/_-]+={0,2}")
+#: A base64 word whose bytes may all be printable ASCII, by the first character of each four.
+PLAIN64 = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:[I-Za-f][A-Za-z0-9+/]{3})+(?:[I-Za-f][A-Za-z0-9+/]={0,2}|[I-Za-f][A-Za-z0-9+/]{2}=?)?(?![A-Za-z0-9+/_=-])")
+INFLATED, OVERLAP = 1 << 24, 1 << 16
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -55,130 +63,156 @@ class Layer:
     """at[i], to[i]: the span of the original text that character i comes from."""
 
     text: str
-    at: list[int] | range
-    to: list[int] | range
+    at: np.ndarray
+    to: np.ndarray
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        s = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return s if s and sum(c.isprintable() or c in "\n\r\t" for c in s) >= 0.95 * len(s) else None
+def _within(x: Layer, found: list[tuple[int, int, str, np.ndarray, np.ndarray]]) -> Layer:
+    """The layer with parts (start, end, new text, at, to) put in place of what they stand for."""
+    s, at, to, i = [], [], [], 0
+    for a, b, new, p, q in found:
+        s += (x.text[i:a], new)
+        at += (x.at[i:a], p)
+        to += (x.to[i:a], q)
+        i = b
+    return Layer("".join(s) + x.text[i:], np.concatenate([*at, x.at[i:]]), np.concatenate([*to, x.to[i:]]))
 
 
-def _inflate(data: bytes) -> bytes | None:
-    bits = 31 if data[:2] == b"\x1f\x8b" else 15 if data[:1] == b"\x78" else None
-    if bits is None:
+def _text_of(data: bytes, at: np.ndarray, to: np.ndarray) -> Layer:
+    """Bytes and their spans as characters and theirs; a byte that isn't UTF-8 is a character."""
+    s = data.decode("utf-8", "surrogateescape")
+    if len(s) == len(data):
+        return Layer(s, at, to)
+    c = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000) - 2 * ((c >= 0xDC80) & (c <= 0xDCFF))
+    end = np.cumsum(size)
+    return Layer(s, at[end - size], to[end - 1])
+
+
+def _wide(data: bytes, at: np.ndarray, to: np.ndarray) -> Layer | None:
+    """UTF-16 text: nearly all of its high bytes are zero, or it starts with a mark."""
+    b = np.frombuffer(data[: len(data) & ~1], np.uint8).reshape(-1, 2)
+    if len(b) < 4:
         return None
-    d, out = zlib.decompressobj(bits), []
-    try:
-        while data and not d.eof:
-            out.append(d.decompress(data, INFLATED))
-            data = d.unconsumed_tail
-        return b"".join(out) + d.flush()
-    except zlib.error:
+    zero = (b == 0).mean(0)
+    order = "le" if data[:2] == b"\xff\xfe" or zero[1] > 0.6 > zero[0] else "be" if data[:2] == b"\xfe\xff" or zero[0] > 0.6 > zero[1] else None
+    if order is None:
         return None
+    s = "".join(map(chr, b.view("<u2" if order == "le" else ">u2")[:, 0].tolist()))
+    return Layer(s, at[0 : 2 * len(s) : 2], to[1 : 2 * len(s) : 2])
+
+
+def _inflated(data: Iterator[bytes], depth: int = 0) -> Iterator[bytes]:
+    """Parts of the stream's content, inflated as often as it is a stream again; nothing if it isn't one or is broken at its start."""
+    first = next(data, b"")
+    bits = 31 if first[:2] == b"\x1f\x8b" else 15 if first[:1] == b"\x78" else None
+    if bits is None or depth > 16:  # a stream may hold itself
+        if depth and first:
+            yield first
+            yield from data
+        return
+
+    def parts() -> Iterator[bytes]:
+        d, part = zlib.decompressobj(bits), first
+        try:
+            while part and not d.eof:
+                if out := d.decompress(part, INFLATED):
+                    yield out
+                part = d.unconsumed_tail or next(data, b"")
+            if out := d.flush():
+                yield out
+        except zlib.error:
+            return
+
+    yield from _inflated(parts(), depth + 1)
+
+
+def _percent(m: re.Match, x: Layer) -> tuple:
+    data, a = bytes.fromhex(m[0].replace("%", "")), m.start()
+    n = np.arange(len(data)) * 3 + a
+    y = _text_of(data, x.at[n], x.to[n + 2])
+    if not any("\udc80" <= c <= "\udcff" for c in y.text):
+        return a, m.end(), y.text, y.at, y.to
+    # a byte that isn't UTF-8 stays as it is written
+    s, at, to, i = [], [], [], 0
+    for c in y.text:
+        k = len(c.encode("utf-8", "surrogateescape"))
+        p, q = a + 3 * i, a + 3 * (i + k)
+        if "\udc80" <= c <= "\udcff":
+            s.append(x.text[p:q])
+            at += x.at[p:q].tolist()
+            to += x.to[p:q].tolist()
+        else:
+            s.append(c)
+            at.append(x.at[p]), to.append(x.to[q - 1])
+        i += k
+    return a, m.end(), "".join(s), np.array(at, np.int64), np.array(to, np.int64)
 
 
-def _percent(x: Layer, a: int, b: int) -> Layer | None:
-    data, at, to, i = bytearray(), [], [], a
-    while i < b:
-        if x.text[i] == "%" and re.fullmatch("[0-9A-Fa-f]{2}", x.text[i + 1 : i + 3]):
-            data.append(int(x.text[i + 1 : i + 3], 16))
-            at.append(x.at[i]), to.append(x.to[i + 2])
-            i += 3
-        else:
-            data += x.text[i].encode()
-            at.append(x.at[i]), to.append(x.to[i])
-            i += 1
-    return _text_of(bytes(data), at, to)
+def _escape(m: re.Match, x: Layer) -> tuple | None:
+    v = int(m[6]) if m[6] else int(next(filter(None, m.groups())), 16)
+    return None if v > 0x10FFFF else (m.start(), m.end(), chr(v), x.at[m.start() : m.start() + 1], x.to[m.end() - 1 : m.end()])
 
 
-def _text_of(data: bytes, at: list[int], to: list[int]) -> Layer | None:
-    """Bytes and their spans as characters and theirs."""
-    s = _readable(data)
-    if s is None:
-        return None
-    if len(s) == len(data):
-        return Layer(s, at, to)
-    starts, pos = [], 0
-    for c in s:
-        starts.append(pos)
-        pos += len(c.encode())
-    ends = [*starts[1:], pos]
-    return Layer(s, [at[i] for i in starts], [to[i - 1] for i in ends])
-
-
-def _escaped(x: Layer, a: int, b: int) -> Layer:
-    s, at, to, i = [], [], [], a
-    for m in ESCAPE.finditer(x.text, a, b):
-        s += x.text[i : m.start()]
-        at += x.at[i : m.start()]
-        to += x.to[i : m.start()]
-        s.append(chr(int(m[1] or m[2], 16)))
-        at.append(x.at[m.start()]), to.append(x.to[m.end() - 1])
-        i = m.end()
-    s += x.text[i:b]
-    at += x.at[i:b]
-    to += x.to[i:b]
-    return Layer("".join(s), at, to)
-
-
-def _runs(x: Layer) -> Layer:
-    """The whole layer, its percent escapes decoded in place; bytes that aren't UTF-8 stay as they are."""
-    s, at, to, i = [], [], [], 0
-    for m in PERCENTS.finditer(x.text):
-        a, data, j = m.start(), bytes.fromhex(m[0].replace("%", "")), 0
-        s.append(x.text[i:a])
-        at += x.at[i:a]
-        to += x.to[i:a]
-        while j < len(data):
-            b = data[j]
-            k = 1 if b < 0x80 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4
-            p, q = a + 3 * j, a + 3 * (j + k)
-            try:
-                s.append(data[j : j + k].decode())
-                at.append(x.at[p]), to.append(x.to[q - 1])
-                j += k
-            except UnicodeDecodeError:
-                s.append(x.text[p : p + 3])
-                at += x.at[p : p + 3]
-                to += x.to[p : p + 3]
-                j += 1
-        i = m.end()
-    return Layer("".join(s) + x.text[i:], [*at, *x.at[i:]], [*to, *x.to[i:]])
-
-
-def _base64(x: Layer, a: int, b: int) -> Layer | None:
-    word = x.text[a:b]
+def _bytes64(word: str) -> bytes | None:
     bare = word.rstrip("=")
     if len(bare) % 4 == 1:
         return None
     try:
-        data = base64.b64decode(bare.replace("-", "+").replace("_", "/") + "=" * (-len(bare) % 4), validate=True)
+        return base64.b64decode(bare.replace("-", "+").replace("_", "/") + "=" * (-len(bare) % 4), validate=True)
     except ValueError:
         return None
-    if (more := _inflate(data)) is not None:
-        s = _readable(more)
-        return Layer(s, [x.at[a]] * len(s), [x.to[b - 1]] * len(s)) if s else None
-    n = len(bare)
-    return _text_of(data, [x.at[a + i * 4 // 3] for i in range(len(data))], [x.to[a + min(n - 1, -(-(i + 1) * 4 // 3) - 1)] for i in range(len(data))])
 
 
-def unwrapped(x: Layer) -> list[Layer]:
-    out: list[Layer | None] = []
+def _spans64(n: int, at: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of n bytes, given those of the base64 characters."""
+    i = np.arange(n)
+    return at[i * 4 // 3], to[np.minimum(len(to) - 1, -(-(i + 1) * 4 // 3) - 1)]
+
+
+def _plain64(m: re.Match, x: Layer) -> tuple | None:
+    data = _bytes64(m[0])
+    if not data or len(m[0]) < 8 or not data.isascii() or not data.decode().isprintable():
+        return None
+    n = len(m[0].rstrip("="))
+    at, to = _spans64(len(data), x.at[m.start() : m.start() + n], x.to[m.start() : m.start() + n])
+    to[-1] = x.to[m.end() - 1]
+    return m.start(), m.end(), data.decode(), at, to
+
+
+def _base64(x: Layer, at: int, word: str, places: np.ndarray) -> Iterator[Layer]:
+    """Layers of a base64 word, whose characters stand at ``places``."""
+    data = _bytes64(word)
+    if not data:
+        return
+    places = places[: len(word.rstrip("="))]
+    rest = ""
+    for part in _inflated(iter([data])):
+        s = rest + part.decode("utf-8", "replace")
+        for t in (s, part.decode("utf-16-le", "replace") if part[1:2] == b"\0" else ""):
+            if t:
+                yield Layer(t, np.broadcast_to(x.at[places[0]], len(t)), np.broadcast_to(x.to[places[-1]], len(t)))
+        rest = s[-OVERLAP:]
+    p, q = _spans64(len(data), x.at[places], x.to[places])
+    yield _text_of(data, p, q)
+    if wide := _wide(data, p, q):
+        yield wide
+
+
+def unwrapped(x: Layer) -> Iterator[Layer]:
+    """The layers that are one step further in."""
     t = x.text
-    if "%" in t:
-        out += [_percent(x, *m.span()) for m in PERCENT.finditer(t)]
-        if PERCENTS.search(t):
-            out.append(_runs(x))
-    if "\\" in t:
-        out += [_escaped(x, *m.span()) for m in ESCAPES.finditer(t)]
-        if ESCAPE.search(t):
-            out.append(_escaped(x, 0, len(t)))
-    out += [_base64(x, *m.span()) for m in BASE64.finditer(t)]
-    return [y for y in out if y and y.text]
+    for pattern, decode, sign in ((PERCENTS, _percent, "%"), (ESCAPE, _escape, "\\"), (ESCAPE, _escape, "&#"), (PLAIN64, _plain64, "")):
+        if sign in t and (pattern is not ESCAPE or sign == "\\" or "\\" not in t):
+            found = [f for m in pattern.finditer(t) if (f := decode(m, x))]
+            if found:
+                yield _within(x, found)
+    for m in BASE64.finditer(t):
+        yield from _base64(x, m.start(), m[0], np.arange(m.start(), m.end()))
+    if "\n" in t:
+        for m in WRAPPED.finditer(t):
+            keep = np.array([i for i, c in enumerate(m[0], m.start()) if c not in "\r\n \t"])
+            yield from _base64(x, m.start(), re.sub(r"[\r\n \t]", "", m[0]), keep)
 
 
 def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -186,16 +220,21 @@ def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     text = text or ""
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base = sorted(base_spans(text), key=order)
-    n = len(text)
-    work, seen, found = [Layer(text, range(n), range(1, n + 1))], set(), set(base)
+    n = np.arange(len(text) + 1)
+    work, seen, found = [unwrapped(Layer(text, n[:-1], n[1:]))], set(), set(base)
     while work:
-        for y in unwrapped(work.pop()):
-            place = xxhash.xxh3_128_digest(array("q", [*y.at, *y.to]).tobytes())
-            if y.text == text or (y.text, place) in seen:
-                continue
-            seen.add((y.text, place))
-            found |= {(k, y.at[a], max(y.to[a:b])) for k, a, b in base_spans(y.text)}
-            work.append(y)
+        y = next(work[-1], None)
+        if y is None:
+            work.pop()
+            continue
+        what = xxhash.xxh3_128(y.text.encode("utf-8", "surrogatepass"))
+        for a in (y.at, y.to):
+            what.update(a[:1].tobytes() if a.strides == (0,) else np.ascontiguousarray(a).tobytes())
+        if not y.text or y.text == text or what.digest() in seen:
+            continue
+        seen.add(what.digest())
+        found |= {(k, int(y.at[a]), int(y.to[a:b].max())) for k, a, b in base_spans(y.text)}
+        work.append(unwrapped(y))
     return base, sorted(found, key=order)
 
 

@@ -355,6 +355,49 @@ def test_partly_encoded_secrets(t):
     assert not base and any(k == "assign" and a < 6 + 9 and b == end for k, a, b in every)
 
 
+def folded(s, width=64):
+    t = base64.b64encode(s).decode()
+    return "\n".join(t[i : i + width] for i in range(0, len(t), width))
+
+
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        lambda s: base64.b64encode(s.decode().encode("utf-16-le")).decode(), lambda s: base64.b64encode(s.decode().encode("utf-16")).decode(), lambda s: base64.b64encode(b"\xff\x00\x9f" + s).decode(), lambda s: folded(b"long lead " * 9 + s),
+        lambda s: folded(gzip.compress(bytes(range(256)) + s)), lambda s: base64.b64encode(gzip.compress(gzip.compress(s))).decode(), lambda s: base64.b64encode(gzip.compress(bytes(40_000_000) + s + bytes(1000))).decode(),
+        lambda s: "".join(f"&#{c};" for c in s), lambda s: "".join(f"&#x{c:x};" for c in s), lambda s: "".join(f"\\U{c:08x}" for c in s), lambda s: "".join(f"\\u{{{c:x}}}" for c in s), lambda s: base64.b64encode(s[:8]).decode() + s[8:].decode(),
+        lambda s: base64.b64encode(folded(s * 4).encode()).decode(),
+    ],
+)
+def test_other_wraps(wrap):
+    t = f"é before {wrap(KEY.encode())} after"
+    base, every = secrets.scan(t)
+    assert not base and any(k == "assign" and t.index("before") + 6 < a < b <= t.index(" after") for k, a, b in every)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("pubgt"), st.integers(0, 2)), max_size=5), st.text(alphabet="ab %\\=\n0é", max_size=20))
+def test_planted_layers(wraps, filler):
+    """Each planted secret in any nest of layers gets a span inside its place, and base spans are those of the pattern."""
+    t, at = "", []
+    for kind, depth in wraps:
+        s = KEY
+        for _ in range(depth + 1):
+            s = {"p": lambda x: urllib.parse.quote(x, safe=""), "u": lambda x: "".join(f"\\u{ord(c):04x}" for c in x), "b": lambda x: base64.b64encode(x.encode()).decode(), "g": lambda x: base64.b64encode(zlib.compress(x.encode())).decode(), "t": lambda x: folded(x.encode(), 76)}[kind](s)
+        t += f"{filler} . "
+        at.append((len(t), len(t) + len(s)))
+        t += s
+    base, every = secrets.scan(t)
+    assert set(base) <= set(every)
+    for a, b in at:
+        assert any(k == "assign" and a <= x < y <= b for k, x, y in every)
+
+
+def test_a_stream_that_holds_itself_ends():
+    data = b"\x1f\x8b" + b"no stream"
+    assert list(secrets._inflated(iter([data]))) == [] and secrets.scan(base64.b64encode(data).decode() * 3)[0] == []
+
+
 def test_secrets_odd(spark):
     d = documents(spark, ODD + [(20, KEY), (20, KEY)])
     got = secrets.digests(secrets.find_secrets(d)).collect()
