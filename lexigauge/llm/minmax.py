@@ -14,7 +14,11 @@ probability 1 - (1 - s**rows)**bands: 0.99999 at 0.8 for the defaults.
    place of all pairs. Full sets are compared, not signatures. The first
    bands go first; in the others only classes that are still apart are compared.
 3. Classes of one bucket that are still in different components are compared
-   too, all of them, in blocks of bounded size; only links that join components
+   too. A bucket of more than a block is first dealt out by prefixes: of each
+   class the shingles that are rarest in the bucket, so many that two similar
+   sets must share one of them. That drops no link, moves each set once, and
+   leaves nothing where many texts share a frame but differ enough. What still
+   meets is compared in blocks of bounded size; only links that join components
    are emitted, never pairs.
 4. The links make components; each component gets its smallest doc_id.
 
@@ -30,16 +34,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import keep_rows, materialise, text_key
-from .graph import components
+from .base import keep_rows, materialise, small_side, text_key
+from .graph import components, with_links
 
 PERMS, ROWS, BANDS = 168, 7, 48
 FIRST_BANDS = 4
 BLOCK = 512
-BROADCAST_ROWS = 1_000_000
 WORDS_CACHED = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _cache: dict[bytes, int] = {}
@@ -169,17 +172,46 @@ def _joined(node: np.ndarray, label: np.ndarray, side: np.ndarray, off: np.ndarr
     return out
 
 
+def by_prefix(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, node, label) of buckets dealt out by rare shingles: similar sets of one bucket share a key again.
+
+    A set of n shingles has at least percent of n in common with a similar one,
+    so among any n - that + 1 of its shingles one is common. Taken in the order
+    of their frequency in the bucket, they are mostly nobody else's. Each step is
+    linear in the sizes of the sets.
+    """
+    x = members.join(sets.select("node", "s"), "node").select("key", "node", "label", F.size("s").alias("n"), F.explode("s").alias("x"))
+    often = x.groupBy("key", "x").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    shared = materialise(x.join(often, ["key", "x"]), "shared")
+    own = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("key", "node"))  # shingles that nobody else has come first
+    nth = own + F.row_number().over(Window.partitionBy("key", "node").orderBy("c", "x"))
+    within = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    kept = shared.withColumn("nth", nth).filter(F.col("nth") <= within)
+    kept = materialise(kept.select(F.xxhash64("key", "x").alias("key"), "node", "label"), "prefixes")
+    open_ = kept.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    return kept.join(open_, "key", "left_semi")
+
+
 def open_links(members: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """(a, b): links between components within a bucket; ``members``: (key, node, label).
 
-    Large buckets are dealt into blocks, and every pair of blocks is one piece
-    of work of bounded size. Pairs aren't emitted: intersections come from
-    products of membership matrices, and only links that join components leave.
+    Buckets of more than a block are dealt out by prefixes first. What is still
+    larger is dealt into blocks, and every pair of blocks is one piece of work
+    of bounded size. Pairs aren't emitted: intersections come from products of
+    membership matrices, and only links that join components leave.
     """
-    # only buckets beyond one block need a number of blocks, so rows stay where they are
-    large = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb")).filter("nb > 1")
-    large = materialise(large, "large")
-    m = members.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "key", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
+    members = members.select("key", "node", "label")
+
+    def sized(m: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        # only buckets beyond one block need a number of blocks, so rows stay where they are
+        large = materialise(m.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb")).filter("nb > 1"), name)
+        return m, small_side(large)(large)
+
+    members, large = sized(members, "large")
+    if not large.isEmpty():
+        dealt = by_prefix(members.join(large.select("key"), "key", "left_semi"), sets, percent)
+        members, large = sized(materialise(members.join(large, "key", "left_anti").unionByName(dealt).distinct(), "dealt"), "large")
+    m = members.join(large, "key", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
     m = m.withColumn("side", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least("side", j).alias("lo"), F.greatest("side", j).alias("hi")))
     m = m.select("key", "node", "label", "side", F.explode(pairs).alias("p")).select("key", "p.lo", "p.hi", "node", "label", "side")
@@ -230,7 +262,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, perms: int =
     fits = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * percent)  # noqa: E731  sizes too far apart can't be similar
     sets = materialise(class_sets(docs, classes.join(members.select("node").distinct(), "node", "left_semi"), k), "sets")
     size = classes.select(F.col("node").alias("c"), F.col("n").alias("m"))
-    links = comp = tried = None
+    comp = tried = None
     for most in (FIRST_BANDS, bands):  # a few bands join most near copies, so the others need few comparisons
         stars = members.filter((F.col("band") < most) & (F.col("node") != F.col("c"))).select("c", "node", "n").distinct()
         if comp is not None:
@@ -240,14 +272,13 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, perms: int =
         stars = materialise(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), "stars")
         tried = stars if tried is None else tried.union(stars)
         found = materialise(confirmed(stars, sets, percent), "links")
-        links = found if links is None else links.union(found)
-        comp = components(links)
+        comp = components(found) if comp is None else with_links(comp, found)
     m = members.select("key", "node", "n").join(comp, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_ = m.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     m = materialise(m.join(open_, "key", "left_semi"), "open")
     more = materialise(open_links(m, sets, percent), "links")
     if not more.isEmpty():
-        comp = components(links.union(more))
+        comp = with_links(comp, more)
     firsts = classes.select("node", F.col("doc_id").alias("first")).join(comp, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = firsts.groupBy("label").agg(F.min("first").alias("component"))
     named = firsts.join(least, "label").select("node", "component")
