@@ -4,7 +4,9 @@ Words, neighbouring word pairs and character n-grams are hashed into buckets,
 each with a learned vector; a document is the average of its features' vectors,
 and a softmax layer over the average gives the score. Vectors and layer are
 trained together by stochastic gradient descent in numpy on at most ``sample``
-labelled rows, the first by hash of the id. A pair's hash is that of the
+labelled rows, the first by hash of the id; a row's buckets and shares reach the
+driver, 6 bytes for each of at most 32768 different buckets, whatever the text's
+length. Labels other than 0 and 1 teach nothing. A pair's hash is that of the
 exclusive-or of its words' hashes, so every immediate repetition has one bucket.
 
 Every whole text is scored, in one pass and without a shuffle. Null and empty
@@ -66,7 +68,7 @@ class Model:
 
 
 def fit(found: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, bits: int = BITS, dim: int = DIM, epochs: int = 6, rate: float = 4.0, seed: int = 5) -> Model:
-    """``found``: bucket ids and counts of each row."""
+    """``found``: bucket ids and counts, or shares, of each row; y: 0 or 1."""
     r = np.random.default_rng(seed)
     e = r.uniform(-1 / dim, 1 / dim, (1 << bits, dim)).astype(np.float32)
     w, b = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
@@ -96,20 +98,20 @@ def fit(found: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, bits: int = B
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality", where=None) -> Model:
-    some = labelled(docs.sparkSession, labels, label, F.lit(True) if where is None else where, sample)
+    some = labelled(docs.sparkSession, labels.filter(F.col(label).isin(0, 1)), label, F.lit(True) if where is None else where, sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "y", "text")
 
-    def brief(batches):  # buckets and counts, 4 bytes together
+    def brief(batches):  # buckets and their shares, 6 bytes together
         for b in batches:
             packed = []
             for t in b.column(2):
                 i, n = np.unique(features(t.as_py()), return_counts=True)
-                packed.append(i.astype(np.uint16).tobytes() + np.minimum(n, 65535).astype(np.uint16).tobytes())
+                packed.append(i.astype(np.uint16).tobytes() + (n / n.sum()).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], ["doc_id", "y", "f"])
 
     one = rows.mapInArrow(brief, "doc_id long, y int, f binary").groupBy("doc_id", "y").agg(F.min("f").alias("f"))
     got = [(r.doc_id, int(r.y), bytes(r.f)) for r in one.collect()]  # at most ``sample`` rows, one an id
-    found = [np.frombuffer(f, np.uint16).reshape(2, -1) for *_, f in sorted(got)]
+    found = [(np.frombuffer(f, np.uint16, k := len(f) // 6), np.frombuffer(f, np.float32, k, 2 * k)) for *_, f in sorted(got)]
     return fit(found, np.array([y for _, y, _ in sorted(got)], int))
 
 

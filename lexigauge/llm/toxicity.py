@@ -6,11 +6,20 @@ probabilities (0 to 3). x holds the words and word beginnings that occur in a te
 damped by its count, so a long text is judged by the words that are in it and
 not by how much else there is.
 
-Labels say toxic or not. Grades are derived from them on the training rows: a
-row that isn't toxic has grade 0; a toxic row has grade 1, 2 or 3 by how many of
-the words that set toxic rows apart it holds (tertiles of that count). The
-vocabulary and the model are fitted by numpy on at most ``sample`` labelled rows,
-the first by hash of the id; scoring reads every whole text once and moves none.
+Labels say toxic or not, and no graded labels exist. Grades are derived on the
+training rows: a row that isn't toxic has grade 0; a toxic row has grade 1, 2 or
+3 by how many of the words that set toxic rows apart it holds (tertiles of that
+count). So the severity orders toxic texts by how much telling language they
+hold; it is learned from the same words that it is predicted from and is no
+evidence of how people would grade them. Whether a text is toxic at all rests on
+the labels alone.
+
+The model is fitted on at most ``sample`` labelled rows, the first by hash of the
+id. Spark counts in how many of their rows each word occurs and keeps the
+``MOST`` most telling; only the values of those reach the driver. numpy fits
+weights and thresholds: first under a strong penalty that chooses the features,
+then under one that falls as 1000 / rows (between a twentieth and the whole).
+Scoring reads every whole text once and moves none.
 
 Null and empty texts have no words and get the severity of a text without any
 known word. Null or unlabelled rows are scored like others. Rows are judged one
@@ -20,9 +29,7 @@ nothing is toxic.
 
 from __future__ import annotations
 
-import heapq
 import re
-from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,9 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import labelled, text_key
+from .base import labelled, materialise, text_key
 
-SAMPLE = 10_000
+SAMPLE, MOST, LEAST_ROWS = 10_000, 1500, 3
 #: Lengths of the word beginnings that count as features too; they stand for the many forms of one stem.
 STEMS = (3, 5, 7)
 WORD = re.compile(r"[^\W\d_]+")
@@ -60,11 +67,6 @@ def words(text: str | None) -> dict[str, int]:
     return with_stems(counted(text))
 
 
-def unpacked(row: tuple[str, bytes]) -> dict[str, int]:
-    """The same from a text's different words and their counts."""
-    return with_stems(dict(zip(row[0].split(" "), np.frombuffer(row[1], np.int32).tolist()))) if row[0] else {}
-
-
 @dataclass
 class Ordinal:
     weights: dict[str, float]
@@ -81,23 +83,12 @@ class Ordinal:
         return float(sum(p)), float(p[0])
 
 
-def select_words(rows: list, y: np.ndarray, most: int, least_rows: int, features=words) -> list[str]:
-    """Features whose presence says most about y (chi-square with half a row added), ties by name."""
-    n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    seen: dict[str, int] = {}  # rows, and rows with y = 1 in the higher bits
-    for t, k in zip(rows, y):
-        one = 1 + (int(k) << 32)
-        for w in features(t):
-            seen[w] = seen.get(w, 0) + one
-
-    def scored():
-        for w, both in seen.items():
-            a, a1 = both & 0xFFFFFFFF, both >> 32
-            if a >= least_rows:
-                p1, p0, p = a1 / n1, (a - a1) / n0, a / (n0 + n1)
-                yield -((p1 - p0) ** 2) / (p * (1 - p) + 0.5 / (n0 + n1)), w
-
-    return [w for _, w in heapq.nsmallest(most, scored())]
+def telling(seen: DataFrame, n1: int, n0: int, most: int = MOST, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """(w): features whose presence says most about y (chi-square with half a row added), ties by name; ``seen``: (w, y) of each row."""
+    n = n1 + n0
+    c = seen.groupBy("w").agg(F.count(F.lit(1)).alias("a"), F.sum("y").alias("a1")).filter(F.col("a") >= least_rows)
+    p1, p0, p = F.col("a1") / n1, (F.col("a") - F.col("a1")) / n0, F.col("a") / n
+    return c.select("w", ((p1 - p0) * (p1 - p0) / (p * (1 - p) + 0.5 / n)).alias("x2")).orderBy(F.desc("x2"), "w").limit(most).select("w")
 
 
 @dataclass
@@ -123,31 +114,35 @@ class Sparse:
         return Sparse(self.row[keep], at[self.col[keep]], self.val[keep], self.rows, len(cols))
 
 
+def likelihood(x: Sparse, grade: np.ndarray, w: np.ndarray, base: float, gap: np.ndarray) -> tuple[float, np.ndarray, float, np.ndarray]:
+    """Mean log-likelihood of the grades and its slopes in the weights, the first threshold, and the logarithms of the gaps between thresholds."""
+    n, rows = len(grade), np.arange(len(grade))
+    theta = base + np.concatenate([[0], np.cumsum(np.exp(gap))])
+    p = 1 / (1 + np.exp(-np.clip(x.times(w)[:, None] - theta, -40, 40)))
+    # adjacent cumulative probabilities give the grade's own
+    up = np.concatenate([np.ones((n, 1)), p], 1)[rows, grade]
+    low = np.concatenate([p, np.zeros((n, 1))], 1)[rows, grade]
+    mass = np.maximum(up - low, 1e-9)
+    slope = p * (1 - p)
+    pad = np.concatenate([np.zeros((n, 1)), slope, np.zeros((n, 1))], 1)
+    d_eta = (pad[rows, grade] - pad[rows, grade + 1]) / mass / n
+    d_theta = np.array([(np.where(grade == j, slope[:, j], 0) / mass).sum() - (np.where(grade == j + 1, slope[:, j], 0) / mass).sum() for j in range(3)]) / n
+    d_gap = np.array([d_theta[1:].sum() * np.exp(gap[0]), d_theta[2] * np.exp(gap[1])])
+    return float(np.log(mass).mean()), x.transposed_times(d_eta), float(d_theta.sum()), d_gap
+
+
 def _descend(x: Sparse, grade: np.ndarray, l1: float, rounds: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by proximal full-batch ascent of the ordinal likelihood; gaps are exponentials, so thresholds stay in order."""
-    n, rows = len(grade), np.arange(len(grade))
     share = np.clip(np.stack([grade > j for j in range(3)], 1).mean(0), 1e-4, 1 - 1e-4)
     theta = -np.log(share / (1 - share))
     base, gap = theta[0], np.log(np.maximum(np.diff(theta), 0.05))
     w, gw, gb, gg = np.zeros(x.cols), np.full(x.cols, 1e-8), 1e-8, np.full(2, 1e-8)
     for _ in range(rounds):
-        theta = base + np.concatenate([[0], np.cumsum(np.exp(gap))])
-        eta = x.times(w)
-        p = 1 / (1 + np.exp(-np.clip(eta[:, None] - theta, -40, 40)))
-        # adjacent thresholds give the category's probability; its logarithm's slope in each cumulative term
-        up = np.concatenate([np.ones((n, 1)), p], 1)[rows, grade]
-        low = np.concatenate([p, np.zeros((n, 1))], 1)[rows, grade]
-        mass = np.maximum(up - low, 1e-9)
-        slope = p * (1 - p)
-        pad = np.concatenate([np.zeros((n, 1)), slope, np.zeros((n, 1))], 1)
-        d_eta = (pad[rows, grade] - pad[rows, grade + 1]) / mass / n
-        d_theta = np.array([(np.where(grade == j, slope[:, j], 0) / mass).sum() - (np.where(grade == j + 1, slope[:, j], 0) / mass).sum() for j in range(3)]) / n
-        g = x.transposed_times(d_eta)
+        _, g, db, dg = likelihood(x, grade, w, base, gap)
         gw += g * g
         step = rate / np.sqrt(gw)
         w = w + step * g
         w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
-        db, dg = d_theta.sum(), np.array([d_theta[1:].sum() * np.exp(gap[0]), d_theta[2] * np.exp(gap[1])])
         gb, gg = gb + db * db, gg + dg * dg
         base, gap = base + 0.1 * db / np.sqrt(gb), np.clip(gap + 0.1 * dg / np.sqrt(gg), -3, 3)
     return w, base + np.concatenate([[0], np.cumsum(np.exp(gap))])
@@ -165,18 +160,13 @@ def best_cut(logit: np.ndarray, y: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-np.clip(middle, -6, 6))))
 
 
-def fit(rows: list, y: np.ndarray, features=words, most: int = 1500, least_rows: int = 3, l1: float = 4e-4, rounds: int = 150, refit: int = 500, rate: float = 0.5) -> Ordinal:
-    """``features`` gives the counts of a row. A first fit under a strong penalty chooses the features, a second under one that weakens as rows grow sets their weights."""
+NOTHING = Ordinal({}, (40.0, 41.0, 42.0), 0.5)
+
+
+def fit(x: Sparse, y: np.ndarray, vocab: list[str], l1: float = 4e-4, rounds: int = 150, refit: int = 500, rate: float = 0.5) -> Ordinal:
+    """A first fit under a strong penalty chooses the features, a second under one that weakens as rows grow sets their weights."""
     if len(y) == 0 or y.min() == y.max():
-        return Ordinal({}, (40.0, 41.0, 42.0), 0.5)
-    vocab = select_words(rows, y, most, least_rows, features)
-    at = {w: i for i, w in enumerate(vocab)}
-    row, col, val = array("i"), array("i"), array("d")
-    for i, t in enumerate(rows):
-        for w, n in features(t).items():
-            if (j := at.get(w)) is not None:
-                row.append(i), col.append(j), val.append(1 + np.log(n))
-    x = Sparse(np.array(row), np.array(col), np.array(val), len(y), len(vocab))
+        return NOTHING
     p1, p0 = (np.bincount(x.col[y[x.row] == k], minlength=x.cols) / (y == k).sum() for k in (1, 0))
     marks = np.bincount(x.row[(p1 > 3 * p0 + 0.002)[x.col]], minlength=x.rows)
     cut = np.quantile(marks[y == 1], [1 / 3, 2 / 3])
@@ -190,18 +180,33 @@ def fit(rows: list, y: np.ndarray, features=words, most: int = 1500, least_rows:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "toxic", where=None) -> Ordinal:
-    some = labelled(docs.sparkSession, labels, label, F.lit(True) if where is None else where, sample)
+    some = labelled(docs.sparkSession, labels.filter(F.col(label).isin(0, 1)), label, F.lit(True) if where is None else where, sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "y", "text")
 
-    def brief(batches):  # different words and counts reach the driver, not texts
+    def counts(batches):
         for b in batches:
-            c = [counted(t.as_py()) for t in b.column(2)]
-            cols = [pa.array([" ".join(x) for x in c], pa.string()), pa.array([np.array(list(x.values()), np.int32).tobytes() for x in c], pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["doc_id", "y", "words", "counts"])
-
-    found = rows.mapInArrow(brief, "doc_id long, y int, words string, counts binary").groupBy("doc_id", "y").agg(F.min(F.struct("words", "counts")).alias("f"))
-    got = sorted((r.doc_id, r.f.words, bytes(r.f.counts), int(r.y)) for r in found.collect())  # at most ``sample`` rows, one an id
-    return fit([r[1:3] for r in got], np.array([r[3] for r in got], int), unpacked)
+            c = [words(t.as_py()) for t in b.column(2)]
+            off = pa.array(np.cumsum([0, *map(len, c)]).astype(np.int32))
+            w, n = pa.array([w for x in c for w in x], pa.string()), pa.array([n for x in c for n in x.values()], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(off, w), pa.ListArray.from_arrays(off, n)], ["doc_id", "y", "w", "n"])
+
+    # one row an id: of texts under one id the first by its words
+    one = rows.mapInArrow(counts, "doc_id long, y int, w array<string>, n array<int>").groupBy("doc_id", "y").agg(F.min(F.struct("w", "n")).alias("f"))
+    one = materialise(one.select("doc_id", "y", "f.*"), "sample")
+    got = sorted((r.doc_id, int(r.y)) for r in one.select("doc_id", "y").collect())  # at most ``sample`` rows
+    y = np.array([k for _, k in got], int)
+    if len(y) == 0 or y.min() == y.max():
+        return NOTHING
+    vocab = [r.w for r in telling(one.select("y", F.explode("w").alias("w")), int(y.sum()), int((1 - y).sum())).collect()]  # at most MOST
+    col = docs.sparkSession.createDataFrame([*enumerate(vocab)], "col int, w string")
+    cells = one.select("doc_id", F.explode(F.arrays_zip("w", "n")).alias("x")).select("doc_id", "x.*").join(F.broadcast(col), "w")
+    cells = cells.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("col", "n"))).alias("x"))  # at most MOST a row
+    at, row, cols, val = {i: k for k, (i, _) in enumerate(got)}, [], [], []
+    for r in cells.orderBy("doc_id").select("doc_id", F.col("x.col").alias("col"), F.col("x.n").alias("n")).collect():
+        row += [at[r.doc_id]] * len(r.col)
+        cols += r.col
+        val += (1 + np.log(r.n)).tolist()
+    return fit(Sparse(np.array(row, int), np.array(cols, int), np.array(val, float), len(y), len(vocab)), y, vocab)
 
 
 def severity(docs: DataFrame, model: Ordinal) -> DataFrame:

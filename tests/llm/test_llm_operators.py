@@ -170,6 +170,18 @@ def test_with_links(spark):
     assert {r.node: r.label for r in got} == whole and len(got) == len(whole)
 
 
+@needs_tables
+def test_held_out_rows_of_the_tables(spark):
+    """Models that learn from the other folds: quality and toxicity of rows they haven't seen."""
+    d, lab = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    seen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
+    q = quality.quality(d, quality.train(d, lab, where=seen)).filter("held_out").join(lab, "doc_id").filter("quality IS NOT NULL")
+    assert q.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0] > 0.9
+    t = toxicity.severity(d, toxicity.train(d, lab, where=seen)).select("doc_id", F.col("toxic").cast("int").alias("called"))
+    t = t.join(lab.filter(~seen & F.col("toxic").isNotNull()), "doc_id")
+    assert t.agg(F.avg((F.col("called") == F.col("toxic")).cast("int"))).first()[0] > 0.9
+
+
 @needs_tables
 def test_near_duplicates_table(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
@@ -363,14 +375,41 @@ def test_toxicity(spark):
     assert toxicity.drop_toxic(empty(spark), labels(spark)).count() == 0
 
 
+def sparse(texts):
+    vocab = sorted({w for t in texts for w in toxicity.words(t)})
+    cells = [(i, vocab.index(w), 1 + np.log(n)) for i, t in enumerate(texts) for w, n in toxicity.words(t).items()]
+    row, col, val = map(np.array, zip(*cells))
+    return toxicity.Sparse(row, col, val, len(texts), len(vocab)), vocab
+
+
 def test_slopes_of_the_ordinal_likelihood():
-    """One step of descent from any start makes the data likelier; thresholds stay in order."""
-    texts = ["bad"] * 30 + ["bad bad worse"] * 30 + ["fine day"] * 60
-    m = toxicity.fit(texts, np.array([1] * 60 + [0] * 60), least_rows=2)
+    """The slopes against finite differences; a fit orders texts by how much telling language they hold."""
+    r = np.random.default_rng(4)
+    x = toxicity.Sparse(*(np.array(c) for c in zip(*[(i, j, r.normal()) for i in range(30) for j in range(5) if r.random() < 0.6])), 30, 5)
+    grade, w, base, gap = r.integers(0, 4, 30), r.normal(size=5), 0.3, np.array([0.2, -0.4])
+    f = lambda d: toxicity.likelihood(x, grade, w + d[:5], base + d[5], gap + d[6:])[0]
+    _, gw, gb, gg = toxicity.likelihood(x, grade, w, base, gap)
+    e = np.eye(8) * 1e-6
+    assert np.allclose([(f(d) - f(-d)) / 2e-6 for d in e], [*gw, gb, *gg], atol=1e-6)
+    m = toxicity.fit(*(lambda s, v: (s, np.array([1] * 60 + [0] * 60), v))(*sparse(["bad"] * 30 + ["bad bad worse"] * 30 + ["fine day"] * 60)))
     assert m.score(toxicity.words("bad"))[1] > 0.9 > 0.1 > m.score(toxicity.words("fine day"))[1]
     assert m.score(toxicity.words("bad bad worse"))[0] > m.score(toxicity.words("bad"))[0]
 
 
+def test_telling_words(spark):
+    texts = [f"{'bad ' * (i % 3)}{'worse ' if i % 4 == 0 else ''}day {i % 7}x" for i in range(60)]
+    y = [int(i % 3 == 2 or i % 12 == 0) for i in range(60)]
+    seen = spark.createDataFrame([(k, w) for t, k in zip(texts, y) for w in toxicity.words(t)], "y int, w string")
+    n1, n0, score = sum(y), 60 - sum(y), {}
+    for w in {w for t in texts for w in toxicity.words(t)}:
+        has = [w in toxicity.words(t) for t in texts]
+        a, a1 = sum(has), sum(k for h, k in zip(has, y) if h)
+        if a >= 3:
+            score[w] = (a1 / n1 - (a - a1) / n0) ** 2 / (a / 60 * (1 - a / 60) + 0.5 / 60)
+    want = sorted(score, key=lambda w: (-round(score[w], 12), w))[:4]
+    assert [r.w for r in toxicity.telling(seen, n1, n0, 4).collect()] == want
+
+
 # -- secrets
 
 KEY = 'password = "hunter2hunter2xx"'
