@@ -14,9 +14,9 @@ probability 1 - (1 - s**rows)**bands: 0.99999 at 0.8 for the defaults.
    place of all pairs. Full sets are compared, not signatures. The first
    bands go first; in the others only classes that are still apart are compared.
 3. Classes of one bucket that are still in different components are compared
-   too. A bucket of more than a block is first dealt out by prefixes: of each
-   class the shingles that are rarest in the bucket, so many that two similar
-   sets must share one of them. That drops no link, moves each set once, and
+   too. The classes of buckets of more than a block are first dealt out by
+   prefixes: of each class the shingles that are rarest among all these, so many
+   that two similar sets must share one of them. That drops no link, moves each set once, and
    leaves nothing where many texts share a frame but differ enough. What still
    meets is compared in blocks of bounded size; only links that join components
    are emitted, never pairs.
@@ -172,22 +172,22 @@ def _joined(node: np.ndarray, label: np.ndarray, side: np.ndarray, off: np.ndarr
     return out
 
 
-def by_prefix(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(key, node, label) of buckets dealt out by rare shingles: similar sets of one bucket share a key again.
+def by_prefix(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, node, label) of ``nodes`` (node, label) dealt out by rare shingles: similar sets share a key.
 
     A set of n shingles has at least percent of n in common with a similar one,
     so among any n - that + 1 of its shingles one is common. Taken in the order
-    of their frequency in the bucket, they are mostly nobody else's. Each step is
-    linear in the sizes of the sets.
+    of their frequency among the nodes, they are mostly nobody else's. Each step
+    is linear in the sizes of the sets.
     """
-    x = members.join(sets.select("node", "s"), "node").select("key", "node", "label", F.size("s").alias("n"), F.explode("s").alias("x"))
-    often = x.groupBy("key", "x").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    shared = materialise(x.join(often, ["key", "x"]), "shared")
-    own = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("key", "node"))  # shingles that nobody else has come first
-    nth = own + F.row_number().over(Window.partitionBy("key", "node").orderBy("c", "x"))
+    x = nodes.join(sets.select("node", "s"), "node").select("node", "label", F.size("s").alias("n"), F.explode("s").alias("x"))
+    often = x.groupBy("x").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    shared = materialise(x.join(often, "x"), "shared")
+    own = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("node"))  # shingles that nobody else has come first
+    nth = own + F.row_number().over(Window.partitionBy("node").orderBy("c", "x"))
     within = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     kept = shared.withColumn("nth", nth).filter(F.col("nth") <= within)
-    kept = materialise(kept.select(F.xxhash64("key", "x").alias("key"), "node", "label"), "prefixes")
+    kept = materialise(kept.select(F.xxhash64(F.lit("prefix"), "x").alias("key"), "node", "label"), "prefixes")
     open_ = kept.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     return kept.join(open_, "key", "left_semi")
 
@@ -209,7 +209,7 @@ def open_links(members: DataFrame, sets: DataFrame, percent: int, block: int = B
 
     members, large = sized(members, "large")
     if not large.isEmpty():
-        dealt = by_prefix(members.join(large.select("key"), "key", "left_semi"), sets, percent)
+        dealt = by_prefix(members.join(large.select("key"), "key", "left_semi").select("node", "label").distinct(), sets, percent)
         members, large = sized(materialise(members.join(large, "key", "left_anti").unionByName(dealt).distinct(), "dealt"), "large")
     m = members.join(large, "key", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
     m = m.withColumn("side", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))

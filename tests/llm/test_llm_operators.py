@@ -155,7 +155,7 @@ def test_a_hot_bucket_is_linear(spark):
     near = lambda i: frame + [*own(i - 1)[:5], -i] if i % 10 == 1 else frame + own(i)  # noqa: E731  19 of 21: 0.90
     s = spark.createDataFrame(pd.DataFrame({"node": np.arange(n), "s": [near(i) for i in range(n)]}), "node long, s array<long>")
     m = s.select(F.lit(1).cast("long").alias("key"), "node", F.col("node").alias("label"))
-    dealt = minmax.by_prefix(m, s, 80)
+    dealt = minmax.by_prefix(m.select("node", "label"), s, 80)
     assert dealt.count() <= n and dealt.groupBy("key").count().agg(F.max("count")).first()[0] == 2
     links = {tuple(sorted((r.a, r.b))) for r in minmax.open_links(m, s, 80).collect()}
     assert links == {(i - 1, i) for i in range(1, n, 10)}
