@@ -53,9 +53,17 @@ def ocr_reward(target: Column, rec: Column) -> Column:
 
 
 def bag_overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two short token lists."""
-    count = lambda arr, t: F.size(F.filter(arr, lambda x: x == t))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, t: acc + F.least(count(a, t), count(b, t)))
+    """Size of the multiset intersection of two token lists: both sorted together, one walk over the runs of equal tokens."""
+    side = lambda arr, n: F.transform(arr, lambda t: F.struct(t.alias("t"), F.lit(n).alias("side")))
+    zero, none = F.lit(0), F.lit(None).cast("string")
+    state = lambda t, x, y, n: F.struct(t.alias("t"), x.alias("x"), y.alias("y"), n.alias("n"))
+
+    def step(s: Column, e: Column) -> Column:
+        mine = (e["side"] == 0).cast("int")
+        same = s["t"].eqNullSafe(e["t"])
+        return F.when(same, state(s["t"], s["x"] + mine, s["y"] + 1 - mine, s["n"])).otherwise(state(e["t"], mine, 1 - mine, s["n"] + F.least(s["x"], s["y"])))
+
+    return F.aggregate(F.array_sort(F.concat(side(a, 0), side(b, 1))), state(none, zero, zero, zero), step, lambda s: s["n"] + F.least(s["x"], s["y"]))
 
 
 def bag_classify(gt: Column, pred: Column) -> Column:
@@ -93,6 +101,15 @@ def token_hit(t: Column, pred: Column) -> Column:
     return F.struct(hit.cast("int").alias("hit"), F.when(hit, 0.0).when(t.rlike("[一-鿿]"), 1.0).otherwise(near).alias("edit"))
 
 
+def token_hits(gt: Column, pred: Column) -> Column:
+    """struct(hits, tokens, edit) over expected tokens; distances are computed once for each different token that isn't among the predicted."""
+    lost = F.array_except(gt, pred)
+    missed = F.filter(gt, lambda t: F.array_contains(lost, t))
+    edit = F.aggregate(F.transform(lost, lambda t: F.struct(t.alias("t"), token_hit(t, F.array_distinct(pred))["edit"].alias("e"))), F.lit(0.0), lambda s, x: s + x["e"] * F.size(F.filter(missed, lambda m: m == x["t"])))
+    whole = F.when(F.size(lost) == 0, F.struct(F.size(gt).alias("hits"), F.size(gt).alias("tokens"), F.lit(0.0).alias("edit")))
+    return whole.otherwise(F.struct((F.size(gt) - F.size(missed)).alias("hits"), F.size(gt).alias("tokens"), edit.alias("edit")))
+
+
 def anomaly_confusion(pred_marks: Column, gt_marks: Column, ratio: float = 0.7) -> Column:
     """TP, FP, TN or FN for counts of anomaly marks."""
     within = (gt_marks * ratio <= pred_marks) & (pred_marks <= F.lit(1 / ratio) * gt_marks)

@@ -34,15 +34,35 @@ def json_field(s: Column, field: str) -> Column:
     return let(F.from_json(json_body(s), f"`{field}` string", LENIENT)[field], plain)
 
 
+#: Escapes undone in this order, and the key that follows the text in whole responses.
+ESCAPES = (("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ("\\\\", "\\"), ("\\'", "'"), ('\\"', '"'))
+NEXT_KEY = "duplicate_text"
+
+
 def fallback_field(s: Column, field: str = "recognized_text", keep_marks: bool = False) -> Column:
-    """A string field found by pattern where JSON fails. Tags go, and anomaly marks with them, unless ``keep_marks``."""
-    at = rf'(?s)"{field}"\s*:\s*"(.*?)"'
-    first = F.nullif(F.regexp_extract(s, at + r',\s*"duplicate_text"', 1), F.lit(""))
-    second = F.nullif(F.regexp_extract(s, at + r'(?:,\s*"[^"]*"|\s*\})', 1), F.lit(""))
-    third = F.when(s.rlike(at), F.regexp_extract(s, at, 1))
-    out = F.coalesce(first, second, third)
-    for a, b in (("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ("\\\\", "\\"), ("\\'", "'"), ('\\"', '"')):
-        out = F.replace(out, F.lit(a), F.lit(b))
+    """A string field of a response that isn't JSON, read quote by quote; null where the field doesn't start.
+
+    The value may hold quotes: it ends at the one before the key that usually
+    follows, else at the first one before any key or a closing brace, else at the
+    first; an empty value lets the next rule try. Tags go, and anomaly marks with
+    them, unless ``keep_marks``.
+    """
+    begins = rf'"{field}"\s*:\s*"'
+
+    def read(parts: Column) -> Column:  # what stands between quotes; the value starts the first
+        later = lambda n: F.slice(parts, F.lit(n + 1), F.size(parts))
+        # each part beside the three after it: an inner function may not name what an outer one was given
+        rows = F.arrays_zip(*[later(n).alias(f"p{n}") for n in range(4)])
+        key_after = lambda r: r["p1"].rlike(r"^\s*,\s*$") & r["p3"].isNotNull()
+        first = lambda when: F.array_min(F.transform(rows, lambda r, i: F.when(when(r), i)))
+        usual = first(lambda r: key_after(r) & (r["p2"] == NEXT_KEY))
+        any_ = first(lambda r: key_after(r) | r["p1"].rlike(r"^\s*\}"))
+        value = lambda k: let(F.array_join(F.slice(parts, F.lit(1), k + 1), '"'), lambda v: F.when(v != "", v))
+        return F.coalesce(value(usual), value(any_), F.when(F.size(parts) > 1, F.get(parts, F.lit(0))))
+
+    out = F.when(s.rlike(begins), let(F.split(F.element_at(F.split(s, begins, 2), -1), '"'), read))
+    for written, meant in ESCAPES:
+        out = F.replace(out, F.lit(written), F.lit(meant))
     return out if keep_marks else F.regexp_replace(out, "<[^>]*>", "")
 
 
@@ -98,26 +118,59 @@ def _graded(ref, reference_free, rec_raw, cor_raw, is_json, bad, marks, rec, cor
     return out.otherwise(ok)
 
 
-# -- nested quotes in prompts: a fixpoint over patterns, so a function over batches
+# -- nested quotes in prompts: a scanner, so a function over batches
 
+#: Kinds of quotes, the ones that bind first in front, and words that belong to a quote they stand before.
 QUOTE_KINDS = ("''", '""', "'", '"')
+LEAD_IN = re.compile(r"(?<!\w)the\s+text\s*:\s*$")
+
+
+def _is_word(s: str, i: int) -> bool:
+    return 0 <= i < len(s) and (s[i].isalnum() or s[i] == "_")
+
+
+def _slashes(s: str, i: int) -> int:
+    """How many backslashes stand right before place i."""
+    return i - len(s[:i].rstrip("\\"))
+
+
+def _without(s: str, kind: str) -> tuple[list[str], str]:
+    """(texts in quotes of one kind, the rest): one walk over the places of its mark.
+
+    A mark behind an odd number of backslashes is a character. One that follows a
+    word doesn't open and one that a word follows doesn't close: apostrophes.
+    """
+    k = len(kind)
+    marks = [i for i in range(len(s) - k + 1) if s.startswith(kind, i) and _slashes(s, i) % 2 == 0]
+    texts, rest, done = [], [], 0
+    for n, i in enumerate(marks):
+        start = i - _slashes(s, i)
+        if i < done or start < done:
+            continue
+        lead = LEAD_IN.search(s, done, start)
+        if _is_word(s, start - 1) and not lead:
+            continue
+        j = next((j for j in marks[n + 1 :] if j >= i + k and not _is_word(s, j + k)), None)
+        if j is None:
+            continue
+        texts.append(s[i + k : j - _slashes(s, j)] if j - _slashes(s, j) >= i + k else s[i + k : j])
+        rest.append(s[done : lead.start() if lead else start])
+        done = j + k
+    return texts, "".join(rest) + s[done:]
+
+
+def _quotes_in(s: str) -> list[str]:
+    out: list[str] = []
+    for kind in QUOTE_KINDS:
+        texts, s = _without(s, kind)
+        for t in map(str.strip, texts):
+            out += (_quotes_in(t) or [t]) if t else []
+    return out
 
 
 def nested_quotes(prompt: str) -> list[str]:
     """Quoted texts, the innermost of nested ones; apostrophes inside words don't quote. First occurrences, in order."""
-
-    def inside(s: str) -> list[str]:
-        out: list[str] = []
-        for q in map(re.escape, QUOTE_KINDS):
-            # an escaped mark neither opens nor closes; a lead-in "the text :" belongs to the quote
-            one = re.compile(rf"(?<!\w)(?:the\s+text\s*:\s*)?(?<!\\)(?:\\\\)*{q}(.*?)(?<!\\)(?:\\\\)*{q}(?!\w)", re.S)
-            while m := one.search(s):
-                content = m[1].strip()
-                out += inside(content) or ([content] if content else [])
-                s = s[: m.start()] + s[m.end() :]
-        return out
-
-    return list(dict.fromkeys(inside(prompt)))
+    return list(dict.fromkeys(_quotes_in(prompt)))
 
 
 def _prompt_quotes(prompt: pd.Series) -> pd.Series:

@@ -100,3 +100,8 @@ def step_log_prob(sample: Column, output: Column, previous: Column, sigma: Colum
 
 def pad_to(a: Column, n: Column, value: float = 0.0) -> Column:
     return F.concat(a, F.array_repeat(F.lit(value), F.greatest(n - F.size(a), F.lit(0)).cast("int")))
+
+
+def all_zero(a: Column) -> Column:
+    """Whether every value is 0, as in a black image; true for none."""
+    return ~F.exists(a, lambda x: x != 0)

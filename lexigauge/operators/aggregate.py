@@ -62,14 +62,14 @@ def ratios(df: DataFrame) -> DataFrame:
 
 
 def anomaly_metrics(df: DataFrame, keys: list[str], pred: str = "pred_text", gt: str = "gt_text", tokens: Column | None = None, pred_tokens: Column | None = None) -> DataFrame:
-    """Anomaly confusion by rows and token recognition by tokens, each aggregated before they meet."""
+    """Anomaly confusion by rows and token recognition by tokens, summed in each row first: one aggregation, no token moves."""
     kind = match.anomaly_confusion(match.count_marks(F.col(pred)), match.count_marks(F.col(gt)))
-    by_row = df.groupBy(*keys).agg(*[F.count_if(kind == k).alias(k.lower()) for k in ("TP", "FP", "FN", "TN")])
-    cols = df.select(*keys, tokens.alias("__g"), pred_tokens.alias("__p")).select(*keys, F.explode("__g").alias("__t"), "__p")
-    hit = cols.select(*keys, match.token_hit(F.col("__t"), F.col("__p")).alias("h"))
-    by_token = hit.groupBy(*keys).agg(F.sum("h.hit").alias("hits"), F.count(F.lit(1)).alias("tokens"), F.sum("h.edit").alias("edit"))
+    t = match.token_hits(tokens, pred_tokens)
+    d = df.select(*keys, kind.alias("__kind"), t.alias("__t"))
+    by = [F.count_if(F.col("__kind") == k).alias(k.lower()) for k in ("TP", "FP", "FN", "TN")]
+    out = d.groupBy(*keys).agg(*by, F.sum("__t.hits").alias("hits"), F.sum("__t.tokens").alias("tokens"), F.sum("__t.edit").alias("edit"))
     over = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
-    return ratios(by_row).join(by_token, keys, "left").withColumn("token_recall", over("hits", "tokens")).withColumn("token_ned", over("edit", "tokens"))
+    return ratios(out).withColumn("token_recall", over("hits", "tokens")).withColumn("token_ned", over("edit", "tokens"))
 
 
 def text_score(df: DataFrame, keys: list[str], distance: str, matched: str, total: str, most: float = 100.0) -> DataFrame:
@@ -169,3 +169,15 @@ def success(df: DataFrame, ok: Column) -> DataFrame:
 def concat_lists(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     """Lists of batches as one list, in the order of the batches."""
     return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("__l")).select(*keys, F.flatten(F.col(f"__l.{value}")).alias(value))
+
+
+def logged_means(df: DataFrame, prefix: str = "reward_", leave_out: str = "_accuracy") -> DataFrame:
+    """One row with the mean of every reward column but those that end in ``_accuracy``."""
+    names = [c for c in df.columns if c.startswith(prefix) and not c.endswith(leave_out)]
+    return df.agg(*[F.avg(F.col(f"`{c}`")).alias(c) for c in names])
+
+
+def every_nth_positive_mean(df: DataFrame, keys: list[str], frame: str, value: str, n: int = 4) -> DataFrame:
+    """Video reward: the mean of the positive rewards of every n-th frame, 0 where there is none."""
+    counts = (F.col(frame) % n == 0) & (F.col(value) > 0)
+    return df.groupBy(*keys).agg(F.coalesce(F.avg(F.when(counts, F.col(value))), F.lit(0.0)).alias(value))

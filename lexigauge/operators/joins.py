@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sample import with_row_numbers
+
 
 def last_wins(df: DataFrame, key: str, order: Column) -> DataFrame:
     """One row a key, the last in the order, as repeated keys of a dictionary."""
@@ -60,8 +62,8 @@ def not_done(items: DataFrame, done: DataFrame, key: str, repeats: int = 1, repe
 
 
 def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
-    """``name``_0, ``name``_1, ... in the order given; one task numbers the rows, so meant for item lists."""
-    return df.withColumn("id", F.concat(F.lit(f"{name}_"), (F.row_number().over(Window.orderBy(*order)) - 1).cast("string")))
+    """``name``_0, ``name``_1, ... in the order given."""
+    return with_row_numbers(df, *order, name="__r").withColumn("id", F.concat(F.lit(f"{name}_"), F.col("__r").cast("string"))).drop("__r")
 
 
 def whitelist(df: DataFrame, column: str, values: list | None) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import sample
+
 
 def with_group_stats(df: DataFrame, group: str, reward: str) -> DataFrame:
     """Adds __mean and __std (population) of the row's group. Aggregated with partial sums and joined, so large groups are no single task."""
@@ -140,5 +142,10 @@ def ema(values: Column, decay: float, every: int = 1) -> Column:
 
 
 def shards(df: DataFrame, n: int, *order: str) -> DataFrame:
-    """Contiguous near-equal shards, the first ones larger; for item lists, as one task orders them."""
-    return df.withColumn("shard", F.ntile(n).over(Window.orderBy(*order)) - 1)
+    """Contiguous near-equal shards, the first ones larger."""
+    return sample.dealt(df, n, "shard", *order)
+
+
+def raw_advantage(df: DataFrame, reward: str) -> DataFrame:
+    """Reward-weighted regression takes the reward itself."""
+    return df.withColumn("advantage", F.col(reward))

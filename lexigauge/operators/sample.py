@@ -5,6 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+
+
+def with_row_numbers(df: DataFrame, *order: str | Column, name: str = "row") -> DataFrame:
+    """Adds the place of each row in an order, from 0, without gathering rows in one task.
+
+    Rows are sorted in ranges and written once; a range's first place is the
+    number of rows in the ranges before, of which there are as many as tasks.
+    """
+    s = df.orderBy(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    s = scratch.written(s, "rows")
+    ends = s.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    starts = ends.withColumn("__s", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).drop("__n")  # one row a range
+    return s.join(F.broadcast(starts), "__p").withColumn(name, F.col("__s") + F.col("__i")).drop("__p", "__i", "__s")
+
 
 def order_key(key: str, seed: int) -> Column:
     """A hash that any engine can reproduce."""
@@ -41,13 +56,13 @@ def largest_remainder(df: DataFrame, weight: str, total: int, *ties: str) -> Dat
 
 
 def sample_k(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
-    """k rows: without replacement where there are enough, else each row once more and again."""
+    """k rows: without replacement where there are enough, else drawn again and again, which needs fewer than k numbered rows."""
     n = df.count()
     if n >= k or n == 0:
         return fixed_sample(df, key, k, seed)
-    rows = df.withColumn("__i", F.row_number().over(Window.orderBy(order_key(key, seed), key)) - 1)
-    draws = df.sparkSession.range(k).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int").alias("__i"))
-    return draws.join(F.broadcast(rows) if n <= 100_000 else rows, "__i").drop("__i")
+    rows = with_row_numbers(df, order_key(key, seed), key, name="__at")
+    draws = df.sparkSession.range(k).select(F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", "id", F.lit(str(seed)))), 1, 8), 16, 10).cast("long"), F.lit(n)).alias("__at"))
+    return draws.join(rows, "__at").drop("__at")
 
 
 def hash_seed(s: Column, base: int = 0) -> Column:
@@ -56,7 +71,7 @@ def hash_seed(s: Column, base: int = 0) -> Column:
 
 
 def round_robin(df: DataFrame, n: int, *order: str) -> DataFrame:
-    return df.withColumn("rank", F.pmod(F.row_number().over(Window.orderBy(*order)) - 1, F.lit(n)))
+    return with_row_numbers(df, *order, name="__r").withColumn("rank", F.pmod("__r", F.lit(n))).drop("__r")
 
 
 def composition_parts(s: Column, seed: Column) -> Column:
@@ -82,7 +97,16 @@ def sign_prompts(seed: Column, subjects: list[str], most: int = 9) -> Column:
     return F.concat(F.lit("A "), choose(subjects, seed), F.lit(' holding a sign that says "'), F.repeat(F.lit("6"), n), F.lit('"'))
 
 
+def dealt(df: DataFrame, parts: int, out: str, *order: str) -> DataFrame:
+    """Contiguous parts of nearly equal sizes, the first ones larger by one."""
+    n = df.count()
+    size, more = divmod(n, parts)
+    r = F.col("__r")
+    first = F.floor(r / F.lit(size + 1))
+    later = F.lit(more) + F.floor((r - more * (size + 1)) / F.lit(max(size, 1)))
+    return with_row_numbers(df, *order, name="__r").withColumn(out, F.when(r < more * (size + 1), first).otherwise(later).cast("int")).drop("__r")
+
+
 def near_equal_parts(df: DataFrame, size: int, *order: str) -> DataFrame:
     """Batches of at most ``size`` rows and nearly equal sizes, for calls to an external scorer."""
-    n = df.count()
-    return df.withColumn("batch", F.ntile(max(1, -(-n // size))).over(Window.orderBy(*order)) - 1)
+    return dealt(df, max(1, -(-df.count() // size)), "batch", *order)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import assign, match, parse, text, vec
@@ -37,11 +37,6 @@ def r6(c: Column) -> Column:
     return F.round(c, 6)
 
 
-def ascii_only(c: Column) -> Column:
-    """DuckDB's edit distance counts bytes; it is compared on ASCII texts alone."""
-    return F.octet_length(c) == F.length(c)
-
-
 FR = text.FRENCH
 WHITE = f"[^{text.CJK_NARROW}a-zA-Z0-9\\s{FR}]"
 TIGHT = f"[^{text.CJK_NARROW}a-zA-Z0-9{FR}]"
@@ -103,7 +98,12 @@ def json_field(spark, sf):
     return table(spark, sf, "events").select("event_id", parse.json_field(F.col("props"), "k").alias("k"))
 
 
-@query()
+RECOGNISED = """CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN p_name WHEN 2 THEN concat(p_name, ' second') WHEN 3 THEN concat(p_name, ' ') ELSE concat(p_name, ' b') END"""
+#: Names have two words, so of three recognised ones the third is left over, and of two both are matched.
+LEFT_OVER = "CASE p_partkey % 5 WHEN 2 THEN 1.0 / 3 WHEN 3 THEN 0.0 WHEN 4 THEN 1.0 / 3 ELSE 0.0 END"
+
+
+@query(f"SELECT p_partkey, CASE p_partkey % 5 WHEN 2 THEN concat(p_name, chr(10), 'second') ELSE {RECOGNISED} END AS recognised, 1.0 AS quality, round(1 - {LEFT_OVER}, 6) AS semantic FROM part")
 def response_parse(spark, sf):
     """Broken and whole responses made of part names: fenced, cut off, with raw newlines, not JSON."""
     name = F.col("p_name")
@@ -117,7 +117,7 @@ def response_parse(spark, sf):
         ),
         F.pmod("p_partkey", F.lit(5)).cast("int") + 1,
     )
-    return table(spark, sf, "part").select("p_partkey", parse.recognised(wrap).alias("recognised"), parse.score(wrap, name).alias("s")).select("p_partkey", "recognised", "s.quality", "s.semantic")
+    return table(spark, sf, "part").select("p_partkey", parse.recognised(wrap).alias("recognised"), parse.score(wrap, name).alias("s")).select("p_partkey", "recognised", "s.quality", r6(F.col("s.semantic")).alias("semantic"))
 
 
 @query("SELECT p_partkey, concat(p_name, '|', p_type) AS quoted, list_aggregate(list_filter(string_split_regex(lower(p_name), '\\s+'), lambda x: x <> ''), 'string_agg', ' ') AS words FROM part")
@@ -127,7 +127,7 @@ def quoted_text(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.array_join(text.quoted_spans(prompt), "|").alias("quoted"), F.array_join(text.words_in_quotes(words), " ").alias("words"))
 
 
-@query()
+@query("SELECT p_partkey, concat('in ', p_brand, ' ', p_name, '  it') AS target FROM part")
 def nested_quotes(spark, sf):
     """Recursive extraction from prompts with nested quotes and apostrophes."""
     prompt = F.concat(F.lit("The dog's sign, the text : \""), F.col("p_name"), F.lit(" 'in' it\", and '"), F.col("p_brand"), F.lit("'"))
@@ -188,9 +188,10 @@ def ned_pairs(spark, sf):
     return _parts(spark, sf).select("p_partkey", r6(match.ned(F.col("a"), F.col("b"))).alias("ned"), r6(match.similarity(F.col("a"), F.col("b"))).alias("similarity"))
 
 
-@query(PARTS + " SELECT p_partkey, round(1 - (CASE WHEN contains(b, substring(a, 1, 4)) THEN 0 ELSE least(levenshtein(b, substring(a, 1, 4)), length(substring(a, 1, 4))) END) / nullif(length(substring(a, 1, 4)), 0), 6) AS reward FROM p")
+@query(PARTS + " SELECT p_partkey, round(1 - (CASE WHEN contains(concat('a ', b), a) THEN 0 ELSE least(levenshtein(concat('a ', b), a), length(a)) END) / length(a), 6) AS reward, round(1 - least(levenshtein(b, a), length(a)) / length(a), 6) AS inside FROM p")
 def ocr_reward(spark, sf):
-    return _parts(spark, sf).select("p_partkey", r6(match.ocr_reward(F.substring("a", 1, 4), F.col("b"))).alias("reward"))
+    a, b = F.col("a"), F.col("b")
+    return _parts(spark, sf).select("p_partkey", r6(match.ocr_reward(a, F.concat(F.lit("a "), b))).alias("reward"), r6(match.ocr_reward(a, b)).alias("inside"))
 
 
 NED = "CASE WHEN greatest(length({0}), length({1})) = 0 THEN 0.0 ELSE levenshtein({0}, {1}) / greatest(length({0}), length({1})) END"
@@ -206,28 +207,39 @@ def nearest_token_ned(spark, sf):
     return d.select("p_partkey", "t", match.token_hit(F.col("t"), F.col("q")).alias("h")).select("p_partkey", "t", "h.hit", r6(F.col("h.edit")).alias("edit"))
 
 
-@query()
+@query(
+    f"""WITH p AS (SELECT p_partkey, split_part(lower(p_name), ' ', 1) AS a1, split_part(lower(p_name), ' ', 2) AS a2 FROM part), q AS (SELECT *, substring(a2, 1, length(a2) - 1) AS b1, substring(a1, 2) AS b2 FROM p),
+    f AS (SELECT *, CASE WHEN {NED.format("b1", "a1")} <= 0.3 THEN 1 WHEN {NED.format("b2", "a1")} <= 0.3 THEN 2 ELSE 0 END AS j FROM q)
+    SELECT p_partkey, ((j > 0)::INT + ((j <> 1 AND {NED.format("b1", "a2")} <= 0.3) OR (j <> 2 AND {NED.format("b2", "a2")} <= 0.3))::INT) / 2 AS recall FROM f"""
+)
 def greedy_recall(spark, sf):
-    return _parts(spark, sf).select("p_partkey", r6(match.recall_greedy(F.split("a", " "), F.concat(F.split("b", " "), F.split("a", " ")), 0.3)).alias("recall"))
+    """Recall of a name's words among the second without its end and the first without its start."""
+    w = F.split("a", " ")
+    one, two = F.get(w, F.lit(0)), F.get(w, F.lit(1))
+    pred = F.array(F.substr(two, F.lit(1), F.length(two) - 1), F.substr(one, F.lit(2)))
+    return _parts(spark, sf).select("p_partkey", r6(match.recall_greedy(w, pred, 0.3)).alias("recall"))
 
 
+#: DuckDB's edit distance counts bytes. Cleaned texts have no capitals, so capitals stand for the accented letters in it.
+LOWER_FR = "àâäéèêëîïôöùûüç"
+BYTES = lambda c: f"translate({c}, '{LOWER_FR}', 'ABCDEFGHIJKLMNO')"
 TURNS = """WITH u AS (SELECT conv_id, turn, lower(trim(regexp_replace(regexp_replace(text, '[^一-龥a-zA-Z0-9\\s""" + FR + """]', '', 'g'), '\\s+', ' ', 'g'))) AS t, role, text AS raw FROM conversations),
-    p AS (SELECT a.conv_id, a.turn, a.t AS gt, b.t AS rec FROM u a JOIN u b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant' AND strlen(a.t) = length(a.t) AND strlen(b.t) = length(b.t)),
+    p AS (SELECT a.conv_id, a.turn, a.t AS gt, b.t AS rec FROM u a JOIN u b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'),
     w AS (SELECT *, string_split(gt, ' ') AS g, string_split(rec, ' ') AS q FROM p),
     m AS (SELECT *, list_sum(list_transform(list_distinct(g), lambda x: least(len(list_filter(g, lambda y: y = x)), len(list_filter(q, lambda y: y = x))))) AS matched FROM w)"""
 
 
 def _turns(spark, sf):
-    """A user's turn as target beside the assistant's next turn as recognition, both cleaned, ASCII alone."""
+    """A user's turn as target beside the assistant's next turn as recognition, both cleaned."""
     c = table(spark, sf, "conversations").select("conv_id", "turn", "role", text.clean(F.col("text")).alias("t"))
     a = c.filter("role = 'user'").select("conv_id", "turn", F.col("t").alias("gt"))
     b = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("rec"))
-    d = a.join(b, ["conv_id", "turn"]).filter(ascii_only(F.col("gt")) & ascii_only(F.col("rec")))
+    d = a.join(b, ["conv_id", "turn"])
     g, q = F.split("gt", " "), F.split("rec", " ")
     return d.select("*", g.alias("g"), q.alias("q")).withColumn("matched", match.bag_overlap(F.col("g"), F.col("q")))
 
 
-@query(TURNS + f" SELECT conv_id % 8 AS bucket, count(*) AS n, round(avg({NED.format('gt', 'rec')}), 6) AS ned, round(sum(matched) / sum(len(g)), 6) AS overlap FROM m GROUP BY 1")
+@query(TURNS + f" SELECT conv_id % 8 AS bucket, count(*) AS n, round(avg({NED.format(BYTES('gt'), BYTES('rec'))}), 6) AS ned, round(sum(matched) / sum(len(g)), 6) AS overlap FROM m GROUP BY 1")
 def ned_leaderboard(spark, sf):
     d = _turns(spark, sf).select((F.col("conv_id") % 8).alias("bucket"), match.ned(F.col("gt"), F.col("rec")).alias("ned"), "matched", F.size("g").alias("words"))
     return d.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("ned")).alias("ned"), r6(F.sum("matched") / F.sum("words")).alias("overlap"))
@@ -287,7 +299,7 @@ def anomaly_report(spark, sf):
 # -- aggregates
 
 
-@query(TURNS + ", s AS (SELECT conv_id % 4 AS bucket, avg(levenshtein(gt, rec)) AS ed, avg(CASE WHEN levenshtein(gt, rec) = 0 THEN 1.0 ELSE 0.0 END) AS cr, sum(matched) / sum(len(g)) AS wac FROM m GROUP BY 1) SELECT bucket, round(ed, 6) AS ed, round(cr, 6) AS cr, round(wac, 6) AS wac, round(1 - least(100.0, ed) * (1 - cr) * (1 - wac) / 100.0, 6) AS text_score FROM s")
+@query(TURNS + f", s AS (SELECT conv_id % 4 AS bucket, avg(levenshtein({BYTES('gt')}, {BYTES('rec')})) AS ed, avg(CASE WHEN gt = rec THEN 1.0 ELSE 0.0 END) AS cr, sum(matched) / sum(len(g)) AS wac FROM m GROUP BY 1) SELECT bucket, round(ed, 6) AS ed, round(cr, 6) AS cr, round(wac, 6) AS wac, round(1 - least(100.0, ed) * (1 - cr) * (1 - wac) / 100.0, 6) AS text_score FROM s")
 def text_score(spark, sf):
     d = _turns(spark, sf).select((F.col("conv_id") % 4).alias("bucket"), F.levenshtein("gt", "rec").alias("d"), "matched", F.size("g").alias("words"))
     out = aggregate.text_score(d, ["bucket"], "d", "matched", "words")
@@ -389,16 +401,8 @@ REFS = 4
 
 
 def _first_of(d: DataFrame) -> DataFrame:
-    """(label, vec_id) of each label's first REFS vectors: a reference set of bounded size.
-
-    The least id is dropped REFS times, each time by one aggregate over (label, id).
-    """
-    left, refs = d.select("label", "vec_id"), None
-    for _ in range(REFS):
-        least = left.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
-        refs = least if refs is None else refs.union(least)
-        left = left.join(least.withColumnRenamed("vec_id", "__m"), "label").filter("vec_id > __m").drop("__m")
-    return refs
+    """Each label's first REFS vectors: a reference set of bounded size. Spark limits each task's rows of a label before they are dealt out."""
+    return d.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).filter(F.col("k") <= REFS)
 
 
 @query(
@@ -408,7 +412,7 @@ def _first_of(d: DataFrame) -> DataFrame:
 )
 def refset_max_cosine(spark, sf):
     d = table(spark, sf, "embeddings")
-    refs = d.join(_first_of(d), ["label", "vec_id"]).groupBy("label").agg(F.collect_list("embedding").alias("refs"))
+    refs = _first_of(d).groupBy("label").agg(F.collect_list("embedding").alias("refs"))
     best = F.array_max(F.transform("refs", lambda r: F.greatest(vec.cosine(F.col("embedding"), r), F.lit(0.0))))
     return d.join(refs, "label").select("vec_id", r6(best).alias("style"))
 
@@ -508,7 +512,10 @@ def step_statistics(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", s.alias("s")).select("vec_id", r6(F.col("s.log_prob")).alias("log_prob"))
 
 
-@query()
+@query(
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x, i: {'v': CAST(x AS DOUBLE), 'i': i - 1}) AS e FROM embeddings)
+    SELECT vec_id, round(list_reduce(list_prepend({'v': e[1].v, 'i': CAST(-1 AS BIGINT)}, e), lambda a, x: CASE WHEN (x.i + 1) % 2 = 0 THEN {'v': a.v + (1 - least((1.0 + x.i) / (10 + x.i), 0.9)) * (x.v - a.v), 'i': x.i} ELSE {'v': a.v, 'i': x.i} END).v, 6) AS ema FROM v"""
+)
 def moving_average(spark, sf):
     """Moving average with warm-up over the components of a vector."""
     return table(spark, sf, "embeddings").select("vec_id", r6(reward.ema(F.col("embedding"), 0.9, 2)).alias("ema"))

@@ -32,6 +32,14 @@ def jsonl(spark: SparkSession, path: str, schema: str, on_bad: str = "error") ->
     return spark.read.schema(SCHEMAS.get(schema, schema)).option("mode", MODES[on_bad]).json(path)
 
 
+def jsonl_until_bad(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The lines of each file before its first bad one, as a reader gives that stops there. A file is one task."""
+    fields = SCHEMAS.get(schema, schema)
+    d = lines(spark, path).filter(F.trim("prompt") != "").select(F.col("file"), "pos", F.from_json("prompt", f"{fields}, __bad STRING", {"columnNameOfCorruptRecord": "__bad"}).alias("r"))
+    first = d.filter("r.__bad IS NOT NULL").groupBy("file").agg(F.min("pos").alias("end"))
+    return d.join(first, "file", "left").filter(F.col("end").isNull() | (F.col("pos") < F.col("end"))).select("r.*").drop("__bad")
+
+
 def json_or_jsonl(spark: SparkSession, path: str, schema: str, on_bad: str = "error") -> DataFrame:
     return spark.read.schema(SCHEMAS.get(schema, schema)).option("mode", MODES[on_bad]).option("multiLine", not path.endswith(".jsonl")).json(path)
 
@@ -74,7 +82,7 @@ def lines(spark: SparkSession, path: str, low: int | None = None, high: int | No
 
     Numbers need the order of a whole file, so a file is one task; prompt files are small.
     """
-    d = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("pos", "prompt"))
+    d = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("pos", "prompt"))
     if low is not None:
         d = d.filter(F.col("pos") >= low)
     return d if high is None else d.filter(F.col("pos") < high)

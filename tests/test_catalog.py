@@ -7,11 +7,12 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from lexigauge.plans import catalog
+from lexigauge.functions import assign
+from lexigauge.plans import catalog, evaluations, files  # noqa: F401  they register queries
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
-WITH_PYTHON = {"response_parse", "nested_quotes", "typo_pairs", "gned", "seqmatch_best"}
+WITH_PYTHON = {"response_parse", "nested_quotes", "typo_pairs", "gned", "seqmatch_best", "list_literals", "prompt_targets", "gned_three", "typo_of_word", "closest_of_list", "scored_samples", "classified_tokens"}
 ONE_ROW_PRODUCTS = {"grpo_advantage_global_std", "ungrouped_advantage", "largest_remainder"}
 
 
@@ -66,3 +67,24 @@ def test_anomaly_report_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     (r,) = catalog.QUERIES["anomaly_report"](spark, str(tmp_path)).collect()
     assert r.tokens == 50
+
+
+def test_anomaly_report_by_hand(spark):
+    """Every token of whole texts, against plain loops."""
+    want = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").select("lang", "text").collect():
+        if r.text is None:
+            continue
+        pred, gt = ([w for w in t.split(" ") if "#" not in w] for t in (r.text, r.text.replace("#", "")))
+        n = want.setdefault(r.lang, [0, 0, 0.0])
+        n[0] += sum(t in pred for t in gt)
+        n[1] += len(gt)
+        n[2] += sum(min((assign.ned(p, t) for p in set(pred)), default=1.0) for t in gt if t not in pred)
+    got = {r.lang: [r.hits, r.tokens, r.edit] for r in catalog.QUERIES["anomaly_report"](spark, SF).collect()}
+    assert got == {k: [a, b, pytest.approx(c, abs=1e-5)] for k, (a, b, c) in want.items() if b}
+
+
+def test_turns_are_whole(spark, duck):
+    """No pair is left out, whatever its letters."""
+    pairs = duck.execute("SELECT count(*) FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'").fetchone()[0]
+    assert catalog.QUERIES["bag_overlap"](spark, SF).count() == pairs
