@@ -2,36 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import let  # noqa: F401  for the operators
-
-
-def work_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir`` where it is set.
-
-    Only a master that is this machine alone may do without the setting.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = found.get() if found.isDefined() else None
-    if not at:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and the executors of {master} share")
-        at = tempfile.mkdtemp(prefix="lexigauge-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def _hadoop(spark: SparkSession, at: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+from ..sources.scratch import new_path
 
 
 def materialise(df: DataFrame, name: str, written: list[str] | None = None) -> DataFrame:
@@ -42,10 +17,8 @@ def materialise(df: DataFrame, name: str, written: list[str] | None = None) -> D
     removed when the driver's JVM ends, or by ``discard`` of what ``written`` collects.
     """
     spark = df.sparkSession
-    at = f"{work_dir(spark)}/lexigauge-{name}-{uuid.uuid4().hex}"
+    at = new_path(spark, name)
     df.write.parquet(at)
-    path, fs = _hadoop(spark, at)
-    fs.deleteOnExit(path)
     if written is not None:
         written.append(at)
     return spark.read.parquet(at)
@@ -54,8 +27,8 @@ def materialise(df: DataFrame, name: str, written: list[str] | None = None) -> D
 def discard(spark: SparkSession, written: list[str]) -> None:
     """Removes written tables that nothing reads any more."""
     for at in written:
-        path, fs = _hadoop(spark, at)
-        fs.delete(path, True)
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     written.clear()
 
 
