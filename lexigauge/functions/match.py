@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .expr import let
+
 
 def ned(a: Column, b: Column) -> Column:
     """Edit distance over the longer length; 0 for two empty strings."""
@@ -101,13 +103,33 @@ def token_hit(t: Column, pred: Column) -> Column:
     return F.struct(hit.cast("int").alias("hit"), F.when(hit, 0.0).when(t.rlike("[一-鿿]"), 1.0).otherwise(near).alias("edit"))
 
 
+def nearest_ned(t: Column, pred: Column) -> Column:
+    """Least distance of a token to those of a list; only tokens whose length allows less than the best so far are compared."""
+    n = F.length(t)
+
+    def step(best: Column, p: Column) -> Column:
+        longer = F.greatest(F.length(p), n)
+        could = F.abs(F.length(p) - n) < best * longer
+        return F.when(could, F.least(best, F.levenshtein(p, t) / longer)).otherwise(best)
+
+    return F.aggregate(pred, F.lit(1.0), step)
+
+
 def token_hits(gt: Column, pred: Column) -> Column:
-    """struct(hits, tokens, edit) over expected tokens; distances are computed once for each different token that isn't among the predicted."""
-    lost = F.array_except(gt, pred)
-    missed = F.filter(gt, lambda t: F.array_contains(lost, t))
-    edit = F.aggregate(F.transform(lost, lambda t: F.struct(t.alias("t"), token_hit(t, F.array_distinct(pred))["edit"].alias("e"))), F.lit(0.0), lambda s, x: s + x["e"] * F.size(F.filter(missed, lambda m: m == x["t"])))
-    whole = F.when(F.size(lost) == 0, F.struct(F.size(gt).alias("hits"), F.size(gt).alias("tokens"), F.lit(0.0).alias("edit")))
-    return whole.otherwise(F.struct((F.size(gt) - F.size(missed)).alias("hits"), F.size(gt).alias("tokens"), edit.alias("edit")))
+    """struct(hits, tokens, edit) over expected tokens, as ``token_hit`` of each; a distance is computed once for each different token that isn't predicted."""
+    edit = lambda t, x: F.when(t.rlike("[一-鿿]"), 1.0).otherwise(nearest_ned(t, x["pred"]))
+
+    def summed(x: Column) -> Column:
+        missed = F.filter(x["gt"], lambda t: F.array_contains(x["lost"], t))
+        each = F.transform(x["lost"], lambda t: edit(t, x) * F.size(F.filter(missed, lambda m: m == t)))
+        return F.struct((F.size(x["gt"]) - F.size(missed)).alias("hits"), F.size(x["gt"]).alias("tokens"), F.aggregate(each, F.lit(0.0), lambda s, e: s + e).alias("edit"))
+
+    def whole(x: Column) -> Column:
+        all_hit = F.struct(F.size(x["gt"]).alias("hits"), F.size(x["gt"]).alias("tokens"), F.lit(0.0).alias("edit"))
+        return F.when(F.size(x["lost"]) == 0, all_hit).otherwise(summed(x))
+
+    both = let(F.struct(gt.alias("gt"), F.array_distinct(pred).alias("pred")), lambda b: F.struct(b["gt"].alias("gt"), b["pred"].alias("pred"), F.array_except(b["gt"], b["pred"]).alias("lost")))
+    return let(both, whole)
 
 
 def anomaly_confusion(pred_marks: Column, gt_marks: Column, ratio: float = 0.7) -> Column:
