@@ -13,7 +13,8 @@ def jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def csv(df: DataFrame, path: str, mode: str = "error") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    """Quotes are doubled and white space at the ends stays, so any text comes back as it was."""
+    df.write.mode(mode).options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def once(df: DataFrame, path: str) -> None:
