@@ -3,8 +3,10 @@
 Three transducers are compiled from a model file, which is read on the driver
 and broadcast (its size is that of a vocabulary):
 
-* the normaliser maps white space to the word-start mark as the model's options
-  say (only models whose normalisation rule is ``identity`` are accepted);
+* the normaliser has one state and writes the word-start mark for a blank and
+  every other character as it is, behind an arc that writes the first mark (only
+  models whose normalisation rule is ``identity`` are accepted). It has one path
+  for an input, so composing with it is writing that path's output;
 * the piece transducer reads characters and writes piece ids. Its states hold
   the last piece written. An arc to another piece exists where the model's
   merges leave the two side by side, and weighs nothing; all others weigh
@@ -15,13 +17,17 @@ and broadcast (its size is that of a vocabulary):
 * the byte transducer reads a character that has no piece and writes its UTF-8
   bytes' ids.
 
-Composition with an input is done lazily: from each position of the input only
-the arcs that read the next characters are built, and the tropical-semiring
+The composition with an input is built as far as the search asks for it: from
+each position only the arcs that read the next characters. The tropical-semiring
 shortest path is searched from left to right, long arcs first. At most one
 finite path reaches a position, so a position whose arcs all weigh infinity is
-left for good, and the first path to the end is the shortest. No piece spans the
-start of a word, so an input is cut there and words' paths are kept in a bounded
-cache.
+left for good, and the first path to the end is the shortest. With weights of
+nothing and infinity this is a search for the one finite path rather than a
+comparison of weights.
+
+No piece spans the start of a word, so an input is cut there, and at characters
+that no longer piece holds; paths are kept as packed ids, in a cache that is
+bounded by bytes, and parts of more than ``LONGEST`` characters aren't kept.
 
 Decoding maps ids back to their strings and bytes; ``round_trip`` says that it
 gave the text. Null and empty texts have no ids; the round trip of an empty text
@@ -41,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-CACHED = 250_000
+CACHE_BYTES, PAIRS_CACHED, LONGEST = 192 << 20, 1_000_000, 64
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 
 
@@ -71,6 +77,25 @@ def _fields(buf: bytes):
             i += n
 
 
+class Paths(dict):
+    """Packed ids of words. At half of ``CACHE_BYTES`` a generation ends; its words stay for one more."""
+
+    def __init__(self, find) -> None:
+        self.find, self.older, self.size = find, {}, 0
+
+    def __missing__(self, word: str) -> bytes:
+        p = self.older.get(word)
+        if p is None:
+            p = self.find(word)
+        if len(word) <= LONGEST:
+            if self.size > CACHE_BYTES // 2:
+                self.older, self.size = dict(self), 0
+                self.clear()
+            self[word] = p
+            self.size += 200 + 2 * len(word) + len(p)  # entries in a dict, a string and bytes
+        return p
+
+
 class Transducer:
     def __init__(self, model: bytes) -> None:
         pieces, rule, self.prefix, self.squeeze, escape = [], b"", 1, 1, 1
@@ -95,9 +120,11 @@ class Transducer:
         self.arcs = {p[:n]: False for p in self.ids for n in range(1, len(p) + 1)}
         self.arcs |= {p: True for p in self.ids if len(self.merged(p)) == 1}
         self.beside: dict[str, dict[str, bool]] = {}
-        self.paths: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.pairs = 0
         self.cut = re.compile(self._cuts())
+        joined = "".join(map(re.escape, sorted({c for p in self.ids if len(p) > 1 for c in p})))
+        self.alone = re.compile(f"[{joined}]+|[^{joined}]")
+        self.paths = Paths(self._part)
 
     # -- the merge rules, on single pieces and pairs
 
@@ -136,12 +163,16 @@ class Transducer:
 
     # -- composition and shortest path
 
-    def path(self, word: str) -> tuple[int, ...]:
-        """Ids of one word (no start of a word inside)."""
+    def _part(self, part: str) -> bytes:
+        return self.path(part) if len(part) <= LONGEST else b"".join(map(self.path, self.alone.findall(part)))
+
+    def path(self, word: str) -> bytes:
+        """Packed ids of one word (no start of a word inside)."""
         n = len(word)
         arcs, beside = self.arcs, self.beside
-        if len(beside) > CACHED:
+        if self.pairs > PAIRS_CACHED:
             beside.clear()
+            self.pairs = 0
         out: list[str] = []
         left: list[list[int]] = []  # ends of the arcs from each piece's start that aren't tried yet, the longest last
         closed: set[int] = set()
@@ -168,6 +199,7 @@ class Transducer:
                     ok = next_to.get(p)
                     if ok is None:
                         ok = next_to[p] = self.may_follow(out[-1], p)
+                        self.pairs += 1
                     if not ok:
                         continue
                 out.append(p)
@@ -186,7 +218,7 @@ class Transducer:
                 ids += [self.bytes_[b] for b in p.encode("utf-8", "replace")]
             else:
                 ids.append(self.unknown)
-        return tuple(ids)
+        return np.array(ids, np.int32).tobytes()
 
     def normalised(self, text: str) -> str:
         if not text:
@@ -196,24 +228,19 @@ class Transducer:
         text = text.replace(" ", MARK)
         return MARK + text if self.prefix and text else text
 
+    def packed(self, text: str | None) -> bytes:
+        """Ids of a text, four bytes each."""
+        if not text:
+            return b""
+        return b"".join(map(self.paths.__getitem__, self.cut.findall(self.normalised(text))))
+
     def encode(self, text: str | None) -> list[int]:
-        ids: list[int] = []
-        if len(self.paths) > CACHED:  # words of the last generation stay for one more
-            self.older, self.paths = self.paths, {}
-        paths, older = self.paths, self.older
-        for word in self.cut.findall(self.normalised(text or "")):
-            p = paths.get(word)
-            if p is None:
-                p = paths[word] = older.get(word) or self.path(word)
-            ids += p
-        return ids
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
-        if not self.byte_of.keys().isdisjoint(ids):
-            data = b"".join([bytes([self.byte_of[i]]) if i in self.byte_of else self.names[i].encode() for i in ids])
-            text = data.decode("utf-8", "replace")
-        else:
-            text = "".join([self.names[i] for i in ids])
+        text = "".join(map(self.names.__getitem__, ids))
+        if "<0x" in text:  # bytes, or a text that has such characters
+            text = b"".join([bytes([self.byte_of[i]]) if i in self.byte_of else self.names[i].encode() for i in ids]).decode("utf-8", "replace")
         text = text.replace(MARK, " ")
         return text[1:] if self.prefix and text[:1] == " " else text
 
@@ -254,13 +281,13 @@ def encode(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id
                 ids, sha, same = [], [], []
                 for x in part.column(1):
                     x = x.as_py()
-                    i = t.encode(x)
-                    back = t.decode(i)
-                    ids.append(np.array(i, np.int32))
+                    i = t.packed(x)
+                    back = t.decode(np.frombuffer(i, np.int32).tolist())
+                    ids.append(i)
                     sha.append(hashlib.sha256(back.encode("utf-8", "replace")).hexdigest())
                     same.append(None if x is None else back == t.canonical(x))
-                off = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                arr = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
+                off = np.cumsum([0, *map(len, ids)]).astype(np.int32) // 4
+                arr = pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off), pa.int64()), arr, pa.array(sha, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_pieces", "ids", "decoded_sha256", "round_trip"])
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

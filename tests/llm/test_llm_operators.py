@@ -531,6 +531,28 @@ def test_pieces_equal_the_library(model, s):
     assert mine.decode(ids) == library.decode(ids) == mine.canonical(s)
 
 
+def test_long_runs_of_pieces(model):
+    """A million ideographs, letters and blanks; caches hold none of them whole."""
+    mine, library = model
+    r = np.random.default_rng(6)
+    for t in ("".join(map(chr, r.integers(0x4E00, 0x9FA5, 10**6))), "x" * 10**5, "  \t  " * 10**4, "ab" * 50_000 + " end"):
+        assert mine.encode(t) == library.encode(t)
+    assert max(map(len, mine.paths)) <= pieces.LONGEST
+
+
+@needs_tables
+def test_pieces_table(spark, model):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(300).collect()
+    assert all(model[0].encode(r.text) == model[1].encode(r.text or "") for r in rows)
+
+
+def test_caches_are_bounded(model, monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE_BYTES", 20_000)
+    mine = pieces.Transducer(open(pieces.default_model(), "rb").read())
+    t = " ".join(f"w{i}x" for i in range(3000))
+    assert mine.encode(t) == model[1].encode(t) and len(mine.paths) + len(mine.paths.older) < 200
+
+
 def test_pieces_odd(spark, model):
     d = documents(spark)
     got = pieces.encode(d)
