@@ -39,6 +39,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from pathlib import Path
 
 import numpy as np
@@ -47,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-CACHE_BYTES, PAIRS_CACHED, LONGEST = 192 << 20, 1_000_000, 64
+CACHE_BYTES, PAIRS_CACHED, LONGEST = 320 << 20, 1_000_000, 64
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 
 
@@ -119,6 +120,9 @@ class Transducer:
         #: Beginnings of pieces; true for those that are pieces which the merges do build.
         self.arcs = {p[:n]: False for p in self.ids for n in range(1, len(p) + 1)}
         self.arcs |= {p: True for p in self.ids if len(self.merged(p)) == 1}
+        written = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(MARK, " ").encode() for i, p in enumerate(self.names)]
+        self.table, self.sizes = np.frombuffer(b"".join(written), np.uint8), np.array(list(map(len, written)))
+        self.offsets = np.cumsum(self.sizes) - self.sizes
         self.beside: dict[str, dict[str, bool]] = {}
         self.pairs = 0
         self.cut = re.compile(self._cuts())
@@ -218,7 +222,7 @@ class Transducer:
                 ids += [self.bytes_[b] for b in p.encode("utf-8", "replace")]
             else:
                 ids.append(self.unknown)
-        return np.array(ids, np.int32).tobytes()
+        return array("i", ids).tobytes()
 
     def normalised(self, text: str) -> str:
         if not text:
@@ -237,11 +241,14 @@ class Transducer:
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.packed(text), np.int32).tolist()
 
-    def decode(self, ids: list[int]) -> str:
-        text = "".join(map(self.names.__getitem__, ids))
-        if "<0x" in text:  # bytes, or a text that has such characters
-            text = b"".join([bytes([self.byte_of[i]]) if i in self.byte_of else self.names[i].encode() for i in ids]).decode("utf-8", "replace")
-        text = text.replace(MARK, " ")
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        """The pieces' bytes one after the other, gathered from the table of all pieces' bytes."""
+        ids = np.asarray(ids, np.int64)
+        size = self.sizes[ids]
+        end = np.cumsum(size)
+        at = np.repeat(self.offsets[ids] - (end - size), size)
+        at += np.arange(len(at))
+        text = self.table[at].tobytes().decode("utf-8", "replace")
         return text[1:] if self.prefix and text[:1] == " " else text
 
     def canonical(self, text: str) -> str:
@@ -282,7 +289,7 @@ def encode(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id
                 for x in part.column(1):
                     x = x.as_py()
                     i = t.packed(x)
-                    back = t.decode(np.frombuffer(i, np.int32).tolist())
+                    back = t.decode(np.frombuffer(i, np.int32))
                     ids.append(i)
                     sha.append(hashlib.sha256(back.encode("utf-8", "replace")).hexdigest())
                     same.append(None if x is None else back == t.canonical(x))
