@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-CACHE_BYTES, PAIRS_CACHED, LONGEST = 224 << 20, 1_000_000, 64
+CACHE_BYTES, PAIRS_CACHED, LONGEST = 96 << 20, 1_000_000, 64
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 
 
