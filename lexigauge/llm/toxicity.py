@@ -198,11 +198,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str =
     if len(y) == 0 or y.min() == y.max():
         return NOTHING
     vocab = [r.w for r in telling(one.select("y", F.explode("w").alias("w")), int(y.sum()), int((1 - y).sum())).collect()]  # at most MOST
-    col = docs.sparkSession.createDataFrame([*enumerate(vocab)], "col int, w string")
-    cells = one.select("doc_id", F.explode(F.arrays_zip("w", "n")).alias("x")).select("doc_id", "x.*").join(F.broadcast(col), "w")
-    cells = cells.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("col", "n"))).alias("x"))  # at most MOST a row
+    col = {w: i for i, w in enumerate(vocab)}
+
+    def chosen(batches):  # a row's values of the chosen features
+        for b in batches:
+            x = [[(col[w], n) for w, n in zip(ws, ns) if w in col] for ws, ns in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([[c[k] for c in r] for r in x], pa.list_(pa.int32())) for k in (0, 1))], ["doc_id", "col", "n"])
+
+    cells = one.select("doc_id", "w", "n").mapInArrow(chosen, "doc_id long, col array<int>, n array<int>")
     at, row, cols, val = {i: k for k, (i, _) in enumerate(got)}, [], [], []
-    for r in cells.orderBy("doc_id").select("doc_id", F.col("x.col").alias("col"), F.col("x.n").alias("n")).collect():
+    for r in sorted(cells.collect()):
         row += [at[r.doc_id]] * len(r.col)
         cols += r.col
         val += (1 + np.log(r.n)).tolist()
