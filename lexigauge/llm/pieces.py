@@ -40,6 +40,7 @@ from __future__ import annotations
 import re
 import struct
 from array import array
+from collections.abc import Iterable
 from pathlib import Path
 
 import numpy as np
@@ -78,6 +79,22 @@ def _fields(buf: bytes):
             i += n
 
 
+def cuts(pieces: Iterable[str]) -> str:
+    """A pattern whose matches no piece goes beyond: marks start one, and so does each
+    symbol that no piece holds behind another character than a mark or such a symbol."""
+    behind: dict[str, set[str]] = {}
+    for p in pieces:
+        for x, y in zip(p, p[1:]):
+            behind.setdefault(y, set()).add(x)
+    free = {c for c in (p[0] for p in pieces) if not c.isalpha() and not c.isdecimal() and c != MARK}
+    while bad := {c for c in free if not behind.get(c, set()) <= free | {MARK}}:
+        free -= bad
+    every = "".join(map(re.escape, sorted(free)))
+    if not every:
+        return f"{MARK}+[^{MARK}]*|[^{MARK}]+"
+    return f"{MARK}+[{every}]*[^{MARK}{every}]*|[{every}]+[^{MARK}{every}]*|[^{MARK}{every}]+"
+
+
 class Paths(dict):
     """Packed ids of words. At half of ``CACHE_BYTES`` a generation ends; its words stay for one more."""
 
@@ -97,7 +114,9 @@ class Paths(dict):
         return p
 
 
-class Transducer:
+class Model:
+    """What a model file says of its pieces, the normaliser and where words end."""
+
     def __init__(self, model: bytes) -> None:
         pieces, rule, self.prefix, self.squeeze, escape = [], b"", 1, 1, 1
         for field, value in _fields(model):
@@ -113,10 +132,24 @@ class Transducer:
         self.ids = {p: i for i, (p, _, kind) in enumerate(pieces) if kind in (NORMAL, USER)}
         self.scores = {p: s for p, s, kind in pieces if kind in (NORMAL, USER)}
         self.bytes_ = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
-        self.byte_of = {i: b for b, i in self.bytes_.items()}
         self.unknown = next((i for i, (_, _, kind) in enumerate(pieces) if kind == UNKNOWN), 0)
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
             raise ValueError("pieces that span the start of a word aren't supported")
+        self.cut = re.compile(cuts(self.ids))
+
+    def normalised(self, text: str) -> str:
+        if not text:
+            return ""
+        if self.squeeze:
+            text = re.sub(" +", " ", text).strip(" ")
+        text = text.replace(" ", MARK)
+        return MARK + text if self.prefix and text else text
+
+
+class Transducer(Model):
+    def __init__(self, model: bytes) -> None:
+        super().__init__(model)
+        self.byte_of = {i: b for b, i in self.bytes_.items()}
         #: Beginnings of pieces; true for those that are pieces which the merges do build.
         self.arcs = {p[:n]: False for p in self.ids for n in range(1, len(p) + 1)}
         self.arcs |= {p: True for p in self.ids if len(self.merged(p)) == 1}
@@ -125,7 +158,6 @@ class Transducer:
         self.offsets = np.cumsum(self.sizes) - self.sizes
         self.beside: dict[str, dict[str, bool]] = {}
         self.pairs = 0
-        self.cut = re.compile(self._cuts())
         joined = "".join(map(re.escape, sorted({c for p in self.ids if len(p) > 1 for c in p})))
         self.alone = re.compile(f"[{joined}]+|[^{joined}]")
         self.paths = Paths(self._part)
@@ -150,21 +182,6 @@ class Transducer:
         """Weight 0 rather than infinity for the arc that writes ``b`` after ``a``."""
         return self.merged(a + b) == [a, b]
 
-    def _cuts(self) -> str:
-        """A pattern whose matches no piece goes beyond: marks start one, and so does each
-        symbol that no piece holds behind another character than a mark or such a symbol."""
-        behind: dict[str, set[str]] = {}
-        for p in self.ids:
-            for x, y in zip(p, p[1:]):
-                behind.setdefault(y, set()).add(x)
-        free = {c for c in (p[0] for p in self.ids) if not c.isalpha() and not c.isdecimal() and c != MARK}
-        while bad := {c for c in free if not behind.get(c, set()) <= free | {MARK}}:
-            free -= bad
-        every = "".join(map(re.escape, sorted(free)))
-        if not every:
-            return f"{MARK}+[^{MARK}]*|[^{MARK}]+"
-        return f"{MARK}+[{every}]*[^{MARK}{every}]*|[{every}]+[^{MARK}{every}]*|[^{MARK}{every}]+"
-
     # -- composition and shortest path
 
     def _part(self, part: str) -> bytes:
@@ -224,14 +241,6 @@ class Transducer:
                 ids.append(self.unknown)
         return array("i", ids).tobytes()
 
-    def normalised(self, text: str) -> str:
-        if not text:
-            return ""
-        if self.squeeze:
-            text = re.sub(" +", " ", text).strip(" ")
-        text = text.replace(" ", MARK)
-        return MARK + text if self.prefix and text else text
-
     def packed(self, text: str | None) -> bytes:
         """Ids of a text, four bytes each."""
         if not text:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, langid, pages, pieces, pii, quality, secrets, toxicity
+from . import decontam, langid, pages, pieces, pii, prefix_trie, quality, secrets, token_counts, toxicity, whitening
 from .base import LOWER, UPPER, crc_mod, table
 from .exact_dedup import exact_dedup
 from .minmax import near_duplicates
@@ -56,6 +56,18 @@ def op9_minmax_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80).drop("tkey")
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_counts(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_langid": op2_langid,
@@ -67,6 +79,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_minmax_dedup": op9_minmax_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_whitening": op12_whitening,
+    "op13_token_counts": op13_token_counts,
 }
 
 SQL = {
