@@ -97,6 +97,30 @@ SQL = {
         SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept
         FROM s JOIN (SELECT doc_id, min(m) AS component_id FROM r GROUP BY 1) USING (doc_id)
     """,
+    "op11_prefix_trie": """
+        WITH RECURSIVE t AS (
+            SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS nr
+            FROM conversations WHERE conv_id IS NOT NULL),
+        k AS (SELECT c, c - c % 100 AS base, list_reduce(list_prepend(4294967295, list_transform(range(8 * len(s)), lambda i: CASE WHEN i % 8 = 0 THEN ord(s[i // 8 + 1]) ELSE -1 END)), lambda a, x: CASE
+                WHEN xor(a, greatest(x, 0)) & 1 = 1 THEN xor(xor(a, greatest(x, 0)) >> 1, 3988292384) ELSE xor(a, greatest(x, 0)) >> 1 END) AS r
+              FROM (SELECT DISTINCT c, CAST(c AS VARCHAR) AS s FROM t)),
+        h AS (SELECT c, base, xor(r, 4294967295) % 6 AS h FROM k),
+        b AS (SELECT h.c, t.role, t.text, 0 AS own, t.nr FROM h JOIN t ON t.c = h.base AND t.nr <= h.h
+              UNION ALL SELECT h.c, t.role, t.text, 1, t.nr FROM h JOIN t ON t.c = h.c AND t.nr > h.h),
+        d AS (SELECT c, role, text, row_number() OVER (PARTITION BY c ORDER BY own, nr) AS depth FROM b),
+        p AS (SELECT c, 0 AS depth, '' AS node, CAST(NULL AS VARCHAR) AS parent, 0 AS n FROM h
+              UNION ALL SELECT d.c, d.depth, sha256(concat(p.node, ':', length(d.role), ':', d.role, d.text)), p.node, length(d.text) FROM p JOIN d ON d.c = p.c AND d.depth = p.depth + 1),
+        l AS (SELECT c, max(depth) AS last FROM p GROUP BY c),
+        nodes AS (SELECT node, parent, depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(n) AS saved,
+                  coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (depth = last), '') AS ends FROM p JOIN l USING (c) GROUP BY node, parent, depth),
+        kids AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+        sums AS (SELECT p.node, count(*) FILTER (k.node IS NULL) AS n_leaves, sum(n.saved) AS saved_tokens
+                 FROM nodes n LEFT JOIN kids k ON k.node = n.node JOIN p ON p.c = n.conv_id AND p.depth <= n.depth GROUP BY p.node)
+        SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children,
+               s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+        FROM nodes n JOIN sums s ON s.node = n.node LEFT JOIN kids k ON k.node = n.node LEFT JOIN nodes up ON up.node = n.parent
+    """,
     "op10_exact_dedup": f"""
         WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{LOWER}')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

@@ -5,6 +5,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import Row
 
 import corpus_pipeline
 from lexigauge.llm import queries
@@ -13,12 +14,13 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
 COLUMNS = {
     1: {"page_id", "url", "text", "n_chars"}, 2: {"doc_id", "held_out", "lang_pred", "score"}, 4: {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"},
-    5: {"doc_id", "held_out", "score", "predicted"}, 9: {"doc_id", "n_shingles", "component_id", "kept"}, 10: {"doc_id", "keep_id", "group_size", "kept", "text_sha256"},
+    5: {"doc_id", "held_out", "score", "predicted"}, 11: {"conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"},
+    12: {"vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"}, 13: {"doc_id", "n_bytes", "n_tokens", "over_limit"}, 9: {"doc_id", "n_shingles", "component_id", "kept"}, 10: {"doc_id", "keep_id", "group_size", "kept", "text_sha256"},
 }
 
 
 def test_each_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", list(queries.QUERIES))
@@ -27,14 +29,17 @@ def test_query(spark, name):
     n = int(name[2:].split("_")[0])
     assert COLUMNS.get(n, set()) <= set(df.columns)
     got = df.toPandas()
-    assert len(got) == spark.read.parquet(f"{SF}/{'pages' if n == 1 else 'documents'}.parquet").count()
+    if n == 12:
+        assert len(got) == 4 * spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    elif n != 11:
+        assert len(got) == spark.read.parquet(f"{SF}/{'pages' if n == 1 else 'documents'}.parquet").count()
     if name in queries.SQL:
         con = duckdb.connect()
         for p in Path(SF).glob("*.parquet"):
             con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
-        want = con.execute(queries.SQL[name]).df()
-        cols = sorted(want.columns)
-        assert sorted(map(repr, got[cols].values.tolist())) == sorted(map(repr, want[cols].values.tolist()))
+        want = con.execute(queries.SQL[name])
+        cols = [c[0] for c in want.description]
+        assert sorted(map(repr, df.select(*cols).collect())) == sorted(repr(Row(**dict(zip(cols, r)))) for r in want.fetchall())
 
 
 @pytest.mark.parametrize("name", ["op3_pii_surrogates", "op7_decontam", "op10_exact_dedup"])
