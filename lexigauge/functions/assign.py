@@ -1,12 +1,10 @@
-"""Metrics that need an assignment or sequence matcher: Arrow-batched functions over whole columns.
+"""Metrics that need an assignment: Arrow-batched functions over whole columns.
 
 Edit distances inside one row are computed once and shared by all that needs them.
 """
 
 from __future__ import annotations
 
-import difflib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -112,11 +110,6 @@ def _typo_pairs(irrelevant: pd.Series, missing: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({k: [r[i] for r in rows] for i, k in enumerate(("typo", "irrelevant", "missing"))})
 
 
-def _closest(word: pd.Series, candidates: pd.Series) -> pd.Series:
-    found = [(difflib.get_close_matches(w, list(c), 1, 0.0) or [None])[0] if w is not None and c is not None else None for w, c in zip(word, candidates)]
-    return pd.Series(found, dtype="object")
-
-
 # Made when used: a return type is parsed by a session, which executors that import this module don't have.
 
 
@@ -128,8 +121,3 @@ def gned(gt, pred) -> Column:
 def typo_pairs(irrelevant, missing) -> Column:
     """struct(typo, irrelevant, missing): pairs of the least-cost assignment that are near enough."""
     return F.pandas_udf(_typo_pairs, "struct<typo:array<string>,irrelevant:array<string>,missing:array<string>>")(irrelevant, missing)
-
-
-def closest(word, candidates) -> Column:
-    """The candidate with the largest sequence-matcher ratio, null without candidates."""
-    return F.pandas_udf(_closest, "string")(word, candidates)

@@ -20,6 +20,11 @@ def contains_chinese(s: Column, narrow: bool = False) -> Column:
     return s.rlike(f"[{CJK_NARROW if narrow else CJK}]")
 
 
+def characters(s: Column) -> Column:
+    """The characters of a text that aren't white space, as a list."""
+    return F.regexp_extract_all(strip_whitespace(s), F.lit("(?s)."), F.lit(0))
+
+
 def strip_whitespace(s: Column) -> Column:
     """All white space out; (?U) for Unicode white space."""
     return F.regexp_replace(s, r"(?U)\s+", "")

@@ -61,6 +61,26 @@ def ratios(df: DataFrame) -> DataFrame:
     return d.withColumn("f1", over(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def micro_levels(counts: DataFrame, fixed: list[str], over: list[str], all_name: str = "all") -> DataFrame:
+    """Counters tp, fp, fn, tn, hits, tokens and edit summed at every level over some keys, and the ratios derived from the sums of each level.
+
+    A key that is summed over reads ``all_name``. One pass: partial sums of all
+    levels leave a task together. Cells that a level doesn't have count nothing;
+    null counters count 0.
+    """
+    counters = ("tp", "fp", "fn", "tn", "hits", "tokens", "edit")
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counters]
+    levels = [[*fixed, *(k for i, k in enumerate(over) if which >> i & 1)] for which in range(1 << len(over))]
+    out = counts.groupingSets(levels, *fixed, *over).agg(*sums, *[F.grouping(k).alias(f"__{k}") for k in over])
+    out = out.withColumns({k: F.when(F.col(f"__{k}") == 1, F.lit(all_name)).otherwise(F.col(k).cast("string")) for k in over}).drop(*[f"__{k}" for k in over])
+    return _token_ratios(ratios(out))
+
+
+def _token_ratios(df: DataFrame) -> DataFrame:
+    over = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
+    return df.withColumn("token_recall", over("hits", "tokens")).withColumn("token_ned", over("edit", "tokens"))
+
+
 def anomaly_metrics(df: DataFrame, keys: list[str], pred: str = "pred_text", gt: str = "gt_text", tokens: Column | None = None, pred_tokens: Column | None = None) -> DataFrame:
     """Anomaly confusion by rows and token recognition by tokens, summed in each row first: one aggregation, no token moves."""
     kind = match.anomaly_confusion(match.count_marks(F.col(pred)), match.count_marks(F.col(gt)))
@@ -68,8 +88,7 @@ def anomaly_metrics(df: DataFrame, keys: list[str], pred: str = "pred_text", gt:
     d = df.select(*keys, kind.alias("__kind"), t.alias("__t"))
     by = [F.count_if(F.col("__kind") == k).alias(k.lower()) for k in ("TP", "FP", "FN", "TN")]
     out = d.groupBy(*keys).agg(*by, F.sum("__t.hits").alias("hits"), F.sum("__t.tokens").alias("tokens"), F.sum("__t.edit").alias("edit"))
-    over = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
-    return ratios(out).withColumn("token_recall", over("hits", "tokens")).withColumn("token_ned", over("edit", "tokens"))
+    return _token_ratios(ratios(out))
 
 
 def text_score(df: DataFrame, keys: list[str], distance: str, matched: str, total: str, most: float = 100.0) -> DataFrame:

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import assign, match, parse, text, vec
+from ..functions import assign, match, parse, sequence, text, vec
 from ..operators import aggregate, joins, layout, registry, report, reward, sample
 from ..streaming import rewards as streams
 
@@ -276,10 +276,25 @@ def gned(spark, sf):
     return _parts(spark, sf).select("p_partkey", r6(assign.gned(F.split("a", " "), F.array(F.concat_ws(" ", "b", "c")))).alias("gned"))
 
 
-@query()
+#: Longest common block of two texts, leftmost of equals: {n: its length, negative; i, j: its places}.
+BLOCK = """list_min(list_transform(range(0, length({a}) * length({b})), lambda x: {{'n': -len(list_filter(range(1, 40), lambda l:
+    x // length({b}) + l <= length({a}) AND x % length({b}) + l <= length({b}) AND substring({a}, x // length({b}) + 1, l) = substring({b}, x % length({b}) + 1, l))), 'i': x // length({b}) + 1, 'j': x % length({b}) + 1}}))"""
+#: Ratios of the rows (p, a, b) of pairs.
+RATIOS = f"""t AS (
+        SELECT p, a, b, {BLOCK.format(a="a", b="b")} AS x FROM pairs WHERE a <> '' AND b <> ''
+        UNION ALL
+        SELECT p, u.a, u.b, {BLOCK.format(a="u.a", b="u.b")} FROM (
+            SELECT p, unnest([{{'a': substring(a, 1, x.i - 1), 'b': substring(b, 1, x.j - 1)}}, {{'a': substring(a, x.i - x.n), 'b': substring(b, x.j - x.n)}}]) AS u FROM t WHERE x.n < 0) WHERE u.a <> '' AND u.b <> ''),
+    ratios AS (SELECT p, a, b, CASE WHEN length(a) + length(b) = 0 THEN 1.0 ELSE 2.0 * coalesce((SELECT -sum(x.n) FROM t WHERE t.p = pairs.p), 0) / (length(a) + length(b)) END AS r FROM pairs)"""
+
+
+@query(
+    f"""{PARTS.replace("WITH", "WITH RECURSIVE", 1)}, w AS (SELECT p_partkey, b AS w, unnest(list_append(string_split(a, ' '), lower(p_brand))) AS v FROM p JOIN part USING (p_partkey)), pairs AS (SELECT row_number() OVER () AS p, p_partkey, v AS a, w AS b FROM w), {RATIOS}
+    SELECT p_partkey, arg_max(r.a, struct_pack(r := r.r, a := r.a)) AS best FROM pairs JOIN ratios r USING (p) GROUP BY 1"""
+)
 def seqmatch_best(spark, sf):
     words = F.concat(F.split("a", " "), F.array("c"))
-    return _parts(spark, sf).select("p_partkey", assign.closest("b", words).alias("best"))
+    return _parts(spark, sf).select("p_partkey", sequence.closest("b", words).alias("best"))
 
 
 @query("SELECT kind, count(*) AS n FROM (SELECT CASE WHEN p > 0 THEN CASE WHEN 0.7 * g <= p AND p <= (1 / 0.7) * g THEN 'TP' ELSE 'FP' END ELSE CASE WHEN g = 0 THEN 'TN' ELSE 'FN' END END AS kind FROM (SELECT length(text) - length(replace(text, '#', '')) AS p, doc_id % 5 AS g FROM documents)) GROUP BY 1")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import assign, match, parse, text, vec
+from ..functions import assign, match, parse, sequence, text, vec
 from ..operators import aggregate, evaluate, joins, layout, registry, report, reward, sample
-from .catalog import BYTES, NED, query, r6, table
+from .catalog import BYTES, NED, RATIOS, query, r6, table
 
 # -- text
 
@@ -134,11 +134,14 @@ def typo_of_word(spark, sf):
     return d.select("p_partkey", F.array_join("t.typo", " ").alias("typo"), F.array_join("t.irrelevant", " ").alias("irrelevant"), F.array_join("t.missing", " ").alias("missing"))
 
 
-@query("SELECT p_partkey, p_name AS best FROM part")
+@query(
+    f"""WITH RECURSIVE w AS (SELECT p_partkey, reverse(p_name) AS w, unnest([p_type, p_name, p_brand]) AS v FROM part), pairs AS (SELECT row_number() OVER () AS p, p_partkey, v AS a, w AS b FROM w), {RATIOS}
+    SELECT p_partkey, arg_max(r.a, struct_pack(r := r.r, a := r.a)) AS best FROM pairs JOIN ratios r USING (p) GROUP BY 1"""
+)
 def closest_of_list(spark, sf):
-    """The name itself less a letter, among other words."""
+    """The name read backwards, among other words."""
     words = F.array("p_type", "p_name", "p_brand")
-    return table(spark, sf, "part").select("p_partkey", assign.closest(F.expr("substring(p_name, 2)"), words).alias("best"))
+    return table(spark, sf, "part").select("p_partkey", sequence.closest(F.reverse("p_name"), words).alias("best"))
 
 
 @query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS quality, CASE p_partkey % 3 WHEN 0 THEN 2 ELSE 0 END AS semantic FROM part")

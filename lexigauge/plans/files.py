@@ -96,13 +96,13 @@ def optional_file(spark, sf):
 @query("SELECT n_nationkey AS pos, n_name AS prompt FROM nation")
 def prompt_lines(spark, sf):
     d = table(spark, sf, "nation").coalesce(1).sortWithinPartitions("n_nationkey")
-    return readers.lines(spark, _texts(d, "n_name", spark, "lines")).select("pos", "prompt")
+    return readers.lines(spark, _texts(d, "n_name", spark, "lines")).select(F.col("pos").cast("int").alias("pos"), "prompt")
 
 
 @query("SELECT n_nationkey AS pos, n_name AS prompt FROM nation WHERE n_nationkey >= 5 AND n_nationkey < 12")
 def prompt_lines_slice(spark, sf):
     d = table(spark, sf, "nation").coalesce(1).sortWithinPartitions("n_nationkey")
-    return readers.lines(spark, _texts(d, "n_name", spark, "lines"), 5, 12).select("pos", "prompt")
+    return readers.lines(spark, _texts(d, "n_name", spark, "lines"), 5, 12).select(F.col("pos").cast("int").alias("pos"), "prompt")
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang FROM documents")

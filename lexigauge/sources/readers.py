@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions import parse, text
 from ..operators import joins
+from . import scratch
 
 SCHEMAS = {
     "longtext": "prompt_id INT, prompt STRING, text ARRAY<STRING>",
@@ -33,7 +34,7 @@ def jsonl(spark: SparkSession, path: str, schema: str, on_bad: str = "error") ->
 
 
 def jsonl_until_bad(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The lines of each file before its first bad one, as a reader gives that stops there. A file is one task."""
+    """The lines of each file before its first bad one, as a reader gives that stops there."""
     fields = SCHEMAS.get(schema, schema)
     d = lines(spark, path).filter(F.trim("prompt") != "").select(F.col("file"), "pos", F.from_json("prompt", f"{fields}, __bad STRING", {"columnNameOfCorruptRecord": "__bad"}).alias("r"))
     first = d.filter("r.__bad IS NOT NULL").groupBy("file").agg(F.min("pos").alias("end"))
@@ -78,11 +79,22 @@ def strings_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str, low: int | None = None, high: int | None = None) -> DataFrame:
-    """Lines of prompt files with their number in the file, optionally a slice of them.
-
-    Numbers need the order of a whole file, so a file is one task; prompt files are small.
+    """Lines (file, pos, prompt) of text files with their number in the file, from 0, optionally a slice of them.
+
+    A file is read in blocks by as many tasks as its size asks for. A line's place
+    in its block follows from the order of reading, and a block begins behind all
+    lines of the blocks before, which a table with one row a block says. Lines are
+    written once before they are counted, so count and numbers come from the same
+    blocks, even if executors (and with them the sizes of blocks) change in between.
+    Lines end at \\n, \\r or both; an empty file has none.
     """
-    d = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("pos", "prompt"))
+    d = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"), F.col("value").alias("prompt"))
+    d = scratch.written(d, "lines")
+    blocks = d.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("first"))
+    begins = blocks.withColumn("ahead", F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")).drop("n")
+    if high is not None:
+        begins = begins.filter(F.col("ahead") < high)
+    d = d.join(begins, ["file", "block"]).select("file", (F.col("ahead") + F.col("i") - F.col("first")).alias("pos"), "prompt")
     if low is not None:
         d = d.filter(F.col("pos") >= low)
     return d if high is None else d.filter(F.col("pos") < high)

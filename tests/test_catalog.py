@@ -8,11 +8,11 @@ import duckdb
 import pytest
 
 from lexigauge.functions import assign
-from lexigauge.plans import catalog, evaluations, files  # noqa: F401  they register queries
+from lexigauge.plans import catalog, distributed, evaluations, files  # noqa: F401  they register queries
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
-WITH_PYTHON = {"response_parse", "nested_quotes", "typo_pairs", "gned", "seqmatch_best", "list_literals", "prompt_targets", "gned_three", "typo_of_word", "closest_of_list", "scored_samples", "classified_tokens"}
+WITH_PYTHON = {"response_parse", "nested_quotes", "typo_pairs", "gned", "seqmatch_best", "list_literals", "prompt_targets", "gned_three", "typo_of_word", "closest_of_list", "nearest_words", "scored_samples", "classified_tokens"}
 ONE_ROW_PRODUCTS = {"grpo_advantage_global_std", "ungrouped_advantage", "largest_remainder"}
 
 
