@@ -68,17 +68,51 @@ def bag_overlap(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_sort(F.concat(side(a, 0), side(b, 1))), state(none, zero, zero, zero), step, lambda s: s["n"] + F.least(s["x"], s["y"]))
 
 
+def match_counts(gt: Column, rec: Column) -> Column:
+    """struct(matched, expected) of a text: characters where the target holds an ideograph, words (cut at white space) elsewhere, as multisets."""
+    words = lambda c: F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
+    chars = lambda c: F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
+    both = lambda a, b: F.struct(bag_overlap(a, b).alias("matched"), F.size(a).alias("expected"))
+    return F.when(gt.rlike("[一-鿿]"), both(chars(gt), chars(rec))).otherwise(both(words(gt), words(rec)))
+
+
+def bag_runs(gt: Column, pred: Column) -> Column:
+    """Each different token of each list, once: {t, side (0 for gt), pos of its first occurrence, n, other: its number in the other list, 0 for none}.
+
+    Both lists are sorted together, so equal tokens are neighbours: a run's number
+    is the distance to the next run, and the other list's run is the one beside it.
+    """
+    side = lambda arr, n: F.transform(arr, lambda t, i: F.struct(t.alias("t"), F.lit(n).alias("side"), i.alias("pos")))
+
+    def starts(s: Column) -> Column:
+        new = lambda x, i: ~x["t"].eqNullSafe(F.get(s, i - 1)["t"]) | ~x["side"].eqNullSafe(F.get(s, i - 1)["side"])
+        at = F.transform(s, lambda x, i: F.struct(x.alias("x"), i.alias("at"), ((i == 0) | new(x, i)).alias("new")))
+        return let(F.filter(at, lambda r: r["new"]), lambda r: F.transform(r, lambda x, i: F.struct(x["x"].alias("x"), (F.coalesce(F.get(r, i + 1)["at"], F.size(s)) - x["at"]).alias("n"))))
+
+    def beside(r: Column) -> Column:
+        mate = lambda x, i: F.get(r, F.when(x["x"]["side"] == 0, i + 1).otherwise(i - 1))
+        same = lambda x, y: F.when(x["x"]["t"].eqNullSafe(y["x"]["t"]), y["n"])
+        return F.transform(r, lambda x, i: F.struct(x["x"]["t"].alias("t"), x["x"]["side"].alias("side"), x["x"]["pos"].alias("pos"), x["n"].alias("n"), F.coalesce(same(x, mate(x, i)), F.lit(0)).alias("other")))
+
+    return let(let(F.array_sort(F.concat(side(gt, 0), side(pred, 1))), starts), beside)
+
+
 def bag_classify(gt: Column, pred: Column) -> Column:
-    """struct of correct, duplicate, irrelevant and missing tokens by multiset frequency."""
-    count = lambda arr, t: F.size(F.filter(arr, lambda x: x == t))
-    many = lambda keys, n: F.flatten(F.transform(F.array_distinct(keys), lambda t: F.array_repeat(t, n(t))))
-    zero = F.lit(0)
-    return F.struct(
-        many(pred, lambda t: F.least(count(gt, t), count(pred, t))).alias("correct"),
-        many(pred, lambda t: F.when(count(gt, t) > 0, F.greatest(count(pred, t) - count(gt, t), zero)).otherwise(zero)).alias("duplicate"),
-        many(pred, lambda t: F.when(count(gt, t) > 0, zero).otherwise(count(pred, t))).alias("irrelevant"),
-        many(gt, lambda t: F.greatest(count(gt, t) - count(pred, t), zero)).alias("missing"),
-    )
+    """struct of correct, duplicate, irrelevant and missing tokens by multiset frequency, in the order of their first occurrences."""
+
+    def parts(runs: Column) -> Column:
+        def many(of: int, n) -> Column:
+            kept = F.array_sort(F.transform(F.filter(runs, lambda r: r["side"] == of), lambda r: F.struct(r["pos"].alias("pos"), r["t"].alias("t"), n(r).alias("n"))))
+            return F.flatten(F.transform(kept, lambda r: F.array_repeat(r["t"], r["n"])))
+
+        return F.struct(
+            many(1, lambda r: F.least(r["n"], r["other"])).alias("correct"),
+            many(1, lambda r: F.when(r["other"] > 0, F.greatest(r["n"] - r["other"], F.lit(0))).otherwise(0)).alias("duplicate"),
+            many(1, lambda r: F.when(r["other"] > 0, 0).otherwise(r["n"])).alias("irrelevant"),
+            many(0, lambda r: F.greatest(r["n"] - r["other"], F.lit(0))).alias("missing"),
+        )
+
+    return let(bag_runs(gt, pred), parts)
 
 
 def recall_greedy(gt: Column, pred: Column, most: float = 0.3) -> Column:
@@ -117,19 +151,16 @@ def nearest_ned(t: Column, pred: Column) -> Column:
 
 def token_hits(gt: Column, pred: Column) -> Column:
     """struct(hits, tokens, edit) over expected tokens, as ``token_hit`` of each; a distance is computed once for each different token that isn't predicted."""
-    edit = lambda t, x: F.when(t.rlike("[一-鿿]"), 1.0).otherwise(nearest_ned(t, x["pred"]))
+    edit = lambda t, p: F.when(t.rlike("[一-鿿]"), 1.0).otherwise(nearest_ned(t, p))
 
     def summed(x: Column) -> Column:
-        missed = F.filter(x["gt"], lambda t: F.array_contains(x["lost"], t))
-        each = F.transform(x["lost"], lambda t: edit(t, x) * F.size(F.filter(missed, lambda m: m == t)))
-        return F.struct((F.size(x["gt"]) - F.size(missed)).alias("hits"), F.size(x["gt"]).alias("tokens"), F.aggregate(each, F.lit(0.0), lambda s, e: s + e).alias("edit"))
-
-    def whole(x: Column) -> Column:
-        all_hit = F.struct(F.size(x["gt"]).alias("hits"), F.size(x["gt"]).alias("tokens"), F.lit(0.0).alias("edit"))
-        return F.when(F.size(x["lost"]) == 0, all_hit).otherwise(summed(x))
+        lost = F.filter(x["runs"], lambda r: (r["side"] == 0) & (r["other"] == 0))
+        known = F.transform(F.filter(x["runs"], lambda r: r["side"] == 1), lambda r: r["t"])
+        gone = F.aggregate(lost, F.lit(0), lambda s, r: s + r["n"])
+        far = let(known, lambda p: F.aggregate(lost, F.lit(0.0), lambda s, r: s + edit(r["t"], p) * r["n"]))
+        return F.struct((x["n"] - gone).alias("hits"), x["n"].alias("tokens"), far.alias("edit"))
 
-    both = let(F.struct(gt.alias("gt"), F.array_distinct(pred).alias("pred")), lambda b: F.struct(b["gt"].alias("gt"), b["pred"].alias("pred"), F.array_except(b["gt"], b["pred"]).alias("lost")))
-    return let(both, whole)
+    return let(F.struct(bag_runs(gt, pred).alias("runs"), F.size(gt).alias("n")), summed)
 
 
 def anomaly_confusion(pred_marks: Column, gt_marks: Column, ratio: float = 0.7) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ast
-import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -122,55 +121,80 @@ def _graded(ref, reference_free, rec_raw, cor_raw, is_json, bad, marks, rec, cor
 
 #: Kinds of quotes, the ones that bind first in front, and words that belong to a quote they stand before.
 QUOTE_KINDS = ("''", '""', "'", '"')
-LEAD_IN = re.compile(r"(?<!\w)the\s+text\s*:\s*$")
+LEAD_IN = ("the", "text", ":")
 
 
 def _is_word(s: str, i: int) -> bool:
     return 0 <= i < len(s) and (s[i].isalnum() or s[i] == "_")
 
 
-def _slashes(s: str, i: int) -> int:
-    """How many backslashes stand right before place i."""
-    return i - len(s[:i].rstrip("\\"))
+def _behind(s: str, lo: int, end: int, of=str.isspace) -> int:
+    """Where the run of such characters that ends at ``end`` begins."""
+    while end > lo and of(s[end - 1]):
+        end -= 1
+    return end
+
+
+def _lead_in(s: str, lo: int, end: int) -> int | None:
+    """Where a lead-in begins that ends, up to white space, at ``end``."""
+    at = end
+    for word in reversed(LEAD_IN):
+        gap = _behind(s, lo, at)
+        if word == "the" and gap == at or not s.startswith(word, gap - len(word)) or gap - len(word) < lo:
+            return None
+        at = gap - len(word)
+    return None if _is_word(s, at - 1) else at
 
 
 def _without(s: str, kind: str) -> tuple[list[str], str]:
     """(texts in quotes of one kind, the rest): one walk over the places of its mark.
 
     A mark behind an odd number of backslashes is a character. One that follows a
-    word doesn't open and one that a word follows doesn't close: apostrophes.
+    word doesn't open and one that a word follows doesn't close: apostrophes. The
+    first mark that may close is looked up among those that may.
     """
     k = len(kind)
-    marks = [i for i in range(len(s) - k + 1) if s.startswith(kind, i) and _slashes(s, i) % 2 == 0]
-    texts, rest, done = [], [], 0
-    for n, i in enumerate(marks):
-        start = i - _slashes(s, i)
+    marks = []
+    i = s.find(kind)
+    while i >= 0:
+        start = _behind(s, 0, i, "\\".__eq__)
+        if (i - start) % 2 == 0:
+            marks.append((start, i))
+        i = s.find(kind, i + 1)
+    closing = [(j, start) for start, j in marks if not _is_word(s, j + k)]
+    texts, rest, done, c = [], [], 0, 0
+    for start, i in marks:
+        while c < len(closing) and closing[c][0] < i + k:
+            c += 1
+        if c == len(closing):
+            break
         if i < done or start < done:
             continue
-        lead = LEAD_IN.search(s, done, start)
-        if _is_word(s, start - 1) and not lead:
+        lead = _lead_in(s, done, start)
+        if lead is None and _is_word(s, start - 1):
             continue
-        j = next((j for j in marks[n + 1 :] if j >= i + k and not _is_word(s, j + k)), None)
-        if j is None:
-            continue
-        texts.append(s[i + k : j - _slashes(s, j)] if j - _slashes(s, j) >= i + k else s[i + k : j])
-        rest.append(s[done : lead.start() if lead else start])
+        j, back = closing[c]
+        texts.append(s[i + k : back if back >= i + k else j])
+        rest.append(s[done : start if lead is None else lead])
         done = j + k
     return texts, "".join(rest) + s[done:]
 
 
-def _quotes_in(s: str) -> list[str]:
-    out: list[str] = []
-    for kind in QUOTE_KINDS:
-        texts, s = _without(s, kind)
-        for t in map(str.strip, texts):
-            out += (_quotes_in(t) or [t]) if t else []
-    return out
-
-
 def nested_quotes(prompt: str) -> list[str]:
     """Quoted texts, the innermost of nested ones; apostrophes inside words don't quote. First occurrences, in order."""
-    return list(dict.fromkeys(_quotes_in(prompt)))
+    found: dict[str, None] = {}
+    todo = [(prompt, False)]
+    while todo:
+        s, quoted = todo.pop()
+        inside, rest = [], s
+        for kind in QUOTE_KINDS:
+            texts, rest = _without(rest, kind)
+            inside += filter(None, map(str.strip, texts))
+        if inside:
+            todo += [(t, True) for t in reversed(inside)]
+        elif quoted:
+            found.setdefault(s)
+    return list(found)
 
 
 def _prompt_quotes(prompt: pd.Series) -> pd.Series:

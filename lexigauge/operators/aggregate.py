@@ -200,3 +200,18 @@ def every_nth_positive_mean(df: DataFrame, keys: list[str], frame: str, value: s
     """Video reward: the mean of the positive rewards of every n-th frame, 0 where there is none."""
     counts = (F.col(frame) % n == 0) & (F.col(value) > 0)
     return df.groupBy(*keys).agg(F.coalesce(F.avg(F.when(counts, F.col(value))), F.lit(0.0)).alias(value))
+
+
+def first_occurrences(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """The different values of a key in the order of their first rows, one row each: (keys, value, place)."""
+    from .scan import with_places
+
+    first = df.groupBy(*keys, value).agg(F.min(order).alias("__first"))
+    return with_places(first, keys, ["__first", value], "place").select(*keys, F.col(value), "place")
+
+
+def match_ratio(df: DataFrame, keys: list[str], gt: str, recognised: str) -> DataFrame:
+    """Matched and expected tokens and their ratio, characters where the target holds ideographs, else words; 0 without targets."""
+    m = match.match_counts(F.col(gt), F.col(recognised))
+    d = df.select(*keys, m.alias("m")).groupBy(*keys).agg(F.sum("m.matched").alias("matched"), F.sum("m.expected").alias("expected"))
+    return d.withColumn("ratio", F.coalesce(F.try_divide("matched", "expected"), F.lit(0.0)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,3 +80,22 @@ def with_default(df: DataFrame, other: DataFrame, key: str, value: str, default:
 def token_pairs(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """Every token of one list beside every token of the other, row by row; for inspection of short lists."""
     return df.select(key, F.explode(a).alias("x"), b).select(key, "x", F.explode(b).alias("y"))
+
+
+def distinct_values(frames: list[DataFrame], *columns: str) -> DataFrame:
+    """The different values of columns that several tables have, sorted in ranges; each table drops its repeats before they meet."""
+    parts = [f.select(*columns).distinct() for f in frames]
+    return reduce(DataFrame.unionByName, parts).distinct().orderBy(*columns)
+
+
+def concat_chunks(frames: list[DataFrame]) -> DataFrame:
+    """Rows of all chunks, with the chunk's number; columns that a chunk lacks are null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f.withColumn("chunk", F.lit(i)) for i, f in enumerate(frames)])
+
+
+def transposed(df: DataFrame, key: str, columns: list[str], name: str = "name", pos: str = "pos", value: str = "value") -> DataFrame:
+    """Lists side by side as rows (key, pos, name, value): what stands at one place of all lists, up to the shortest one."""
+    n = F.least(*[F.size(c) for c in columns]) if len(columns) > 1 else F.size(columns[0])
+    zipped = F.arrays_zip(*[F.slice(c, F.lit(1), n).alias(c) for c in columns])
+    d = df.select(key, F.posexplode(zipped).alias(pos, "__r"))
+    return d.select(key, pos, *[F.col(f"__r.`{c}`").alias(c) for c in columns]).unpivot([key, pos], columns, name, value)

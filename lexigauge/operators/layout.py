@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import joins
+from . import joins, sample
 
 # Regions (m_offset, n_offset, m_scale, n_scale) for 1 to 5 texts.
 FIXED = {
@@ -24,7 +24,7 @@ def fixed_layouts(spark: SparkSession) -> DataFrame:
 
 def random_region(seed: Column, salt: int = 0) -> Column:
     """A region inside the unit square, at least a tenth wide and high, by hash."""
-    u = lambda i: F.pmod(F.xxhash64(seed, F.lit(salt), F.lit(i)), F.lit(1 << 30)) / float(1 << 30)
+    u = lambda i: sample.draw(seed, 4 * salt + i) / float(1 << 32)
     m, n = u(0) * 0.9, u(1) * 0.9
     return F.struct(m.alias("m_offset"), n.alias("n_offset"), (0.1 + u(2) * (0.9 - m)).alias("m_scale"), (0.1 + u(3) * (0.9 - n)).alias("n_scale"))
 

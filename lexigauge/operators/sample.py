@@ -80,23 +80,50 @@ def composition_parts(s: Column, seed: Column) -> Column:
     return F.transform(cuts, lambda c, i: c - F.coalesce(F.get(cuts, i - 1), F.lit(0)))
 
 
-def choose(values: list[str], seed: Column) -> Column:
+def draw(seed: Column, salt: int) -> Column:
+    """A number of 32 bits that any engine can reproduce: the first digits of the MD5 of ``seed:salt``."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", seed.cast("string"), F.lit(str(salt)))), 1, 8), 16, 10).cast("long")
+
+
+def choose(values: list[str], seed: Column, salt: int = 0) -> Column:
     """One of the values by hash."""
-    return F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.xxhash64(seed), F.lit(len(values))) + 1).cast("int"))
+    return F.element_at(F.array(*map(F.lit, values)), (draw(seed, salt) % len(values) + 1).cast("int"))
 
 
 def composed_prompts(seed: Column, subjects: list[str], activities: list[str]) -> Column:
     """A subject with its article and an activity, by hash."""
     noun = choose(subjects, seed)
-    return F.concat_ws(" ", F.when(F.lower(noun).rlike("^[aeiou]"), "an").otherwise("a"), noun, choose(activities, seed + 1))
+    return F.concat_ws(" ", F.when(F.lower(noun).rlike("^[aeiou]"), "an").otherwise("a"), noun, choose(activities, seed, 1))
+
+
+def counted_prompts(seed: Column, subjects: list[str], low: int = 2, high: int = 9) -> Column:
+    """A number of subjects, by hash."""
+    n = draw(seed, 3) % (high - low + 1) + low
+    return F.concat_ws(" ", n.cast("string"), F.concat(choose(subjects, seed), F.lit("s")))
 
 
 def sign_prompts(seed: Column, subjects: list[str], most: int = 9) -> Column:
     """A subject that holds a sign with 1 to ``most`` sixes."""
-    n = (F.pmod(F.xxhash64(seed + 2), F.lit(most)) + 1).cast("int")
+    n = (draw(seed, 2) % most + 1).cast("int")
     return F.concat(F.lit("A "), choose(subjects, seed), F.lit(' holding a sign that says "'), F.repeat(F.lit("6"), n), F.lit('"'))
 
 
+#: Prompt functions by name: (seed, subjects, activities) to a prompt.
+PROMPTS = {
+    "activity": composed_prompts,
+    "count": lambda seed, subjects, activities: counted_prompts(seed, subjects),
+    "sign": lambda seed, subjects, activities: sign_prompts(seed, subjects),
+    "subject": lambda seed, subjects, activities: choose(subjects, seed),
+}
+
+
+def prompts(df: DataFrame, kind: str, seed: str, subjects: list[str], activities: list[str] = (), out: str = "prompt") -> DataFrame:
+    """Adds a random prompt of a registered kind, the same for the same seed."""
+    if kind not in PROMPTS:
+        raise ValueError(f"no prompts {kind}; there are {', '.join(PROMPTS)}")
+    return df.withColumn(out, PROMPTS[kind](F.col(seed), list(subjects), list(activities) or [""]))
+
+
 def dealt(df: DataFrame, parts: int, out: str, *order: str) -> DataFrame:
     """Contiguous parts of nearly equal sizes, the first ones larger by one."""
     n = df.count()

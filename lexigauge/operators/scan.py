@@ -15,10 +15,10 @@ CHUNK = 128
 def with_places(df: DataFrame, keys: list[str], order: list[str], name: str = "at") -> DataFrame:
     """Adds a row's place in the order of its key, from 0. Rows are numbered in sorted ranges, so a key may have any share of them."""
     d = with_row_numbers(df, *keys, *order, name="__row")
-    first = d.groupBy(*keys).agg(F.min("__row").alias("__first"))
+    first = d.groupBy(*keys).agg(F.min("__row").alias("__begin"))
     same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-    first = first.select("__first", *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
-    return d.join(first, same).withColumn(name, F.col("__row") - F.col("__first")).drop("__row", "__first", *[f"__k{i}" for i in range(len(keys))])
+    first = first.select("__begin", *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
+    return d.join(first, same).withColumn(name, F.col("__row") - F.col("__begin")).drop("__row", "__begin", *[f"__k{i}" for i in range(len(keys))])
 
 
 def _then(m: Column, x: Column) -> Column:

@@ -62,10 +62,12 @@ def yes_no_answers(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.array_join(text.yes_no_lines(s, F.lit(2)), "|").alias("answers"))
 
 
-@query("SELECT p_partkey, concat('Recognise all text visible in the area ', p_brand, '.') AS head, contains('the whole image', 'whole') AS whole FROM part")
+@query("SELECT p_partkey, concat('Recognise all text visible in ', CASE WHEN p_size % 2 = 0 THEN concat('the area ', p_brand) ELSE 'the whole image' END, '.') AS head, length(p_brand) * 2 + 9 AS more FROM part")
 def prompt_templates(spark, sf):
+    """Instructions for a box or a whole image; how much longer a box makes one."""
     box, whole = text.recognition_prompt(F.col("p_brand")), text.recognition_prompt()
-    return table(spark, sf, "part").select("p_partkey", F.regexp_extract(box, r"^[^.]*\.", 0).alias("head"), whole.contains("the whole image").alias("whole"))
+    head = F.regexp_extract(F.when(F.col("p_size") % 2 == 0, box).otherwise(whole), r"^[^.]*\.", 0)
+    return table(spark, sf, "part").select("p_partkey", head.alias("head"), (F.length(box) - F.length(whole) + F.length(F.lit("the whole image")) + F.length(F.lit("the image"))).cast("long").alias("more"))
 
 
 @query("SELECT user_id, string_agg(event_type, ' ' ORDER BY event_id) AS merged FROM events WHERE value > 20 GROUP BY 1")
@@ -75,17 +77,18 @@ def merged_lines(spark, sf):
     return table(spark, sf, "events").groupBy("user_id").agg(lines.alias("l")).select("user_id", text.merge_lines(F.col("l"), " ").alias("merged")).filter("merged <> ''")
 
 
-@query("SELECT DISTINCT split_part(p_name, ' ', 1) AS word, 'zh' AS mode, 'box' AS level FROM part WHERE p_size > 10")
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'zh' ELSE 'en' END AS mode, CASE WHEN p_size % 2 = 0 THEN 'box' ELSE 'image' END AS level FROM part")
 def name_modes(spark, sf):
-    """Language and level from names."""
-    d = table(spark, sf, "part").filter("p_size > 10").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("word")).distinct()
-    return d.select("word", text.language_mode(F.concat("word", F.lit("_ZH.json"))).alias("mode"), text.level_of_id(F.concat(F.lit("box_"), "word")).alias("level"))
+    """Language and level from names of files made of part names."""
+    file = F.concat("p_name", F.when(F.col("p_size") % 3 == 0, "_ZH").otherwise("_EN"), F.lit(".json"))
+    id_ = F.concat(F.when(F.col("p_size") % 2 == 0, "box_").otherwise("image_"), "p_name")
+    return table(spark, sf, "part").select("p_partkey", text.language_mode(file).alias("mode"), text.level_of_id(id_).alias("level"))
 
 
-@query("SELECT p_partkey, concat_ws('|', p_name, p_type, 'x') AS kept FROM part")
+@query("SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY min(event_id)) - 1 AS place FROM events GROUP BY 1, 2")
 def first_occurrences(spark, sf):
-    words = F.array("p_name", "p_type", "p_name", F.lit("x"), "p_type")
-    return table(spark, sf, "part").select("p_partkey", F.array_join(F.array_distinct(words), "|").alias("kept"))
+    """The kinds of events of each user, in the order in which they first came."""
+    return aggregate.first_occurrences(table(spark, sf, "events"), ["user_id"], "event_type", "event_id")
 
 
 @query("SELECT p_partkey, concat(p_name, '|', p_type) AS items, concat(p_size, '|', p_brand) AS values_ FROM part")
@@ -144,30 +147,56 @@ def closest_of_list(spark, sf):
     return table(spark, sf, "part").select("p_partkey", sequence.closest(F.reverse("p_name"), words).alias("best"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS quality, CASE p_partkey % 3 WHEN 0 THEN 2 ELSE 0 END AS semantic FROM part")
+@query(
+    """WITH p AS (SELECT p_partkey, concat(p_name, repeat('#', p_partkey % 6)) AS rec, substring(p_name, 1, 1 + p_size % 12) AS cor, p_name AS ref FROM part),
+    n AS (SELECT p_partkey, length(replace(rec, ' ', '')) AS nr, length(replace(cor, ' ', '')) AS nc, length(replace(ref, ' ', '')) AS nf, p_partkey % 6 AS marks FROM p)
+    SELECT p_partkey, CASE WHEN marks <= 0.05 * nr THEN 2 WHEN marks <= 0.25 * nr THEN 1 ELSE 0 END AS quality, CASE WHEN nc >= 0.8 * greatest(nr, nf) THEN 2 WHEN nc >= 0.5 * greatest(nr, nf) THEN 1 ELSE 0 END AS semantic FROM n"""
+)
 def scored_levels(spark, sf):
-    """Graded responses: whole, with a mark in ten characters, unreadable."""
-    ref = F.lit("abcdefghij")
-    ok = F.lit('{"recognized_text": "abcdefghij", "correct_text": "abcdefghij"}')
-    marked = F.lit('{"recognized_text": "abcdefghi#", "correct_text": "abc"}')
-    worse = F.lit('{"recognized_text": "abc###", "correct_text": ""}')
-    s = F.element_at(F.array(ok, marked, worse), (F.col("p_partkey") % 3 + 1).cast("int"))
-    return table(spark, sf, "part").select("p_partkey", parse.score_levels(s, ref).alias("l")).select("p_partkey", "l.quality", "l.semantic")
+    """Graded responses: names with up to five marks, of which a part is right."""
+    rec = F.concat("p_name", F.repeat(F.lit("#"), (F.col("p_partkey") % 6).cast("int")))
+    cor = F.substr("p_name", F.lit(1), 1 + F.col("p_size") % 12)
+    response = F.to_json(F.struct(rec.alias("recognized_text"), cor.alias("correct_text")))
+    return table(spark, sf, "part").select("p_partkey", parse.score_levels(response, F.col("p_name")).alias("l")).select("p_partkey", "l.quality", "l.semantic")
 
 
-@query("SELECT p_partkey, 1.0 AS qua, 1.0 AS gned, 'none' AS error FROM part WHERE p_size > 20 UNION ALL SELECT p_partkey, -1.0, -1.0, 'no response' FROM part WHERE p_size <= 20")
+@query(
+    f"""WITH p AS (SELECT p_partkey, p_size, lower(split_part(p_name, ' ', 1)) AS a, lower(split_part(p_name, ' ', 2)) AS b FROM part), q AS (SELECT *, substring(a, 1, length(a) - 1) AS c FROM p),
+    d AS (SELECT *, least({NED.format('c', 'a')}, 2) + 0 AS ca, {NED.format('c', 'b')} AS cb, {NED.format('b', 'a')} AS ba FROM q)
+    SELECT p_partkey, CASE WHEN p_size <= 20 THEN -1.0 WHEN p_partkey % 4 = 3 THEN 0.0 ELSE 1.0 END AS qua,
+           round(CASE WHEN p_size <= 20 THEN -1.0 WHEN p_partkey % 4 = 0 THEN 1.0 WHEN p_partkey % 4 = 1 THEN 0.5 WHEN p_partkey % 4 = 2 THEN 1 - least(ca, cb + ba) / 2 ELSE 0.0 END, 6) AS gned,
+           CASE WHEN p_size <= 20 THEN 'no response' ELSE 'none' END AS error FROM d"""
+)
 def scored_samples(spark, sf):
-    """Samples joined with their responses; those without one keep their row."""
-    samples = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("target"))
-    responses = table(spark, sf, "part").filter("p_size > 20").select(F.col("p_partkey").alias("id"), F.concat(F.lit('{"recognized_text": "'), "p_name", F.lit('"}')).alias("response"))
-    out = evaluate.score_samples(samples, responses)
+    """Samples joined with responses that are whole, lack a word, lack a letter or can't be read; those without one keep their row."""
+    p = table(spark, sf, "part")
+    a, b = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
+    said = F.element_at(F.array(F.col("p_name"), a, F.concat(F.substr(a, F.lit(1), F.length(a) - 1), F.lit(" "), b)), (F.col("p_partkey") % 4 + 1).cast("int"))
+    response = F.when(F.col("p_partkey") % 4 == 3, F.col("p_type")).otherwise(F.to_json(F.struct(said.alias("recognized_text"))))
+    samples = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("target"))
+    out = evaluate.score_samples(samples, p.filter("p_size > 20").select(F.col("p_partkey").alias("id"), response.alias("response")))
     return out.select(F.col("id").alias("p_partkey"), r6(F.coalesce("qua", F.lit(-1.0))).alias("qua"), r6(F.coalesce("gned", F.lit(-1.0))).alias("gned"), F.coalesce("error", F.lit("none")).alias("error"))
 
 
-@query("SELECT p_partkey, p_name AS correct, p_type AS missing FROM (SELECT p_partkey, lower(p_name) AS p_name, lower(p_type) AS p_type FROM part)")
+@query(
+    f"""WITH p AS (SELECT p_partkey, lower(split_part(p_name, ' ', 1)) AS a, lower(split_part(p_name, ' ', 2)) AS b, lower(p_type) AS t FROM part),
+    l AS (SELECT p_partkey, [a, b, t] AS g, CASE p_partkey % 3 WHEN 0 THEN [a, b] WHEN 1 THEN [a, b, a] ELSE [a, substring(b, 2)] END AS q FROM p),
+    w AS (SELECT p_partkey, g, q, unnest(list_distinct(list_concat(g, q))) AS w FROM l),
+    c AS (SELECT p_partkey, w, len(list_filter(g, lambda x: x = w)) AS ng, len(list_filter(q, lambda x: x = w)) AS nq FROM w),
+    i AS (SELECT p_partkey, max(w) AS x FROM c WHERE ng = 0 GROUP BY 1),
+    m AS (SELECT i.p_partkey, x, arg_min(w, {NED.format('x', 'w')}) AS y, min({NED.format('x', 'w')}) AS d FROM i JOIN c ON c.p_partkey = i.p_partkey AND ng > nq GROUP BY 1, 2),
+    k AS (SELECT c.*, coalesce(m.d < 0.5 AND m.y = w, false) AS found, coalesce(m.d < 0.5 AND m.x = w, false) AS typo FROM c LEFT JOIN m USING (p_partkey))
+    SELECT p_partkey, coalesce(string_agg(w, ' ' ORDER BY w) FILTER (least(ng, nq) > 0), '') AS correct, coalesce(string_agg(w, ' ' ORDER BY w) FILTER (ng > 0 AND nq > ng), '') AS duplicate,
+           coalesce(string_agg(w, ' ' ORDER BY w) FILTER (ng = 0 AND NOT typo), '') AS irrelevant, coalesce(string_agg(w, ' ' ORDER BY w) FILTER (typo), '') AS typo,
+           coalesce(string_agg(w, ' ' ORDER BY w) FILTER (ng - nq - found::INT > 0), '') AS missing FROM k GROUP BY 1"""
+)
 def classified_tokens(spark, sf):
-    d = table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("target"), F.col("p_name").alias("recognised"))
-    return evaluate.classified(d).select("p_partkey", F.col("correct_text").alias("correct"), F.col("missing_text").alias("missing"))
+    """Recognised texts that lack the last word, repeat the first one, or misspell the second one; the different tokens of each class."""
+    a, b = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
+    said = F.element_at(F.array(F.col("p_name"), F.concat_ws(" ", "p_name", a), F.concat_ws(" ", a, F.expr("substring(split_part(p_name, ' ', 2), 2)"))), (F.col("p_partkey") % 3 + 1).cast("int"))
+    d = evaluate.classified(table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("target"), said.alias("recognised")))
+    different = lambda k: F.array_join(F.array_sort(F.array_distinct(F.split(f"{k}_text", " "))), " ").alias(k)
+    return d.select("p_partkey", *map(different, ("correct", "duplicate", "irrelevant", "typo", "missing")))
 
 
 BOARD = "SELECT CASE p_partkey % 2 WHEN 0 THEN 'anno_box' ELSE 'render_image' END AS category, 'en' AS lang, CASE p_partkey % 2 WHEN 0 THEN 'box' ELSE 'image' END AS level, p_name, p_size FROM part WHERE p_partkey % 3 > 0"
@@ -206,13 +235,13 @@ def exactly_one_order(spark, sf):
     return joins.exactly_one(table(spark, sf, "customer").select("c_custkey"), o, "c_custkey", "status").select("c_custkey", F.coalesce("status", F.lit("none")).alias("status"))
 
 
-@query("SELECT concat('b_', p_partkey) AS key, p_brand AS category, p_name FROM part WHERE p_size > 30")
+@query("SELECT concat(CASE WHEN p_size > 30 THEN 'b_' ELSE 't_' END, p_partkey) AS key, CASE WHEN p_size > 30 THEN p_brand ELSE p_type END AS about, p_name FROM part")
 def prefixed_keys(spark, sf):
-    """Scores under prefix and id joined with what is known of category and id."""
-    p = table(spark, sf, "part")
-    scores = p.filter("p_size > 30").select(F.concat(F.lit("b_"), F.col("p_partkey").cast("string")).alias("key"))
-    meta = p.select(F.lit("brands").alias("category"), F.col("p_partkey").cast("string").alias("id"), "p_name", "p_brand")
-    return joins.prefixed_lookup(scores, meta, "key", {"b": "brands", "t": "types"}).select("key", F.col("p_brand").alias("category"), "p_name")
+    """Scores under prefix and id joined with what is known of category and id, two categories."""
+    p, id_ = table(spark, sf, "part"), F.col("p_partkey").cast("string")
+    scores = p.select(F.concat(F.when(F.col("p_size") > 30, "b_").otherwise("t_"), id_).alias("key"))
+    meta = joins.concat_chunks([p.select(F.lit(c).alias("category"), id_.alias("id"), "p_name", F.col(about).alias("about")) for c, about in (("brands", "p_brand"), ("types", "p_type"))])
+    return joins.prefixed_lookup(scores, meta, "key", {"b": "brands", "t": "types"}).select("key", "about", "p_name")
 
 
 @query("SELECT p_partkey % 50 AS pos, p_name FROM part WHERE p_partkey < 50")
@@ -308,24 +337,26 @@ def ranked_models(spark, sf):
     return sample.with_row_numbers(report.ranked(d, "mean", "lang"), F.col("mean").desc(), "lang", name="r").select("lang", "mean", (F.col("r") + 1).alias("place"))
 
 
-@query("SELECT string_agg(v, ',' ORDER BY v) AS types FROM (SELECT DISTINCT p_type AS v FROM part)")
+@query("SELECT p_type, p_brand, row_number() OVER (ORDER BY p_type, p_brand) - 1 AS place FROM (SELECT DISTINCT p_type, p_brand FROM part)")
 def sorted_types(spark, sf):
-    """The different values of a column, in order; there are few."""
-    return table(spark, sf, "part").agg(F.array_join(F.array_sort(F.collect_set("p_type")), ",").alias("types"))
+    """The different types and brands, in order."""
+    d = joins.distinct_values([table(spark, sf, "part")], "p_type", "p_brand")
+    return sample.with_row_numbers(d, "p_type", "p_brand", name="place")
 
 
-@query("SELECT lang, count(*) AS n FROM (SELECT DISTINCT lang, source FROM documents WHERE n_chars > 500 UNION SELECT DISTINCT lang, source FROM documents WHERE n_chars <= 500) WHERE lang IS NOT NULL GROUP BY 1")
+@query("SELECT lang, source, row_number() OVER (ORDER BY lang NULLS FIRST, source NULLS FIRST) - 1 AS place FROM (SELECT lang, source FROM documents WHERE n_chars > 500 UNION SELECT lang, source FROM documents WHERE n_chars <= 500 OR n_chars IS NULL)")
 def union_of_models(spark, sf):
-    d = table(spark, sf, "documents").filter("lang IS NOT NULL").select("lang", "source", "n_chars")
-    both = d.filter("n_chars > 500").select("lang", "source").unionByName(d.filter("n_chars <= 500").select("lang", "source"))
-    return both.distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    """Models that any of two result sets names; unknown ones count as one."""
+    d = table(spark, sf, "documents")
+    both = joins.distinct_values([d.filter("n_chars > 500"), d.filter("n_chars <= 500 OR n_chars IS NULL")], "lang", "source")
+    return sample.with_row_numbers(both, F.col("lang").asc_nulls_first(), F.col("source").asc_nulls_first(), name="place")
 
 
-@query("SELECT event_type, CAST(sum(n) AS BIGINT) AS n FROM (SELECT event_type, count(*) AS n FROM events WHERE value > 10 GROUP BY 1 UNION ALL SELECT event_type, count(*) FROM events WHERE value <= 10 GROUP BY 1) GROUP BY 1")
+@query("SELECT event_id, CASE WHEN value > 10 THEN 0 ELSE 1 END AS chunk, event_type, CASE WHEN value <= 10 THEN user_id ELSE -1 END AS user_id FROM events WHERE value IS NOT NULL")
 def chunk_union(spark, sf):
-    e = table(spark, sf, "events")
-    parts = [e.filter(c).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")) for c in ("value > 10", "value <= 10")]
-    return parts[0].unionByName(parts[1]).groupBy("event_type").agg(F.sum("n").alias("n"))
+    """Results of two chunks, one of which has a column more."""
+    e = table(spark, sf, "events").select("event_id", "event_type", "user_id", "value")
+    return joins.concat_chunks([e.filter("value > 10").drop("user_id"), e.filter("value <= 10")]).drop("value").fillna(-1, ["user_id"])
 
 
 # -- rewards and vectors
@@ -423,12 +454,12 @@ def padded_vectors(spark, sf):
     return d.select("vec_id", F.size("p").cast("long").alias("n"), r6(F.aggregate("p", F.lit(0.0), lambda s, x: s + x)).alias("total"))
 
 
-@query("SELECT p_partkey, concat(p_size, '|', p_brand) AS one, concat(p_name, '|', p_type) AS two FROM part")
+@query("WITH d AS (SELECT item_id, string_split(text, ' ') AS a, list_reverse(string_split(text, ' '))[2:] AS b FROM benchmark), p AS (SELECT item_id, unnest(range(len(b))) AS pos, a, b FROM d) SELECT item_id, pos, 'a' AS name, a[pos + 1] AS value FROM p UNION ALL SELECT item_id, pos, 'b', b[pos + 1] FROM p")
 def transposed_lists(spark, sf):
-    """Rows of a small table in each record as columns."""
-    rows = F.array(F.array(F.col("p_size").cast("string"), "p_name"), F.array("p_brand", "p_type"))
-    column = lambda i: F.array_join(F.transform(rows, lambda r: r[i]), "|")
-    return table(spark, sf, "part").select("p_partkey", column(0).alias("one"), column(1).alias("two"))
+    """Words from the front beside words from the back, one fewer."""
+    words = F.split("text", " ")
+    d = table(spark, sf, "benchmark").select("item_id", words.alias("a"), F.slice(F.reverse(words), F.lit(2), F.size(words)).alias("b"))
+    return joins.transposed(d, "item_id", ["a", "b"]).withColumn("pos", F.col("pos").cast("long"))
 
 
 # -- sampling and layouts
@@ -466,12 +497,17 @@ def composed_integers(spark, sf):
     return d.select("p_partkey", F.aggregate("p", F.lit(0), lambda s, x: s + x).alias("total"), (F.array_min("p") > 0).alias("positive"))
 
 
-@query("SELECT p_partkey, true AS prompt, true AS sign FROM part")
+@query(
+    """WITH d AS (SELECT p_partkey, CAST(concat('0x', substring(md5(concat(p_partkey, ':0')), 1, 8)) AS BIGINT) AS a, CAST(concat('0x', substring(md5(concat(p_partkey, ':1')), 1, 8)) AS BIGINT) AS b,
+        CAST(concat('0x', substring(md5(concat(p_partkey, ':2')), 1, 8)) AS BIGINT) AS c, CAST(concat('0x', substring(md5(concat(p_partkey, ':3')), 1, 8)) AS BIGINT) AS d FROM part), n AS (SELECT *, ['cat', 'owl', 'Emu'][a % 3 + 1] AS noun FROM d)
+    SELECT p_partkey, concat(CASE WHEN noun = 'cat' THEN 'a ' ELSE 'an ' END, noun, ' ', ['riding a bike', 'reading'][b % 2 + 1]) AS activity, concat('A ', noun, ' holding a sign that says "', repeat('6', c % 9 + 1), '"') AS sign, concat(d % 8 + 2, ' ', noun, 's') AS count FROM n"""
+)
 def random_prompts(spark, sf):
-    nouns, acts = ["cat", "owl"], ["riding a bike", "reading"]
-    seed = F.col("p_partkey")
-    a, b = sample.composed_prompts(seed, nouns, acts), sample.sign_prompts(seed, nouns)
-    return table(spark, sf, "part").select("p_partkey", a.rlike("^(a cat|an owl) (riding a bike|reading)$").alias("prompt"), b.rlike('^A (cat|owl) holding a sign that says "6{1,9}"$').alias("sign"))
+    """Three kinds of prompts by name, drawn by the part's key."""
+    d = table(spark, sf, "part").select("p_partkey")
+    for kind in ("activity", "sign", "count"):
+        d = sample.prompts(d, kind, "p_partkey", ["cat", "owl", "Emu"], ["riding a bike", "reading"], kind)
+    return d
 
 
 @query("SELECT i AS area, i AS regions, 0 AS overlapping FROM (SELECT unnest([1, 2, 3, 4, 5]) AS i)")
@@ -483,12 +519,13 @@ def layout_tables(spark, sf):
     return n.join(o, "area", "left").select("area", "regions", F.coalesce("overlapping", F.lit(0)).alias("overlapping"))
 
 
-@query("SELECT p_partkey, true AS inside FROM part")
+@query(
+    """WITH u AS (SELECT p_partkey, list_transform([0, 1, 2, 3], lambda i: CAST(concat('0x', substring(md5(concat(p_partkey, ':', i)), 1, 8)) AS BIGINT) / 4294967296.0) AS u FROM part), r AS (SELECT p_partkey, u[1] * 0.9 AS m, u[2] * 0.9 AS n, u FROM u)
+    SELECT p_partkey, round(m, 6) AS m_offset, round(n, 6) AS n_offset, round(0.1 + u[3] * (0.9 - m), 6) AS m_scale, round(0.1 + u[4] * (0.9 - n), 6) AS n_scale FROM r"""
+)
 def random_layouts(spark, sf):
-    r = layout.random_region(F.col("p_partkey"))
-    d = table(spark, sf, "part").select("p_partkey", r.alias("r"))
-    ok = (F.col("r.m_offset") + F.col("r.m_scale") <= 1) & (F.col("r.n_offset") + F.col("r.n_scale") <= 1) & (F.col("r.m_scale") >= 0.1) & (F.col("r.n_scale") >= 0.1)
-    return d.select("p_partkey", ok.alias("inside"))
+    d = table(spark, sf, "part").select("p_partkey", layout.random_region(F.col("p_partkey")).alias("r"))
+    return d.select("p_partkey", *[r6(F.col(f"r.{c}")).alias(c) for c in ("m_offset", "n_offset", "m_scale", "n_scale")])
 
 
 @query(f"SELECT item_id, round({NED.format(BYTES('t'), BYTES('reverse(t)'))}, 6) AS ned FROM (SELECT item_id, lower(regexp_replace(text, '[^a-zA-Z{text.FRENCH}]', '', 'g')) AS t FROM benchmark)")
@@ -496,3 +533,17 @@ def reversed_ned(spark, sf):
     """Items against themselves backwards: letters beyond ASCII count once."""
     t = F.lower(F.regexp_replace("text", f"[^a-zA-Z{text.FRENCH}]", ""))
     return table(spark, sf, "benchmark").select("item_id", r6(match.ned(t, F.reverse(t))).alias("ned"))
+
+
+@query(
+    """WITH d AS (SELECT item_id, text AS gt, CASE item_id % 3 WHEN 0 THEN reverse(text) WHEN 1 THEN concat('鱼', text) ELSE string_split(text, '.')[1] END AS rec, item_id % 2 AS zh FROM benchmark),
+    t AS (SELECT item_id, zh, CASE WHEN zh = 1 THEN string_split(concat(gt, '鱼龙'), '') ELSE list_filter(string_split_regex(gt, '\\s+'), lambda x: x <> '') END AS g, CASE WHEN zh = 1 THEN string_split(rec, '') ELSE list_filter(string_split_regex(rec, '\\s+'), lambda x: x <> '') END AS q FROM d),
+    w AS (SELECT item_id, zh, unnest(g) AS w, q FROM t), c AS (SELECT item_id, zh, w, count(*) AS ng, any_value(len(list_filter(q, lambda x: x = w))) AS nq FROM w GROUP BY 1, 2, 3)
+    SELECT zh, CAST(sum(least(ng, nq)) AS BIGINT) AS matched, CAST(sum(ng) AS BIGINT) AS expected, round(sum(least(ng, nq)) / sum(ng), 6) AS ratio FROM c GROUP BY 1"""
+)
+def match_ratios(spark, sf):
+    """Characters of targets with ideographs, words of the others."""
+    t, zh = F.col("text"), F.col("item_id") % 2
+    rec = F.element_at(F.array(F.reverse(t), F.concat(F.lit("鱼"), t), F.split(t, r"\.")[0]), (F.col("item_id") % 3 + 1).cast("int"))
+    d = table(spark, sf, "benchmark").select(zh.alias("zh"), F.when(zh == 1, F.concat(t, F.lit("鱼龙"))).otherwise(t).alias("gt"), rec.alias("rec"))
+    return aggregate.match_ratio(d, ["zh"], "gt", "rec").withColumn("ratio", r6(F.col("ratio")))
