@@ -192,3 +192,83 @@ def image_files(spark, sf):
     """Pages as files: those with an odd or zero last digit are named as images."""
     name = F.concat(F.lit("A/b_1."), F.when(F.col("url").rlike("[013579]([?#/]|$)"), "PnG").otherwise("txt"))
     return table(spark, sf, "pages").filter(text.is_image(name)).select("page_id")
+
+
+# -- loaders: prompts written from the parts in each benchmark's format, pictures from a listing with none to two of each part
+
+IMAGES = "FROM (SELECT *, unnest(range(p_size % 3)) AS r FROM part)"
+
+
+def _listing(spark, sf, name):
+    """Paths of pictures, and of as many files that are none."""
+    d = table(spark, sf, "part").select("p_partkey", F.explode(F.expr("filter(sequence(0, 2), i -> i < p_size % 3)")).alias("r"))
+    return d.select(F.explode(F.array(*[F.concat(F.lit("out/m_EN/"), name, F.lit(f".{ext}")) for ext in ("png", "txt")])).alias("path"))
+
+
+def _loaded(spark, sf, kind, prompts, name=None, suffix="", order=None, **options):
+    at = scratch.new_path(spark, kind) + suffix
+    if order:
+        prompts = prompts.repartition(1).sortWithinPartitions(order).drop(order)  # one file, whose lines are the ids
+    if suffix == ".csv":
+        sinks.csv(prompts, at)
+    else:
+        sinks.jsonl(prompts, at)
+    usual = F.concat(F.col("p_partkey").cast("string"), F.lit("_"), F.col("r").cast("string"))
+    return readers.load(spark, kind, _listing(spark, sf, usual if name is None else name), at, **options)
+
+
+@query(f"SELECT concat('out/m_EN/', p_partkey, '_', r, '.png') AS image, concat('paint ', p_name) AS prompt, concat(p_name, ' ', p_type) AS target, concat(p_name, ' ', p_type) AS ori_target, CAST(p_partkey AS VARCHAR) AS id {IMAGES}")
+def loaded_longtext(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_partkey").cast("int").alias("prompt_id"), F.concat(F.lit("paint "), "p_name").alias("prompt"), F.array("p_name", "p_type").alias("text"))
+    return _loaded(spark, sf, "longtext", p)
+
+
+@query(f"SELECT concat('out/m_EN/', p_partkey, '_', r, '.png') AS image, p_type AS prompt, p_name AS target, concat(p_name, ',,,') AS ori_target, CAST(p_partkey AS VARCHAR) AS id {IMAGES}")
+def loaded_gentext(spark, sf):
+    """Targets that end in commas, which aren't text."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").cast("int").alias("prompt_id"), F.col("p_type").alias("prompt"), F.concat("p_name", F.lit(",,,")).alias("target"))
+    return _loaded(spark, sf, "gentext", p)
+
+
+@query(f"SELECT concat('out/m_EN/', p_partkey, '_', r, '.png') AS image, p_type AS prompt, concat(p_name, ' ', p_brand) AS target, concat(p_name, ' ', p_brand) AS ori_target, CAST(p_partkey AS VARCHAR) AS id {IMAGES} WHERE p_partkey % 5 <> 2")
+def loaded_captions(spark, sf):
+    """Some pictures have no prompt and are left out."""
+    p = table(spark, sf, "part").filter("p_partkey % 5 <> 2").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_type").alias("enhanced_caption"), F.array("p_name", "p_brand").alias("text"))
+    return _loaded(spark, sf, "captions", p, suffix=".jsonl")
+
+
+@query(f"SELECT concat('out/m_EN/', p_partkey, '_', r, '.png') AS image, p_name AS prompt, p_brand AS target, p_brand AS ori_target, CAST(p_partkey AS VARCHAR) AS id {IMAGES} WHERE p_partkey % 5 <> 2")
+def loaded_annotations(spark, sf):
+    p = table(spark, sf, "part").filter("p_partkey % 5 <> 2").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("annotation"), F.col("p_brand").alias("raw_text"))
+    return _loaded(spark, sf, "annotations", p, suffix=".jsonl")
+
+
+@query(
+    f"""WITH i AS (SELECT p_partkey, r, right(concat('00', p_partkey % 1000), 3) AS id {IMAGES}), p AS (SELECT right(concat('00', p_partkey), 3) AS id, p_name, p_type, p_brand FROM part WHERE p_partkey < 1000)
+    SELECT concat('out/m_EN/', id, '-', p_partkey // 1000, '-', r, '.png') AS image, concat('zh ', p_type) AS prompt, concat(p_name, ' ', p_brand) AS target, concat(p_name, ' ', p_brand) AS ori_target, id FROM i JOIN p USING (id)"""
+)
+def loaded_table_text(spark, sf):
+    """Ids have three characters, so there are a thousand prompts; the texts are lists written as literals."""
+    p = table(spark, sf, "part").filter("p_partkey < 1000")
+    p = p.select(F.lpad(F.col("p_partkey").cast("string"), 3, "0").alias("id"), F.concat(F.lit("en "), "p_type").alias("prompt_en"), F.concat(F.lit("zh "), "p_type").alias("prompt_cn"), F.format_string("['%s', \"%s\"]", "p_name", "p_brand").alias("text_content"))
+    name = F.concat(F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0"), F.lit("-"), F.floor(F.col("p_partkey") / 1000).cast("string"), F.lit("-"), F.col("r").cast("string"))
+    return _loaded(spark, sf, "table_text", p, name, ".csv", mode="zh")
+
+
+@query("""SELECT concat('out/m_EN/', p_partkey, '.png') AS image, concat('a sign "', p_name, '" and "', p_type, '" on it') AS prompt, concat(p_name, ' ', p_type) AS target, concat(p_name, ' ', p_type) AS ori_target, CAST(p_partkey AS VARCHAR) AS id FROM part WHERE p_size % 3 > 0""")
+def loaded_regions(spark, sf):
+    """A document for each hundred prompts; the target is what stands in quotes."""
+    row = F.struct(F.col("p_partkey").cast("int").alias("index"), F.format_string('a sign "%s" and "%s" on it', "p_name", "p_type").alias("prompt"), F.array("p_name").alias("carrier_list"), F.array("p_type").alias("sentence_list"))
+    p = table(spark, sf, "part").groupBy(F.floor(F.col("p_partkey") / 100).alias("n")).agg(F.collect_list(row).alias("data_list")).select("data_list")
+    return _loaded(spark, sf, "regions", p, F.col("p_partkey").cast("string"), ".jsonl").distinct()  # a prompt has one picture
+
+
+@query(
+    f"""WITH p AS (SELECT p_name, row_number() OVER (ORDER BY p_partkey) - 1 AS line, CASE WHEN p_partkey % 2 = 0 THEN concat('text: "', p_name, '"') ELSE concat('on the wall one can read "', p_name, '"') END AS d FROM part)
+    SELECT concat('out/m_EN/', i.p_partkey, '_', r, '.png') AS image, d AS prompt, CASE WHEN length(d) >= 2 * length(p.p_name) THEN d ELSE p.p_name END AS target, p.p_name AS ori_target, CAST(line AS VARCHAR) AS id FROM (SELECT * {IMAGES}) i JOIN p ON p.line = i.p_partkey"""
+)
+def loaded_instructions(spark, sf):
+    """A prompt's id is its line; a target that is at most half as long as its description gives way to it."""
+    short = F.when(F.col("p_partkey") % 2 == 0, F.format_string('text: "%s"', "p_name")).otherwise(F.format_string('on the wall one can read "%s"', "p_name"))
+    p = table(spark, sf, "part").select("p_partkey", F.lit("t").alias("type"), F.col("p_type").alias("long_description"), short.alias("short_description"))
+    return _loaded(spark, sf, "instructions", p, order="p_partkey")

@@ -100,9 +100,10 @@ def lines(spark: SparkSession, path: str, low: int | None = None, high: int | No
     return d if high is None else d.filter(F.col("pos") < high)
 
 
-def files(spark: SparkSession, pattern: str) -> DataFrame:
-    """(path, name) of files, by path; contents aren't read."""
-    return spark.read.format("binaryFile").load(pattern).select("path", text.base_name(F.col("path")).alias("name"))
+def files(spark: SparkSession, images: str | DataFrame) -> DataFrame:
+    """(path, name) of files; contents aren't read. A pattern is listed; a table with a ``path`` column, as a listing that is kept, is taken as it is."""
+    d = spark.read.format("binaryFile").load(images) if isinstance(images, str) else images
+    return d.select("path", text.base_name(F.col("path")).alias("name"))
 
 
 def tree(spark: SparkSession, pattern: str, schema: str, levels: tuple[str, ...], multi_line: bool = False, on_bad: str = "skip") -> DataFrame:
@@ -122,41 +123,41 @@ def _with_id(files_: DataFrame, key: str, as_int: bool) -> DataFrame:
     return files_.filter(text.is_image(F.col("path"))).withColumn(key, text.id_from_name(F.col("name"), as_int))
 
 
-def load_longtext(spark, images: str, prompts: str, mode: str = "en") -> DataFrame:
+def load_longtext(spark, images: str | DataFrame, prompts: str, mode: str = "en") -> DataFrame:
     p = jsonl(spark, prompts, "longtext").withColumn("ori", F.array_join("text", " "))
     return _samples(_with_id(files(spark, images), "prompt_id", True), p, "prompt_id", "error", "prompt", (text.target_or_original(F.col("ori"), text.process_raw_text(F.col("ori"))), F.col("ori")))
 
 
-def load_gentext(spark, images: str, prompts: str, mode: str = "en") -> DataFrame:
+def load_gentext(spark, images: str | DataFrame, prompts: str, mode: str = "en") -> DataFrame:
     p = jsonl(spark, prompts, "gentext")
     t = text.target_or_original(F.col("target"), text.process_raw_text(F.col("target")))
     return _samples(_with_id(files(spark, images), "prompt_id", True), p, "prompt_id", "error", "prompt", (t, F.col("target")))
 
 
-def load_captions(spark, images: str, prompts: str, mode: str = "en") -> DataFrame:
+def load_captions(spark, images: str | DataFrame, prompts: str, mode: str = "en") -> DataFrame:
     p = json_or_jsonl(spark, prompts, "captions").withColumn("ori", F.array_join("text", " "))
     return _samples(_with_id(files(spark, images), "id", False), p, "id", "skip", "enhanced_caption", (F.col("ori"), F.col("ori")))
 
 
-def load_annotations(spark, images: str, prompts: str, mode: str = "en") -> DataFrame:
+def load_annotations(spark, images: str | DataFrame, prompts: str, mode: str = "en") -> DataFrame:
     p = json_or_jsonl(spark, prompts, "annotations")
     return _samples(_with_id(files(spark, images), "id", False), p, "id", "skip", "annotation", (F.col("raw_text"), F.col("raw_text")))
 
 
-def load_table_text(spark, images: str, prompts: str, mode: str = "en") -> DataFrame:
+def load_table_text(spark, images: str | DataFrame, prompts: str, mode: str = "en") -> DataFrame:
     p = strings_csv(spark, prompts).withColumn("ori", F.array_join(parse.python_list(F.col("text_content")), " "))
     f = files(spark, images).filter(text.is_image(F.col("path"))).withColumn("id", F.substring("name", 1, 3))
     return _samples(f, p, "id", "skip", "prompt_cn" if mode == "zh" else "prompt_en", (text.target_or_original(F.col("ori"), F.col("ori")), F.col("ori")))
 
 
-def load_regions(spark, images: str, prompts: str, mode: str = "en") -> DataFrame:
+def load_regions(spark, images: str | DataFrame, prompts: str, mode: str = "en") -> DataFrame:
     p = rows_in_document(spark, prompts, "regions", "data_list").withColumn("id", F.col("index").cast("string"))
     f = files(spark, images).filter(text.is_image(F.col("path"))).withColumn("id", text.stem(F.col("name")))
     t = parse.prompt_target(F.col("prompt"), mode)
     return _samples(f, p, "id", "skip", "prompt", (t, t))
 
 
-def load_instructions(spark, images: str, prompts: str, mode: str = "en", description: str = "short_description") -> DataFrame:
+def load_instructions(spark, images: str | DataFrame, prompts: str, mode: str = "en", description: str = "short_description") -> DataFrame:
     """The id of a prompt is its line number."""
     raw = lines(spark, prompts).select(F.col("pos").cast("string").alias("id"), F.from_json("prompt", SCHEMAS["instructions"]).alias("r")).select("id", "r.*")
     f = files(spark, images).filter(text.is_image(F.col("path"))).withColumn("id", text.id_from_name(F.col("name")))
@@ -167,6 +168,6 @@ def load_instructions(spark, images: str, prompts: str, mode: str = "en", descri
 LOADERS = {"longtext": load_longtext, "gentext": load_gentext, "captions": load_captions, "annotations": load_annotations, "table_text": load_table_text, "regions": load_regions, "instructions": load_instructions}
 
 
-def load(spark: SparkSession, kind: str, images: str, prompts: str, mode: str = "en") -> DataFrame:
+def load(spark: SparkSession, kind: str, images: str | DataFrame, prompts: str, mode: str = "en") -> DataFrame:
     """Samples (image, prompt, target, ori_target, id) of a benchmark kind."""
     return LOADERS[kind](spark, images, prompts, mode)
