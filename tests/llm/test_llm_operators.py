@@ -268,7 +268,7 @@ def test_differencing_in_any_number_of_partitions(spark):
         got = {r.page_id: r.text for r in pages.main_text(d.repartition(n)).collect()}
         assert got == want
     assert sum("Top of the site" not in t for t in want.values()) == 50
-    small = [sorted((r.page_id, r.text) for r in pages.main_text(d.repartition(n), group=5).collect()) for n in (1, 4, 40)]
+    small = [sorted((r.page_id, r.text) for r in pages.main_text(d.repartition(n), run=5).collect()) for n in (1, 4, 40)]
     assert small[0] == small[1] == small[2] and sum("Top of the site" not in t for _, t in small[0]) > 40
 
 
