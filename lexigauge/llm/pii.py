@@ -1,13 +1,16 @@
 """Personal data replaced by surrogates, in DataFrame functions only.
 
-Detected: e-mail addresses, IPv4 addresses, phone numbers, card numbers, social
-security numbers, IBANs, and people named after a title, with any number of
-names, initials and particles; in the same document each later or earlier
-capitalised mention of such a name, without a title, too. Every entity gets a
+Detected: e-mail addresses, IPv4 and IPv6 addresses, phone numbers, card numbers,
+social security numbers, IBANs, and people named after a title or a chain of
+titles ("Frau Prof. Dr."), with any number of names, initials and particles; in
+the same document each later or earlier capitalised mention of such a name,
+without a title, too. Titles are no names. Where all is in capitals, a name ends
+with the line or at punctuation. Every entity gets a
 surrogate that a key (HMAC-SHA-256) and the entity's own content determine, of
 the same type and format: digits for digits, letters of the same script and case
 for letters, separators and lengths as they were, octets of as many digits, card
-numbers with an equally valid check digit.
+numbers with an equally valid check digit, IBANs of the same country with right
+check digits where the real ones are right.
 
 A name is replaced word by word, and a word has one surrogate in the whole
 corpus, so "Dr Anna Smith", "Ms Smith" and a bare "Anna" stay one person. Its
@@ -24,7 +27,9 @@ Draws repeat until none is left, over ever fewer rows. A format that leaves too
 few is widened for those left after ``SAME_FORMAT`` draws, by one more character
 a draw (three digits in each octet), so the draws come to an end.
 
-Only documents with an entity are moved; the others pass through their scan.
+Only documents with an entity are moved; the others pass through their scan. A
+mention meets its surrogate in a join on document and mention, so a document may
+have any number of them.
 
 Null texts stay null and texts without an entity stay as they are. Null and
 repeated ids are told apart by their texts; repeated rows come out repeated.
@@ -42,30 +47,34 @@ from pyspark.sql import functions as F
 
 from .base import let, materialise, text_key
 
-FEMALE = "Mrs|Ms|Miss|Madam|Frau|Mme|Madame|Mlle|Sra|Señora|г-жа|госпожа"
-MALE = "Mr|Herr|Monsieur|Sr|Señor|г-н|господин"
-NEUTRAL = "Dr|Prof"
+FEMALE = "Mrs|Ms|Miss|Madam|Frau|Frl|Fräulein|Mme|Madame|Mlle|Mademoiselle|Sra|Señora|Srta|Señorita|Signora|Doctora|Profesora|Professorin|MRS|MISS|FRAU|MME|г-жа|госпожа"
+MALE = "Mr|Mister|Sir|Herr|Herrn|Monsieur|Sr|Señor|Signor|MR|HERR|г-н|господин"
+NEUTRAL = "Dr|Prof|Doctor|Doktor|Docteur|Professor|Professeur|Profesor|DR|PROF|PROFESSOR"
 TITLES = f"{FEMALE}|{MALE}|{NEUTRAL}"
 FIRST_LETTERS = "".join(sorted({t[0] for t in TITLES.split("|")}))
 #: Words inside a name that stay as they are.
 PARTICLES = "de|la|las|los|del|der|den|van|von|vom|zu|zur|da|das|di|do|dos|du|le|el|al|bin|ibn|ben|y|e|und|af|av|ter|ten"
-#: One name, or an initial. Groups repeat possessively: the engine then loops where it would recurse.
-WORD = r"\p{Lu}(?:['’]\p{Lu})?+(?:\p{L}++|\.)"
+#: One name, or an initial, but no title. Groups repeat possessively: the engine then loops where it would recurse.
+WORD = rf"(?!(?:{TITLES})(?!\p{{L}}))\p{{Lu}}(?:['’]\p{{Lu}})?+(?:\p{{L}}++|\.)"
+#: Titles one after the other, with any blanks on the line.
+TITLED = rf"(?:(?:{TITLES})\.?\h++)++"
+HEX4 = "[0-9A-Fa-f]{1,4}"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]*[A-Za-z0-9]\.[A-Za-z]{2,}",
     "ip": r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9])(?!\.[0-9])",
-    "phone": r"(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,4}(?![0-9])|(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
+    "ip6": rf"(?<![0-9A-Za-z:])(?:(?:{HEX4}:){{7}}{HEX4}|(?=[0-9A-Fa-f:]{{0,39}}[0-9])(?:{HEX4}(?::{HEX4}){{0,6}})?::(?:{HEX4}(?::{HEX4}){{0,6}})?)(?![0-9A-Za-z:])",
+    "phone": r"(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,4}(?![0-9])|(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])(?:1-)?[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])|(?<![0-9.])(?:1\.)?[0-9]{3}\.[0-9]{3}\.[0-9]{4}(?![0-9])(?!\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![0-9])(?:[0-9]{4}[ -]?){3}[0-9]{1,7}(?![0-9])",
-    "person": rf"(?<![\p{{L}}-])(?:{TITLES})\.? {WORD}(?:[ -](?:(?:{PARTICLES}) )*+{WORD})*+",
+    "person": rf"(?<![\p{{L}}-]){TITLED}{WORD}(?:(?:\h++|-)(?:(?:{PARTICLES})\h++)*+{WORD})*+",
 }
 ANY = "|".join(PATTERNS.values())
 #: In documents with a name: every capitalised word too, which may be one.
 ANY_WORD = rf"{ANY}|(?<!\p{{L}})(?<!\p{{L}}['’])\p{{Lu}}(?:['’]\p{{Lu}})?+\p{{L}}++"
 BARE = r"^\p{Lu}[\p{L}'’]*+$"
 #: A cheap test that every text with an entity passes; the look-ahead spares most places the titles.
-HINT = rf"[0-9@]|(?=[{FIRST_LETTERS}])(?:{TITLES})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|(?=[{FIRST_LETTERS}])(?:{TITLES})\.?\h++\p{{Lu}}"
 LATIN, CYRILLIC, GREEK = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω"
 ONSETS = {"latin": "b d f g h k l m n p r s t v z br dr gr kl tr st".split(), "cyrillic": "б в г д ж з к л м н п р с т ф".split()}
 VOWELS = {"latin": "a e i o u".split(), "cyrillic": "а е и о у".split()}
@@ -87,16 +96,17 @@ def parts_of(raw: Column, kind: Column) -> Column:
     """Array of (kind, role, piece); pieces without a kind stay as they are."""
     piece = lambda k, r, s: F.struct(k.cast("string").alias("kind"), r.cast("string").alias("role"), s.alias("piece"))
     none = F.lit(None)
-    title = F.substring_index(raw, " ", 1)
-    given = F.when(title.rlike(rf"^(?:{FEMALE})\b"), "given_f").when(title.rlike(rf"^(?:{MALE})\b"), "given_m").otherwise("given")
-    rest = F.split(F.substr(raw, F.length(title) + 2), "(?<=[ -])|(?=[ -])")
+    title = F.regexp_extract(raw, f"^{TITLED}", 0)
+    of = lambda titles: title.rlike(rf"(?:^|\h)(?:{titles})(?!\p{{L}})")
+    given = F.when(of(FEMALE), "given_f").when(of(MALE), "given_m").otherwise("given")
+    rest = F.split(F.substr(raw, F.length(title) + 1), r"(?<=[\h-])(?=[^\h-])|(?<=[^\h-])(?=[\h-])")
 
-    def name(x: Column) -> Column:  # words and separators by turns, the title first
+    def name(x: Column) -> Column:  # words and separators by turns, the titles first
         kind_ = lambda w, i: F.when((i < 2) | (i % 2 == 1) | w.rlike(rf"^(?:{PARTICLES})$"), none).when(w.endswith("."), "initial").otherwise("name")
         return F.transform(x["words"], lambda w, i: piece(kind_(w, i), F.when(i == x["n"] - 1, "family").otherwise(x["given"]), w))
 
     # bound once: what a lambda names is computed for each of its elements
-    words = let(F.concat(F.array(title, F.lit(" ")), rest), lambda w: F.struct(w.alias("words"), F.size(w).alias("n"), given.alias("given")))
+    words = let(F.concat(F.array(title, F.lit("")), rest), lambda w: F.struct(w.alias("words"), F.size(w).alias("n"), given.alias("given")))
     return F.when(kind == "person", let(words, name)).otherwise(F.array(piece(kind, none, raw)))
 
 
@@ -155,6 +165,27 @@ def _card(canon: Column, h: Column) -> Column:
     return let(new, lambda x: F.concat(x, ((_luhn(x) + last - _luhn(own) + 10) % 10).cast("string")))
 
 
+def _mod97(text: Column) -> Column:
+    """The number that digits and letters (a is 10) make, modulo 97."""
+    value = lambda ch: F.when(ch < ":", F.ascii(ch) - 48).otherwise(F.ascii(ch) - 87)
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda m, ch: (m * F.when(ch < ":", 10).otherwise(100) + value(ch)) % 97)
+
+
+def _iban(canon: Column, h: Column) -> Column:
+    """Country and, where the real one's check digits are right, right ones."""
+    new = let(_replaced(F.substr(canon, F.lit(3)), h), lambda x: F.concat(F.substr(canon, F.lit(1), F.lit(2)), x))
+    rest = lambda c: F.concat(F.substr(c, F.lit(5)), F.substr(c, F.lit(1), F.lit(4)))
+    land, body = F.substr(canon, F.lit(1), F.lit(2)), lambda x: F.substr(x, F.lit(5))
+    checked = lambda x: F.concat(land, F.lpad((98 - _mod97(F.concat(body(x), land, F.lit("00")))).cast("string"), 2, "0"), body(x))
+    return let(new, lambda x: F.when(_mod97(rest(F.col("canon"))) == 1, checked(x)).otherwise(x))
+
+
+def _groups(h: Column, extra: int) -> Column:
+    """Hexadecimal digits for digits; widened by digits in its last group, where there is room for them."""
+    each = F.transform(F.split(F.concat("canon", F.lit("0" * extra)), ""), lambda ch, i: F.when(ch == ":", ch).otherwise(_pick("0123456789abcdef", _number(h, i))))
+    return F.array_join(each, "")
+
+
 def _octets(h: Column, wide: bool) -> Column:
     three = lambda v: v % 155 + 100
     size = lambda o, v: three(v) if wide else F.when(F.length(o) == 1, v % 9 + 1).when(F.length(o) == 2, v % 90 + 10).otherwise(three(v))
@@ -180,12 +211,14 @@ def draw(key: str, attempt: int) -> Column:
     def by_kind(h: Column) -> Column:
         tail = F.regexp_extract("canon", r"(\.example\.[a-z]+|(?<=@)example\.[a-z]+|\.[a-z]+)$", 1)
         head = F.concat(F.lit("x" * extra), F.substr("canon", F.lit(1), F.length("canon") - F.length(tail)))
-        lead = F.regexp_extract("canon", r"^\+[0-9]|^[a-z]{2}", 0)
+        lead = F.regexp_extract("canon", r"^\+[0-9]", 0)
         return (
             F.when(kind == "email", F.concat(_replaced(head, h), tail))
             .when(kind == "ip", _octets(h, extra > 0))
+            .when(kind == "ip6", _groups(h, extra))
             .when(kind == "card", _card(canon, h))
-            .when(kind.isin("phone", "iban"), F.concat(lead, _replaced(F.substr(canon, F.length(lead) + 1), h)))
+            .when(kind == "iban", _iban(canon, h))
+            .when(kind == "phone", F.concat(lead, _replaced(F.substr(canon, F.length(lead) + 1), h)))
             .when(kind == "ssn", _replaced(canon, h))
             .otherwise(_name(h, extra))
         )
@@ -256,7 +289,7 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     has = F.coalesce(t.rlike(HINT) & t.rlike(ANY), F.lit(False))
     found_in = lambda p: F.struct(F.split(t, p, -1).alias("between"), F.regexp_extract_all(t, F.lit(p), F.lit(0)).alias("e"))
     some = d.filter(has).select("doc_id", "tkey", F.when(t.rlike(PATTERNS["person"]), found_in(ANY_WORD)).otherwise(found_in(ANY)).alias("x"))
-    some = materialise(some.select("doc_id", "tkey", "x.*"), "texts")
+    some = materialise(some.select(F.monotonically_increasing_id().alias("row"), "doc_id", "tkey", "x.*"), "texts")
     # a mention is known by its digest, since a long one has many pieces
     found = some.select("doc_id", "tkey", F.explode(F.array_distinct("e")).alias("raw")).filter(~F.col("raw").rlike(BARE))
     found = materialise(found.select("doc_id", "tkey", F.sha2("raw", 256).alias("rid"), "raw").distinct(), "mentions")
@@ -266,17 +299,17 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     table = surrogates(roles(raws, found), key)
     piece, sub = F.col("piece"), F.col("sub")
     letter = _like(F.col("canon").substr(1, 1), _number(F.array(_hmac(key, F.concat_ws("|", "kind", "canon"))), 0))
-    spelt = F.when(F.col("kind") == "initial", F.concat(F.upper(letter), F.lit("."))).when(sub.isNull(), piece).when(F.col("kind") == "name", cased_like(piece, sub)).when(F.col("kind") == "ip", sub).when(F.col("kind") == "email", cased_by_char(piece, sub)).otherwise(spelt_like(piece, sub))
+    spelt = F.when(F.col("kind") == "initial", F.concat(F.upper(letter), F.lit("."))).when(sub.isNull(), piece).when(F.col("kind") == "name", cased_like(piece, sub)).when(F.col("kind") == "ip", sub).when(F.col("kind").isin("email", "ip6"), cased_by_char(piece, sub)).otherwise(spelt_like(piece, sub))
     new = materialise(raws.join(table, ["kind", "canon"], "left").withColumn("s", spelt), "spelt")
     whole = new.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("a")).select("rid", F.array_join(F.col("a.s"), "").alias("new"))
     names = new.filter("kind = 'name'").select("rid", "canon", "sub").distinct()
-    # a document's map: its mentions, and its names in lower case for mentions without a title
+    # what a document's mentions become, and its names, in lower case, for mentions without a title
     pairs = found.join(whole, "rid").select("doc_id", "tkey", "raw", "new").unionByName(found.drop("raw").join(names, "rid").select("doc_id", "tkey", F.col("canon").alias("raw"), F.col("sub").alias("new")).distinct())
-    maps = pairs.groupBy("doc_id", "tkey").agg(F.map_from_entries(F.collect_list(F.struct("raw", "new"))).alias("m"))
-    maps = maps.select(F.col("doc_id").alias("i"), F.col("tkey").alias("k"), "m")
-    both = some.join(maps, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("tkey") == F.col("k")))
-    replaced = lambda e: F.coalesce(F.element_at("m", e), cased_like(e, F.element_at("m", F.lower(e))), e)
-    text = F.array_join(F.zip_with("between", "e", lambda b, e: F.concat(b, F.when(e.isNull(), "").otherwise(replaced(e)))), "")
-    titled = F.size(F.filter("e", lambda e: ~e.rlike(BARE))).cast("long")
-    both = both.select("doc_id", text.alias("text"), titled.alias("n_entities"))
+    e = F.col("p.e")
+    each = some.select("row", "doc_id", "tkey", F.posexplode(F.arrays_zip(F.col("between").alias("b"), F.col("e").alias("e"))).alias("at", "p"))
+    each = each.withColumn("bare", e.rlike(BARE)).select("row", "doc_id", "tkey", "at", "p", "bare", F.when(F.col("bare"), F.lower(e)).otherwise(e).alias("raw"))
+    same = [each["doc_id"].eqNullSafe(pairs["doc_id"]), each["tkey"] == pairs["tkey"], each["raw"] == pairs["raw"]]
+    new = F.when(F.col("bare"), cased_like(e, F.col("new"))).otherwise(F.col("new"))
+    each = each.join(pairs, same, "left").select("row", each["doc_id"], "at", F.concat("p.b", F.coalesce(new, e, F.lit(""))).alias("s"), (~F.col("bare")).cast("long").alias("is"))
+    both = each.groupBy("row").agg(F.any_value("doc_id").alias("doc_id"), F.array_join(F.array_sort(F.collect_list(F.struct("at", "s")))["s"], "").alias("text"), F.coalesce(F.sum("is"), F.lit(0)).alias("n_entities")).drop("row")
     return both.unionByName(d.filter(~has).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities")))
