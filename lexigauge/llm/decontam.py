@@ -7,7 +7,10 @@ canonical tokens, or of all tokens of an item that has fewer, are hashed and
 joined by hash with the windows of all documents. A window with a slot and
 fewer than ``literals`` ordinary words says little as a template (lists of names
 and figures are alike), so it is hashed with its values in place of
-placeholders: it matches word for word.
+placeholders: it matches word for word. A whole item of at most ``window`` tokens
+needs only ``FEW`` ordinary words beside two figures or more and no name: "What is
+12 plus 30?" is found with other figures, for all its words must stand in order;
+"He was in Paris" with another name is another sentence.
 
 For the few documents that hold such a window, matches are laid side by side:
 for one document, item and shift between them, the values in the item's slots
@@ -26,7 +29,8 @@ matches is ever gathered in a row.
 Null and empty texts have no window and stay. An item of one token matches only
 a text that is nothing else. Null items match nothing; repeated items count once
 each. Null ids and repeated ids are told apart by their texts. A run of letters,
-digits or capitalised words may be of any length.
+digits or capitalised words may be of any length; an ideograph or a kana is a
+token of its own, so texts without blanks have windows too.
 """
 
 from __future__ import annotations
@@ -37,11 +41,13 @@ from pyspark.sql import functions as F
 from .base import keep_rows, let, materialise, small_side, text_key
 
 UNITS = "km|cm|mm|kg|mg|g|ml|l|m|mi|ft|in|lb|lbs|oz|h|hours?|min|minutes?|s|seconds?|days?|weeks?|months?|years?|miles?|meters?|metres?|dollars?|euros?|cents?|percent|usd|eur"
+#: Ideographs and kana, which stand without blanks between words: each is a token.
+ALONE = "㐀-䶿一-鿿豈-﫿぀-ヿ"
 CAPITAL = r"\s\p{Lu}\p{Ll}++(?!\p{L})"
 #: A name is taken with the white space before it, which tells it from a sentence's first word.
 #: Groups repeat possessively: the engine then loops where it would recurse.
-TOKENS = rf"(?=\s)(?<=[\p{{Ll}},;]){CAPITAL}(?:{CAPITAL})*+|[$€£]?[0-9]++(?:[.,:/][0-9]++)*+(?:\s?(?:[%€$£]|(?:{UNITS})(?!\p{{L}})))?|[\p{{L}}\p{{M}}]++"
-WINDOW, LITERALS, SHARE, MOST = 8, 5, 0.5, 6
+TOKENS = rf"(?=\s)(?<=[\p{{Ll}},;]){CAPITAL}(?:{CAPITAL})*+|[$€£]?[0-9]++(?:[.,:/][0-9]++)*+(?:\s?(?:[%€$£]|(?:{UNITS})(?!\p{{L}})))?|[{ALONE}]|[\p{{L}}\p{{M}}&&[^{ALONE}]]++"
+WINDOW, LITERALS, FEW, SHARE, MOST = 8, 5, 3, 0.5, 6
 NAME, NUMBER, QUANTITY = 1, 2, 3
 
 
@@ -89,7 +95,8 @@ def benchmark_windows(bench: DataFrame, k: int, literals: int, id_col: str = "it
     b = b.withColumn("bpos", F.explode(F.sequence(F.lit(0), F.size("c") - F.col("size"))))
     part = lambda a: F.slice(a, F.col("bpos") + 1, F.col("size"))
     n = F.size(F.filter(part("c"), is_slot))
-    b = b.withColumn("dense", (n > 0) & (F.col("size") - n < literals))
+    figures = (F.size("c") == F.col("size")) & (n > 1) & ~F.exists("c", lambda c: c == NAME)
+    b = b.withColumn("dense", (n > 0) & (F.col("size") - n < F.when(figures, FEW).otherwise(literals)))
     hashed = F.when(F.col("dense"), F.xxhash64(part("v"))).otherwise(F.xxhash64(part("c")))
     slots = slots_of(part("t"), part("c"), F.col("bpos"))
     return b.select("item", "q", "size", "bpos", "dense", hashed.alias("h"), F.when(~F.col("dense"), slots).otherwise(F.slice(slots, 1, 0)).alias("slots"))

@@ -589,19 +589,30 @@ def test_decontamination(spark):
 
 
 def test_short_and_figured_items(spark):
-    """Items with few ordinary words are found word for word, with any number of tokens; others also with other values."""
+    """Items with few ordinary words are found word for word, with any number of tokens; others, and whole short questions with figures, also with other values."""
     sums = "12 + 34 + 55 + 66 + 77 = 244 right"
     many = "Then 3 men met 4 men and 5 men met 6 men on 7 roads in 8 days while 9 women sang old songs about rivers and hills"
-    rows = [(1, "Ask: What is 12 plus 30? Now."), (2, "What is 13 plus 30?"), (3, f"So {sums}, yes."), (4, sums.replace("66", "67")), (5, "x " + many), (6, "x " + many.replace("3", "33").replace("9", "99")), (7, "1 2 3 4 5 6 7 8 9 10 11 12")]
-    got = contaminated(spark, rows, [(1, "What is 12 plus 30?"), (2, sums), (3, many), (4, "11 22 33 44 55 66 77 88 99")])
-    assert {k[0]: v for k, v in got.items()} == {1: True, 2: False, 3: True, 4: False, 5: True, 6: True, 7: False}
+    rows = [(1, "Ask: What is 12 plus 30? Now."), (2, "What is 13 plus 30?"), (3, f"So {sums}, yes."), (4, sums.replace("66", "67")), (5, "x " + many), (6, "x " + many.replace("3", "33").replace("9", "99")), (7, "1 2 3 4 5 6 7 8 9 10 11 12"),
+            (8, "Now: what is 15 plus 40? Say."), (9, "What is 15 minus 40?"), (10, "What is 7 plus 7?"), (11, "Then he was in Berlin."), (12, "Then he was in Paris."), (13, "It cost 3 euros"), (14, "What 15 is 40 plus")]
+    got = contaminated(spark, rows, [(1, "What is 12 plus 30?"), (2, sums), (3, many), (4, "11 22 33 44 55 66 77 88 99"), (5, "Then he was in Paris"), (6, "It cost 9 euros")])
+    assert {k[0]: v for k, v in got.items()} == {1: True, 2: True, 3: True, 4: False, 5: True, 6: True, 7: False, 8: True, 9: False, 10: False, 11: False, 12: True, 13: False, 14: False}
+
+
+def test_items_without_blanks(spark):
+    """Quoted word for word inside longer texts, and with other figures; other texts of the language stay."""
+    zh = "小明有12个苹果，又买了30个梨子，他现在一共有多少个水果呢？"
+    ja = "東京から大阪まで新幹線で何時間かかりますか"
+    clean = "今天天气很好，我们一起去公园散步，然后回家吃饭，晚上看电影。"
+    rows = [(1, "前言。" + zh + "后记，" + clean), (2, clean * 3), (3, clean + zh.replace("12", "7").replace("30", "45")), (4, "これは" + ja + "という質問です。"), (5, "小明有12个苹果。"), (6, "I asked: " + zh), (7, "龍"), (8, "飛龍在天")]
+    got = contaminated(spark, rows, [(1, zh), (2, ja), (3, "龍")])
+    assert {k[0]: v for k, v in got.items()} == {1: True, 2: False, 3: True, 4: True, 5: False, 6: True, 7: True, 8: False}
 
 
 def brute_contaminated(text, item, window=8, literals=5, share=0.5, most=6):
     """The rule over every pair of windows, slots compared one by one."""
 
     def toks(t):
-        return [m[0] for m in regex.finditer(decontam.TOKENS, t)]
+        return [m[0] for m in regex.finditer(decontam.TOKENS, t, flags=regex.V1)]
 
     def code(t):
         return t.lower() if regex.match(r"[\p{L}\p{M}]", t) else 1 if t[0].isspace() else 3 if regex.search(r"[^0-9.,:/]", t) else 2
@@ -612,7 +623,9 @@ def brute_contaminated(text, item, window=8, literals=5, share=0.5, most=6):
     if not b or size == 1 and len(a) != 1:
         return False
     at, n = defaultdict(list), set()
-    dense = {j for j in range(len(b) - size + 1) if (k := sum(isinstance(x, int) for x in cb[j : j + size])) and size - k < literals}
+    slots = [x for x in cb if isinstance(x, int)]
+    least = 3 if size == len(b) and len(slots) > 1 and 1 not in slots else literals
+    dense = {j for j in range(len(b) - size + 1) if (k := sum(isinstance(x, int) for x in cb[j : j + size])) and size - k < least}
     for i in range(len(a) - size + 1):
         for j in range(len(b) - size + 1):
             if j in dense:
