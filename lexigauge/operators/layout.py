@@ -29,10 +29,10 @@ def random_region(seed: Column, salt: int = 0) -> Column:
     return F.struct(m.alias("m_offset"), n.alias("n_offset"), (0.1 + u(2) * (0.9 - m)).alias("m_scale"), (0.1 + u(3) * (0.9 - n)).alias("n_scale"))
 
 
-def region_ok(min_area: float, low: float = 1.5, high: float = 2.5) -> Column:
-    """Inside the square, large enough, within the aspect ratios."""
+def region_ok(min_area: float, low: float = 1.5, high: float = 2.5, slack: float = 0.0) -> Column:
+    """Inside the square, large enough, within the aspect ratios; up to ``slack``."""
     m, n, w, h = (F.col(c) for c in ("m_offset", "n_offset", "m_scale", "n_scale"))
-    return (m >= 0) & (n >= 0) & (m + w <= 1) & (n + h <= 1) & (w * h >= min_area) & (w >= low * h) & (w <= high * h)
+    return (m >= -slack) & (n >= -slack) & (m + w <= 1 + slack) & (n + h <= 1 + slack) & (w * h >= min_area - slack) & (w >= low * h - slack) & (w <= high * h + slack)
 
 
 def overlaps(regions: DataFrame, layout: str = "area", pos: str = "pos") -> DataFrame:

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregate, batches, history, nearest, registry, scan
+from ..operators import aggregate, batches, history, layout, nearest, packing, placement, registry, scan
 from ..sources import readers, scratch
 from .catalog import RATIOS, query, r6, table
 
@@ -204,3 +204,59 @@ def nearest_words(spark, sf):
     w = table(spark, sf, "benchmark").select("item_id", F.explode(F.split("text", " ")).alias("w"))
     cut = w.select("item_id", F.expr("substring(w, 2)").alias("v"))
     return nearest.nearest_words(w, cut, ["item_id"], "w", "v").select("item_id", "w", F.col("v").alias("nearest"), r6(F.col("ratio")).alias("ratio"))
+
+
+# -- packed sequences
+
+
+@query(
+    """WITH RECURSIVE d AS (SELECT doc_id, coalesce(length(text), 0) // 4 AS n, row_number() OVER (ORDER BY doc_id) - 1 AS row FROM documents),
+    p AS (SELECT doc_id, row, n, row // 512 AS run, 0 AS pack, CAST(0 AS BIGINT) AS start FROM d WHERE row % 512 = 0
+          UNION ALL SELECT d.doc_id, d.row, d.n, p.run, CASE WHEN p.start + p.n + d.n <= 2048 THEN p.pack ELSE p.pack + 1 END, CASE WHEN p.start + p.n + d.n <= 2048 THEN p.start + p.n ELSE 0 END FROM p JOIN d ON d.row = p.row + 1 AND d.row % 512 <> 0)
+    SELECT doc_id, concat(run, '-', pack) AS pack, start AS "begin" FROM p"""
+)
+def packed_sequences(spark, sf):
+    """Documents, of a token for every four characters, packed to 2048 tokens."""
+    d = table(spark, sf, "documents").select("doc_id", F.floor(F.coalesce(F.length("text"), F.lit(0)) / 4).alias("n"))
+    return packing.packed(d, "n", 2048, "doc_id").select("doc_id", "pack", "begin")
+
+
+@query(
+    """WITH s AS (SELECT conv_id, turn, length(text) AS n, CASE role WHEN 'user' THEN 'full' WHEN 'system' THEN 'noise' ELSE 'causal' END AS mode FROM conversations),
+    o AS (SELECT conv_id, turn, n, mode, sum(n) OVER (PARTITION BY conv_id ORDER BY turn) - n AS b FROM s),
+    k AS (SELECT x.conv_id, x.n * y.n AS n, x.turn > y.turn AND y.mode <> 'noise' AS seen, x.turn = y.turn AS own, CASE WHEN x.mode = 'causal' THEN x.n * (x.n + 1) // 2 ELSE x.n * x.n END AS mine FROM o x JOIN o y USING (conv_id))
+    SELECT conv_id, CAST(coalesce(sum(n) FILTER (seen), 0) + coalesce(sum(mine) FILTER (own), 0) AS BIGINT) AS cells FROM k GROUP BY 1"""
+)
+def attention_cells(spark, sf):
+    """How many pairs of characters of a conversation attend to each other: questions in full, answers causally, system turns only within themselves."""
+    role = F.when(F.col("role") == "user", "full").when(F.col("role") == "system", "noise").otherwise("causal")
+    d = table(spark, sf, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("n"), role.alias("mode"))
+    q = F.col("q_end") - F.col("q_begin")
+    cells = F.when(F.col("triangle"), F.floor(q * (q + 1) / 2)).otherwise(q * (F.col("k_end") - F.col("k_begin")))
+    return packing.attention_runs(d, "conv_id", "turn", "n", "mode").groupBy("conv_id").agg(F.sum(cells).cast("long").alias("cells"))
+
+
+@query("WITH p AS (SELECT p_partkey, p_size % 5 + 1 AS h, CAST(floor(p_retailprice) AS BIGINT) % 7 + 1 AS w FROM part) SELECT p_partkey, string_agg(CAST(y * 8 + x AS VARCHAR), ',' ORDER BY y, x) AS corner, string_agg(CAST((y * 8 // h) * 8 + x * 8 // w AS VARCHAR), ',' ORDER BY y, x) AS spread FROM (SELECT *, unnest(range(w)) AS x FROM (SELECT *, unnest(range(h)) AS y FROM p)) GROUP BY 1")
+def patch_grid(spark, sf):
+    """Positions of the patches of pictures of different sizes."""
+    h, w = (F.col("p_size") % 5 + 1) * 14, (F.floor("p_retailprice") % 7 + 1) * 14
+    text = lambda spread: F.array_join(packing.patch_positions(h, w, 14, 8, spread).cast("array<string>"), ",")
+    return table(spark, sf, "part").select("p_partkey", text(False).alias("corner"), text(True).alias("spread"))
+
+
+# -- placement
+
+
+@query(
+    """WITH p AS (SELECT s_suppkey, (s_suppkey % 7 + 2) / 10.0 AS x1, (s_nationkey % 9 + 1) / 10.0 AS y1, (s_nationkey % 7 + 2) / 10.0 AS x2, (s_suppkey % 9 + 1) / 10.0 AS y2 FROM supplier),
+    g AS (SELECT x.i / 10.0 AS x, y.i / 10.0 AS y FROM (SELECT unnest(range(2, 9)) AS i) x, (SELECT unnest(range(1, 10)) AS i) y),
+    c AS (SELECT s_suppkey, abs(a.x - x1) + abs(a.y - y1) + abs(b.x - x2) + abs(b.y - y2) AS cost FROM p, g a, g b WHERE abs(a.x - b.x) >= 0.4 - 1e-9 OR abs(a.y - b.y) >= 0.2 - 1e-9)
+    SELECT s_suppkey, pos, round(min(cost), 6) AS cost, true AS inside FROM c, (SELECT unnest([1, 2]) AS pos) GROUP BY 1, 2"""
+)
+def placed_regions(spark, sf):
+    """Two regions of 0.4 by 0.2 a supplier, near points made of its keys; the oracle tries all places of a grid that holds an optimum."""
+    s = table(spark, sf, "supplier")
+    point = lambda pos, a, b: F.struct(F.lit(pos).alias("pos"), ((F.col(a) % 7 + 2) / 10).alias("x"), ((F.col(b) % 9 + 1) / 10).alias("y"))
+    d = s.select("s_suppkey", F.explode(F.array(point(1, "s_suppkey", "s_nationkey"), point(2, "s_nationkey", "s_suppkey"))).alias("p")).select("s_suppkey", "p.*")
+    out = placement.placed(d, "s_suppkey", "pos", "x", "y", 0.08, (2.0,))
+    return out.select("s_suppkey", "pos", r6(F.col("cost")).alias("cost"), layout.region_ok(0.08, slack=1e-9).alias("inside"))

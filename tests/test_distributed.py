@@ -4,13 +4,14 @@ import difflib
 import os
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexigauge.functions import sequence
-from lexigauge.operators import aggregate, batches, history, nearest, registry, scan
+from lexigauge.operators import aggregate, batches, history, layout, nearest, packing, placement, registry, scan
 from lexigauge.sources import readers
 
 # -- lines
@@ -223,3 +224,93 @@ def test_metrics_by_name_scan_once(spark, tmp_path):
     assert by_unit["a"].wa == 0.5 and by_unit["z"].ned is None
     with pytest.raises(ValueError, match="no metric nothing"):
         registry.evaluate(df, [], {"x": ("nothing", ["n"])})
+
+
+# -- packing and placement
+
+
+def test_packed(spark):
+    rnd = random.Random(9)
+    lengths = [rnd.choice([None, 0, 5, 40, 99, 100, 250]) for _ in range(150)]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "i int, n int").withColumn("row", F.lit("mine"))
+    want = []
+    for run in range(0, 150, 20):
+        pack, used = -1, 0
+        for i in range(run, min(run + 20, 150)):
+            n = lengths[i] or 0
+            if pack < 0 or used + n > 100:
+                pack, used = pack + 1, 0
+            want.append((i, f"{run // 20}-{pack}", used))
+            used += n
+    got = packing.packed(df, "n", 100, "i", run=20)
+    assert sorted((r.i, r.pack, r.begin) for r in got.collect()) == want and got.columns == ["i", "n", "row", "pack", "begin"]
+    assert packing.packed(df.limit(0), "n", 100, "i").count() == 0
+
+
+def test_attention_runs(spark):
+    """The rectangles against a mask of cells."""
+    rnd = random.Random(10)
+    rows = [(s, i, rnd.randint(0, 4), rnd.choice(["causal", "full", "noise"])) for s in range(30) for i in range(rnd.randint(1, 7))]
+    got = packing.attention_runs(spark.createDataFrame(rows, "s int, i int, n int, m string"), "s", "i", "n", "m").collect()
+    for s in range(30):
+        splits = [(n, m) for x, _, n, m in rows if x == s]
+        size = sum(n for n, _ in splits)
+        mask = np.zeros((size, size), bool)
+        at = 0
+        for n, m in splits:
+            mask[at : at + n, at : at + n] = np.tril(np.ones((n, n))) if m == "causal" else True
+            mask[at : at + n, :at] = True
+            at += n
+        at = 0
+        for n, m in splits:
+            if m == "noise":
+                mask[:, at : at + n] = False
+                mask[at : at + n, at : at + n] = True
+            at += n
+        mine = np.zeros((size, size), int)
+        for r in (r for r in got if r.s == s):
+            box = np.ones((r.q_end - r.q_begin, r.k_end - r.k_begin), int)
+            mine[r.q_begin : r.q_end, r.k_begin : r.k_end] += np.tril(box) if r.triangle else box
+        assert (mine == mask).all()
+    assert len(got) <= 4 * len(rows)
+
+
+def on_the_grid(points, w=4, h=2):
+    """The least cost in tenths over all places of a grid that holds an optimum."""
+    spots = [(x, y) for x in range(w // 2, 11 - w // 2) for y in range(h // 2, 11 - h // 2)]
+    cost = lambda p, s: abs(p[0] - s[0]) + abs(p[1] - s[1])
+    apart = lambda a, b: abs(a[0] - b[0]) >= w or abs(a[1] - b[1]) >= h
+
+    def best(chosen, rest, least):
+        if not rest:
+            return 0
+        for s in sorted(spots, key=lambda s: cost(rest[0], s)):
+            c = cost(rest[0], s)
+            if c >= least:
+                break
+            if all(apart(s, t) for t in chosen):
+                least = min(least, c + best([*chosen, s], rest[1:], least - c))
+        return least
+
+    return best([], points, 10**6)
+
+
+def test_placement():
+    rnd = random.Random(11)
+    for n in (1, 2, 2, 2, 3, 3, 3, 3):
+        points = [(rnd.randint(2, 8), rnd.randint(1, 9)) for _ in range(n)]
+        cost, regions = placement.place([(x / 10, y / 10) for x, y in points], 0.08, (2.0,))
+        assert 10 * cost == pytest.approx(on_the_grid(points))
+        assert cost == pytest.approx(sum(abs(a + w / 2 - x / 10) + abs(b + h / 2 - y / 10) for (a, b, w, h), (x, y) in zip(regions, points)))
+    assert placement.place([(0.5, 0.5)] * 3, 0.5) is None and placement.place([], 0.1) == (0, [])
+
+
+def test_placement_of_five_with_open_shapes(spark):
+    points = [(0.5, 0.5), (0.5, 0.45), (0.2, 0.5), (0.8, 0.9), (0.4, 0.1)]
+    rows = [(k, i, *p) for k in range(3) for i, p in enumerate(points[: 3 + k])] + [(9, 0, 0.5, 0.5)]
+    d = spark.createDataFrame(rows, "layout int, pos int, x double, y double")
+    got = placement.placed(d, "layout", "pos", "x", "y", 0.06)
+    assert got.filter(layout.region_ok(0.06, slack=1e-9)).count() == len(rows)
+    assert layout.overlaps(got.withColumns({c: F.round(c, 9) for c in ("m_offset", "n_offset", "m_scale", "n_scale")}), "layout", "pos").count() == 0
+    one = {r.layout: r.cost for r in placement.placed(d, "layout", "pos", "x", "y", 0.06, (2.0,)).collect()}
+    assert all(r.cost <= one[r.layout] + 1e-9 for r in got.collect())
