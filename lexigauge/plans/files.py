@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text, vec
-from ..operators import report
-from ..sources import readers, scratch, sinks
+from ..operators import report, sample
+from ..sources import readers, scratch, sinks, workbooks
 from .catalog import query, r6, table
 
 PART = "p_partkey LONG, p_name STRING, p_size INT, p_retailprice DOUBLE"
@@ -272,3 +272,39 @@ def loaded_instructions(spark, sf):
     short = F.when(F.col("p_partkey") % 2 == 0, F.format_string('text: "%s"', "p_name")).otherwise(F.format_string('on the wall one can read "%s"', "p_name"))
     p = table(spark, sf, "part").select("p_partkey", F.lit("t").alias("type"), F.col("p_type").alias("long_description"), short.alias("short_description"))
     return _loaded(spark, sf, "instructions", p, order="p_partkey")
+
+
+# -- workbooks
+
+BOARD = "SELECT coalesce(lang, 'none') AS lang, round(avg(n_chars), 6) AS mean, CAST(max(n_chars) AS DOUBLE) AS longest, CAST(count(*) AS DOUBLE) AS n FROM documents GROUP BY 1"
+
+
+def _workbook(spark, sf):
+    """A workbook of a board with two header rows and a list with one, read back as cells."""
+    d = table(spark, sf, "documents")
+    board = d.groupBy(F.coalesce("lang", F.lit("none")).alias("lang")).agg(r6(F.avg("n_chars")).alias("mean"), F.max("n_chars").cast("double").alias("longest"), F.count(F.lit(1)).cast("double").alias("n"))
+    board = sample.with_row_numbers(board, "lang", name="row")
+    heads = [("lang", ""), ("length", "mean"), ("length", "longest"), ("rows", "n")]
+    regions = sample.with_row_numbers(table(spark, sf, "region").select("r_regionkey", "r_name"), "r_regionkey", name="row")
+    cells = workbooks.cells_of(board, "board", ["lang", "mean", "longest", "n"], heads, ("mean", "longest", "n"))
+    cells = cells.unionByName(workbooks.cells_of(regions, "regions & <all>", ["r_regionkey", "r_name"], [("key",), ("name",)]))
+    at = scratch.new_path(spark, "book") + ".xlsx"
+    workbooks.write(cells, at, ["board", "regions & <all>"])
+    return workbooks.read(spark, at)
+
+
+@query(f"WITH b AS ({BOARD}) SELECT row_number() OVER (ORDER BY lang) - 1 AS row, lang, mean AS \"length/mean\", longest AS \"length/longest\", n AS \"rows/n\" FROM b")
+def workbook_table(spark, sf):
+    """A sheet with two header rows as a table again."""
+    return workbooks.table(_workbook(spark, sf), "board", 2)
+
+
+@query(
+    f"""WITH b AS ({BOARD}), c AS (SELECT lang, 'mean' AS metric, mean AS value FROM b UNION ALL SELECT lang, 'longest', longest FROM b UNION ALL SELECT lang, 'n', n FROM b)
+    SELECT metric, count(*) AS cells, max(value) AS best, count(*) FILTER (value = (SELECT max(value) FROM c x WHERE x.metric = c.metric)) AS bold FROM c GROUP BY 1"""
+)
+def workbook_best(spark, sf):
+    """The best cell of each metric is bold in the sheet."""
+    d = _workbook(spark, sf).filter("sheet = 'board' AND row > 1 AND col > 0")
+    name = F.element_at(F.array(F.lit("mean"), F.lit("longest"), F.lit("n")), F.col("col").cast("int"))
+    return d.groupBy(name.alias("metric")).agg(F.count(F.lit(1)).alias("cells"), F.max("number").alias("best"), F.count_if("bold").alias("bold"))

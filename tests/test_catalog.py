@@ -12,7 +12,7 @@ from lexigauge.plans import catalog, distributed, evaluations, files  # noqa: F4
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
-WITH_PYTHON = {"response_parse", "nested_quotes", "typo_pairs", "gned", "seqmatch_best", "list_literals", "prompt_targets", "gned_three", "typo_of_word", "closest_of_list", "nearest_words", "placed_regions", "loaded_table_text", "loaded_regions", "loaded_instructions", "scored_samples", "classified_tokens"}
+WITH_PYTHON = {"response_parse", "nested_quotes", "typo_pairs", "gned", "seqmatch_best", "list_literals", "prompt_targets", "gned_three", "typo_of_word", "closest_of_list", "nearest_words", "placed_regions", "workbook_table", "workbook_best", "loaded_table_text", "loaded_regions", "loaded_instructions", "scored_samples", "classified_tokens"}
 ONE_ROW_PRODUCTS = {"grpo_advantage_global_std", "ungrouped_advantage", "largest_remainder"}
 
 
