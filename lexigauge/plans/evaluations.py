@@ -244,12 +244,12 @@ def prefixed_keys(spark, sf):
     return joins.prefixed_lookup(scores, meta, "key", {"b": "brands", "t": "types"}).select("key", "about", "p_name")
 
 
-@query("SELECT p_partkey % 50 AS pos, p_name FROM part WHERE p_partkey < 50")
+@query("SELECT a.p_partkey AS pos, b.p_partkey AS idx, b.p_name FROM part a JOIN part b ON b.p_partkey = a.p_partkey - a.p_partkey % 10")
 def gathered_rows(spark, sf):
-    """Rows picked by index; a sample of a given size is the feature."""
+    """Rows picked by index, each tenth one ten times."""
     rows = table(spark, sf, "part").select(F.col("p_partkey").alias("idx"), "p_name")
-    picks = spark.range(50).select(F.col("id").alias("pos"), F.col("id").alias("idx"))
-    return joins.gather(rows, picks, "idx").select("pos", "p_name")
+    picks = table(spark, sf, "part").select(F.col("p_partkey").alias("pos"), (F.col("p_partkey") - F.col("p_partkey") % 10).alias("idx"))
+    return joins.gather(rows, picks, "idx").select("pos", "idx", "p_name")
 
 
 @query("SELECT doc_id, coalesce(quality, 0) + 0.0 AS quality FROM documents LEFT JOIN labels USING (doc_id)")
@@ -297,9 +297,9 @@ def video_reward(spark, sf):
     return aggregate.every_nth_positive_mean(d, ["user_id"], "event_id", "reward").withColumn("reward", r6(F.col("reward")))
 
 
-@query("SELECT CASE WHEN source IN ('src0', 'src1') THEN concat(lang, '_EN') ELSE lang END AS model, count(*) AS n FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY 1")
+@query("WITH d AS (SELECT coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source FROM documents) SELECT CASE WHEN source IN ('src0', 'src1') THEN concat(lang, '_EN') ELSE lang END AS model, count(*) AS n FROM d GROUP BY 1")
 def board_names(spark, sf):
-    d = table(spark, sf, "documents").filter("lang IS NOT NULL AND source IS NOT NULL")
+    d = table(spark, sf, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("source", F.lit("none")).alias("source"))
     return d.groupBy(aggregate.board_name(F.col("lang"), F.concat(F.lit("x/"), "source", F.lit("/y")), ["/src0/", "/src1/"]).alias("model")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -322,18 +322,18 @@ def concatenated_batches(spark, sf):
     return aggregate.concat_lists(d, ["conv_id"], "v", "turn").select("conv_id", F.array_join("v", "|").alias("texts"), F.size("v").cast("long").alias("n"))
 
 
-@query("WITH c AS (SELECT lang, source, round_even(avg(n_chars), 3) AS v FROM documents WHERE lang IS NOT NULL GROUP BY 1, 2) SELECT lang, round(max(CASE WHEN source = 'src0' THEN v END), 3) AS src0, round(avg(v), 6) AS overall FROM c GROUP BY 1")
+@query("WITH c AS (SELECT coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source, round_even(avg(n_chars), 3) AS v FROM documents GROUP BY 1, 2) SELECT lang, round(max(CASE WHEN source = 'src0' THEN v END), 3) AS src0, round(avg(v), 6) AS overall FROM c GROUP BY 1")
 def evaluation_board(spark, sf):
     """Models by data sets, and the mean of the rounded cells."""
-    d = table(spark, sf, "documents").filter("lang IS NOT NULL").select("lang", "source", F.col("n_chars").cast("double").alias("chars"))
+    d = table(spark, sf, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("source", F.lit("none")).alias("source"), F.col("n_chars").cast("double").alias("chars"))
     b = evaluate.board(d, "source", "lang", ["chars"], ["src0"])["chars"]
     return b.select("lang", F.round("src0", 3).alias("src0"), r6(F.col("OVERALL")).alias("overall"))
 
 
-@query("SELECT lang, mean, row_number() OVER (ORDER BY mean DESC, lang) AS place FROM (SELECT lang, round(avg(n_chars), 6) AS mean FROM documents WHERE lang IS NOT NULL GROUP BY 1)")
+@query("SELECT lang, mean, row_number() OVER (ORDER BY mean DESC, lang) AS place FROM (SELECT coalesce(lang, 'none') AS lang, round(avg(n_chars), 6) AS mean FROM documents GROUP BY 1)")
 def ranked_models(spark, sf):
     """The order of a ranking, as numbers."""
-    d = table(spark, sf, "documents").filter("lang IS NOT NULL").groupBy("lang").agg(r6(F.avg("n_chars")).alias("mean"))
+    d = table(spark, sf, "documents").groupBy(F.coalesce("lang", F.lit("none")).alias("lang")).agg(r6(F.avg("n_chars")).alias("mean"))
     return sample.with_row_numbers(report.ranked(d, "mean", "lang"), F.col("mean").desc(), "lang", name="r").select("lang", "mean", (F.col("r") + 1).alias("place"))
 
 
@@ -510,13 +510,16 @@ def random_prompts(spark, sf):
     return d
 
 
-@query("SELECT i AS area, i AS regions, 0 AS overlapping FROM (SELECT unnest([1, 2, 3, 4, 5]) AS i)")
+@query(
+    """WITH p AS (SELECT p_partkey, p_size % 5 + 1 AS area FROM part) SELECT p_partkey, area, area AS regions, 0 AS overlapping, CASE area WHEN 1 THEN 0.48 WHEN 2 THEN 0.56 WHEN 3 THEN 0.48 WHEN 4 THEN 0.4 ELSE 0.44 END AS covered FROM p"""
+)
 def layout_tables(spark, sf):
-    """The fixed layouts and how many of their regions overlap."""
-    d = layout.fixed_layouts(spark)
-    n = d.groupBy("area").agg(F.count(F.lit(1)).alias("regions"))
-    o = layout.overlaps(d).groupBy("area").agg(F.count(F.lit(1)).alias("overlapping"))
-    return n.join(o, "area", "left").select("area", "regions", F.coalesce("overlapping", F.lit(0)).alias("overlapping"))
+    """Parts with as many texts as their sizes say, and their fixed layouts: regions, how many overlap, and what they cover."""
+    p = table(spark, sf, "part").select("p_partkey", (F.col("p_size") % 5 + 1).alias("area"))
+    fixed = layout.fixed_layouts(spark)
+    n = fixed.groupBy("area").agg(F.count(F.lit(1)).cast("int").alias("regions"), F.round(F.sum(F.col("m_scale") * F.col("n_scale")), 6).alias("covered"))
+    o = layout.overlaps(fixed).groupBy("area").agg(F.count(F.lit(1)).cast("int").alias("overlapping"))
+    return p.join(n, "area").join(o, "area", "left").select("p_partkey", "area", "regions", F.coalesce("overlapping", F.lit(0)).alias("overlapping"), "covered")
 
 
 @query(
@@ -547,3 +550,23 @@ def match_ratios(spark, sf):
     rec = F.element_at(F.array(F.reverse(t), F.concat(F.lit("鱼"), t), F.split(t, r"\.")[0]), (F.col("item_id") % 3 + 1).cast("int"))
     d = table(spark, sf, "benchmark").select(zh.alias("zh"), F.when(zh == 1, F.concat(t, F.lit("鱼龙"))).otherwise(t).alias("gt"), rec.alias("rec"))
     return aggregate.match_ratio(d, ["zh"], "gt", "rec").withColumn("ratio", r6(F.col("ratio")))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round((0.5 * l_discount + 0.5 * l_tax) / 1.0, 6) AS eval, round((0.5 * l_discount + 0.5 * l_tax) / 1.0, 6) AS amp5, round(l_tax, 6) AS \"default\" FROM lineitem")
+def composite_presets(spark, sf):
+    """Quality and semantics under the three presets of weights."""
+    both = F.col("l_discount"), F.col("l_tax")
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", *[r6(vec.composite(*both, preset)).alias(preset) for preset in vec.PRESETS])
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, p_name, p_partkey % 6 AS marks, p_partkey % 4 AS kind, length(replace(p_name, ' ', '')) + p_partkey % 6 AS n FROM part)
+    SELECT p_partkey, CASE kind WHEN 3 THEN -1 ELSE CASE WHEN marks <= 0.05 * n THEN 2 WHEN marks <= 0.25 * n THEN 1 ELSE 0 END END AS quality, CASE WHEN kind = 3 THEN '<JSON_ERROR>' ELSE concat(p_name, repeat('#', marks)) END AS recognised FROM p"""
+)
+def scored_without_reference(spark, sf):
+    """Graded responses without a reference: names with up to five marks, some in broken JSON, some no JSON at all."""
+    rec = F.concat("p_name", F.repeat(F.lit("#"), (F.col("p_partkey") % 6).cast("int")))
+    whole = F.to_json(F.struct(rec.alias("recognized_text")))
+    response = F.element_at(F.array(whole, F.concat(F.lit("Here:\n```json\n"), whole, F.lit("\n```")), F.concat(F.lit("so "), whole), F.col("p_type")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    d = table(spark, sf, "part").select("p_partkey", parse.score_levels(response, F.lit(None).cast("string"), reference_free=True).alias("l"))
+    return d.select("p_partkey", F.coalesce("l.quality", F.lit(-1)).alias("quality"), "l.recognised")

@@ -168,10 +168,10 @@ def json_safe_values(spark, sf):
     return d.select("vec_id", "label", r6(total).alias("total"), F.size("embedding").cast("long").alias("n"), F.col("day").cast("timestamp_ntz").alias("day"))
 
 
-@query("WITH s AS (SELECT lang, source, avg(n_chars) AS m FROM documents WHERE doc_id % 5 <> 0 AND lang IS NOT NULL GROUP BY 1, 2) SELECT lang, coalesce(max(CASE WHEN source = 'src0' THEN printf('%.3f', round_even(m, 3)) END), 'NA') AS src0, coalesce(max(CASE WHEN source = 'none' THEN printf('%.3f', m) END), 'NA') AS none FROM s GROUP BY 1")
+@query("WITH s AS (SELECT coalesce(lang, 'none') AS lang, source, avg(n_chars) AS m FROM documents GROUP BY 1, 2) SELECT lang, coalesce(max(CASE WHEN source = 'src0' THEN printf('%.3f', round_even(m, 3)) END), 'NA') AS src0, coalesce(max(CASE WHEN source = 'none' THEN printf('%.3f', m) END), 'NA') AS none FROM s GROUP BY 1")
 def text_table(spark, sf):
     """A table of fixed columns and digits; a data set without rows shows NA."""
-    d = table(spark, sf, "documents").filter("doc_id % 5 <> 0 AND lang IS NOT NULL").groupBy("lang", "source").agg(F.avg("n_chars").alias("m"))
+    d = table(spark, sf, "documents").groupBy(F.coalesce("lang", F.lit("none")).alias("lang"), "source").agg(F.avg("n_chars").alias("m"))
     return report.as_text(report.pivot_table(d, "lang", "source", "m", ["src0", "none"]), ["src0", "none"])
 
 
