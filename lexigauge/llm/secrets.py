@@ -7,7 +7,8 @@ found; base64 words that stand for plain text are decoded in place too; and ever
 base64 word of 16 characters or more, also one that is wrapped over lines, is
 decoded by itself. Its bytes are read as UTF-8, where bytes that aren't keep a
 place of their own, as UTF-16 where every other byte is nearly always zero, and
-inflated, as often as it takes, if they are a gzip or zlib stream.
+inflated, as often as it takes, if they are a gzip, zlib, bzip2 or xz stream, or a
+deflated one without header that holds text; a stream that holds itself ends.
 
 Each unwrapped layer goes on the worklist, until nothing is left to unwrap. A
 layer with the content and the place of one seen before in this text is not
@@ -17,7 +18,8 @@ it comes from, so a finding in any depth maps to a span of the original.
 
 Memory is bounded: layers are unwrapped one at a time, depth first, and a stream
 is inflated ``INFLATED`` bytes at a time, each part scanned with the last
-``OVERLAP`` characters of the part before it. All of it is read.
+``OVERLAP`` characters of the part before it, and with all of a base64 word that
+goes on. All of it is read.
 
 Base spans are those of the original text and always stay; spans from deeper
 layers are added unless equal to one that is there. A null text counts as empty
@@ -27,10 +29,14 @@ and gives no spans. Rows are judged one by one; nothing is shuffled.
 from __future__ import annotations
 
 import base64
+import bz2
+import lzma
 import re
+import string
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +55,8 @@ WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-
 #: A base64 word whose bytes may all be printable ASCII, by the first character of each four.
 PLAIN64 = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:[I-Za-f][A-Za-z0-9+/]{3})+(?:[I-Za-f][A-Za-z0-9+/]={0,2}|[I-Za-f][A-Za-z0-9+/]{2}=?)?(?![A-Za-z0-9+/_=-])")
 INFLATED, OVERLAP = 1 << 24, 1 << 16
+BLANKS = dict.fromkeys(b"\t\n\r", " ")
+WORD64 = string.ascii_letters + string.digits + "+/_=-"
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -102,29 +110,82 @@ def _wide(data: bytes, at: np.ndarray, to: np.ndarray) -> Layer | None:
     return Layer(s, at[0 : 2 * len(s) : 2], to[1 : 2 * len(s) : 2])
 
 
-def _inflated(data: Iterator[bytes], depth: int = 0) -> Iterator[bytes]:
-    """Parts of the stream's content, inflated as often as it is a stream again; nothing if it isn't one or is broken at its start."""
-    first = next(data, b"")
-    bits = 31 if first[:2] == b"\x1f\x8b" else 15 if first[:1] == b"\x78" else None
-    if bits is None or depth > 16:  # a stream may hold itself
-        if depth and first:
-            yield first
-            yield from data
-        return
+def _unpacker(data: bytes):
+    """What inflates a stream that starts like this (a function of bytes, with ``eof``), or None: gzip, zlib with any window, bzip2, xz."""
+    if data[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if data[:3] == b"BZh" and data[3:4].isdigit():
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\0":
+        return lzma.LZMADecompressor()
+    if len(data) > 2 and data[0] & 15 == 8 and data[0] >> 4 < 8 and (data[0] << 8 | data[1]) % 31 == 0 and not data[1] & 32:
+        return zlib.decompressobj(15)
+    return None
+
 
-    def parts() -> Iterator[bytes]:
-        d, part = zlib.decompressobj(bits), first
-        try:
-            while part and not d.eof:
-                if out := d.decompress(part, INFLATED):
+def _parts(data: Iterator[bytes], d) -> Iterator[bytes]:
+    """Content of a stream, ``INFLATED`` bytes at a time; what a broken one gives before its break."""
+    try:
+        for piece in data:
+            while not d.eof:
+                out = d.decompress(piece, INFLATED)
+                if out:
                     yield out
-                part = d.unconsumed_tail or next(data, b"")
-            if out := d.flush():
-                yield out
-        except zlib.error:
-            return
+                piece = getattr(d, "unconsumed_tail", b"")
+                if not piece and (not out or getattr(d, "needs_input", True)):
+                    break
+            if d.eof:
+                return
+        if hasattr(d, "flush") and (out := d.flush()):
+            yield out
+    except (zlib.error, OSError, lzma.LZMAError, EOFError):
+        return
+
 
-    yield from _inflated(parts(), depth + 1)
+def _raw(data: bytes) -> bytes:
+    """Content of a deflated stream without any header, if it is one to its end and holds text; else nothing."""
+    d = zlib.decompressobj(-15)
+    try:
+        out = d.decompress(data, INFLATED)
+        return out if d.eof and not d.unused_data and len(out) > 3 and out.decode().translate(BLANKS).isprintable() else b""
+    except (zlib.error, ValueError):
+        return b""
+
+
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """Parts of a stream's content, inflated until it is a stream no more; nothing if it isn't one or is broken at its start.
+
+    A content that came before ends it, as of a stream that holds itself. Beyond
+    ``INFLATED`` bytes a content is passed on in parts.
+    """
+    seen: set[bytes] = set()
+    while (d := _unpacker(data)) is not None:
+        key = xxhash.xxh3_128_digest(data)
+        if key in seen:
+            return
+        seen.add(key)
+        parts, held = _parts(iter([data]), d), []
+        for part in parts:
+            held.append(part)
+            if sum(map(len, held)) > INFLATED:
+                yield from _long(chain(held, parts))
+                return
+        data = b"".join(held)
+    if not seen and (out := _raw(data)):
+        yield from (_inflated(out) if _unpacker(out) else [out])
+    elif seen and data:
+        yield data
+
+
+def _long(parts: Iterator[bytes], depth: int = 0) -> Iterator[bytes]:
+    """A content of many parts, inflated if it is a stream again; every level holds more than ``INFLATED`` bytes."""
+    first = next(parts, b"")
+    d = _unpacker(first) if depth < 100 else None
+    if d is None:
+        yield first
+        yield from parts
+    else:
+        yield from _long(_parts(chain([first], parts), d), depth + 1)
 
 
 def _percent(m: re.Match, x: Layer) -> tuple:
@@ -187,12 +248,12 @@ def _base64(x: Layer, at: int, word: str, places: np.ndarray) -> Iterator[Layer]
         return
     places = places[: len(word.rstrip("="))]
     rest = ""
-    for part in _inflated(iter([data])):
+    for part in _inflated(data):
         s = rest + part.decode("utf-8", "replace")
         for t in (s, part.decode("utf-16-le", "replace") if part[1:2] == b"\0" else ""):
             if t:
                 yield Layer(t, np.broadcast_to(x.at[places[0]], len(t)), np.broadcast_to(x.to[places[-1]], len(t)))
-        rest = s[-OVERLAP:]
+        rest = s[-max(OVERLAP, len(s) - len(s.rstrip(WORD64))) :]
     p, q = _spans64(len(data), x.at[places], x.to[places])
     yield _text_of(data, p, q)
     if wide := _wide(data, p, q):
@@ -207,9 +268,10 @@ def unwrapped(x: Layer) -> Iterator[Layer]:
             found = [f for m in pattern.finditer(t) if (f := decode(m, x))]
             if found:
                 yield _within(x, found)
-    for m in BASE64.finditer(t):
-        yield from _base64(x, m.start(), m[0], np.arange(m.start(), m.end()))
-    if "\n" in t:
+    word = None
+    for word in BASE64.finditer(t):
+        yield from _base64(x, word.start(), word[0], np.arange(word.start(), word.end()))
+    if word and "\n" in t:
         for m in WRAPPED.finditer(t):
             keep = np.array([i for i, c in enumerate(m[0], m.start()) if c not in "\r\n \t"])
             yield from _base64(x, m.start(), re.sub(r"[\r\n \t]", "", m[0]), keep)
