@@ -55,9 +55,11 @@ def affine_scan(df: DataFrame, keys: list[str], order: list[str], a: Column, b:
     The maps of neighbours compose to one, so ranges are composed first and filled
     in afterwards: no list is longer than ``chunk``, however many rows a key has.
     Keys have no nulls; ties in the order are broken by nothing, so give a whole one.
+    Columns of ``df`` may have any name but ``at`` where the maps use the place.
     """
-    d = with_places(df, keys, order)
-    maps = d.select(*keys, "at", F.struct(*[c for c in df.columns if c not in keys]).alias("row"), a.cast("double").alias("a"), b.cast("double").alias("b"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in keys])
+    d = with_places(df.withColumn("__rest", rest), keys, order)
+    maps = d.select(*keys, "at", F.col("__rest").alias("row"), a.cast("double").alias("a"), b.cast("double").alias("b"))
     done = _entries(maps, starts, keys, chunk)
     return done.select(*keys, F.col("row.*"), (F.col("a") * F.col("entry") + F.col("b")).alias(out))
 

@@ -6,13 +6,12 @@ six digits on both sides, since engines add in different orders.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import assign, match, parse, sequence, text, vec
 from ..operators import aggregate, joins, layout, registry, report, reward, sample
+from ..sources import scratch
 from ..streaming import rewards as streams
 
 QUERIES: dict = {}
@@ -261,11 +260,21 @@ def bag_classify(spark, sf):
     return d.select("conv_id", "turn", *[F.size(f"b.{k}").cast("long").alias(k) for k in ("correct", "duplicate", "irrelevant", "missing")])
 
 
-@query()
+@query(
+    f"""WITH p AS (SELECT p_partkey, split_part(lower(p_name), ' ', 1) AS a1, split_part(lower(p_name), ' ', 2) AS a2 FROM part), x AS (SELECT *, substring(a2, 2) AS x1, reverse(a1) AS x2 FROM p),
+    d AS (SELECT *, {NED.format("x1", "a1")} AS d11, {NED.format("x2", "a2")} AS d22, {NED.format("x1", "a2")} AS d12, {NED.format("x2", "a1")} AS d21 FROM x),
+    c AS (SELECT *, abs(d11 + d22 - d12 - d21) < 1e-9 AS tie, d12 + d21 < d11 + d22 AS swapped FROM d), m AS (SELECT *, CASE WHEN swapped THEN d12 ELSE d11 END < 0.5 AS one, CASE WHEN swapped THEN d21 ELSE d22 END < 0.5 AS two FROM c)
+    SELECT p_partkey, CASE WHEN tie THEN '?' ELSE concat_ws(' ', CASE WHEN one THEN x1 END, CASE WHEN two THEN x2 END) END AS typo, CASE WHEN tie THEN '?' ELSE concat_ws(' ', CASE WHEN NOT one THEN x1 END, CASE WHEN NOT two THEN x2 END) END AS irrelevant,
+           CASE WHEN tie THEN '?' ELSE concat_ws(' ', CASE WHEN NOT CASE WHEN swapped THEN two ELSE one END THEN a1 END, CASE WHEN NOT CASE WHEN swapped THEN one ELSE two END THEN a2 END) END AS missing FROM m"""
+)
 def typo_pairs(spark, sf):
-    b = match.bag_classify(F.split("a", " "), F.concat(F.split("a", " "), F.split(F.translate("a", "ei", "ie"), " "), F.split("b", " ")))
-    d = _parts(spark, sf).select("p_partkey", b.alias("b")).select("p_partkey", assign.typo_pairs("b.irrelevant", "b.missing").alias("t"))
-    return d.select("p_partkey", F.array_join("t.typo", " ").alias("typo"), F.array_join("t.irrelevant", " ").alias("irrelevant"), F.array_join("t.missing", " ").alias("missing"))
+    """Two expected words, one read without its first letter and one backwards; what two assignments cost alike isn't told apart."""
+    a1, a2 = F.split_part("a", F.lit(" "), F.lit(1)), F.split_part("a", F.lit(" "), F.lit(2))
+    d = _parts(spark, sf).select("p_partkey", a1.alias("a1"), a2.alias("a2")).withColumn("x1", F.expr("substring(a2, 2)")).withColumn("x2", F.reverse("a1"))
+    ned = lambda x, y: match.ned(F.col(x), F.col(y))
+    d = d.withColumn("tie", F.abs(ned("x1", "a1") + ned("x2", "a2") - ned("x1", "a2") - ned("x2", "a1")) < 1e-9)
+    d = d.select("p_partkey", "tie", match.bag_classify(F.array("a1", "a2"), F.array("x1", "x2")).alias("b")).select("p_partkey", "tie", assign.typo_pairs("b.irrelevant", "b.missing").alias("t"))
+    return d.select("p_partkey", *[F.when(F.col("tie"), "?").otherwise(F.array_join(f"t.{k}", " ")).alias(k) for k in ("typo", "irrelevant", "missing")])
 
 
 @query(
@@ -627,13 +636,13 @@ def windowed_rewards(spark, sf):
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2")
 def streamed_rewards(spark, sf):
-    """The same as a stream, run to its end into a memory table; the result has a row for each hour and type."""
-    name = f"rewards_{uuid.uuid4().hex}"
+    """The same as a stream, run to its end; every batch replaces the written result, so nothing is gathered in the driver."""
+    at = scratch.new_path(spark, "stream")
     schema = table(spark, sf, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf}/events.parquet" if _is_folder(spark, f"{sf}/events.parquet") else f"{sf}/events.parque[t]")
-    q = streams.windowed_means(source).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select("start", "event_type", "n", r6(F.col("mean_value")).alias("mean_value"))
+    done = streams.windowed_means(source).writeStream.outputMode("complete").foreachBatch(lambda d, _: d.write.mode("overwrite").parquet(f"{at}/result"))
+    done.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/result").select("start", "event_type", "n", r6(F.col("mean_value")).alias("mean_value"))
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:

@@ -75,14 +75,14 @@ def test_moving_average(spark, chunk):
     """A hot key that needs several levels of chunks, a key of one row, nulls, columns of clashing names."""
     rnd = random.Random(chunk)
     rows = [(i, "hot" if i % 3 else f"k{i % 7}", rnd.choice([None, rnd.uniform(-5, 5), rnd.uniform(0, 1)])) for i in range(120)] + [(500, "one", 3.0)]
-    df = spark.createDataFrame(rows, "i int, k string, v double").withColumn("at", F.lit("mine")).withColumn("a", F.lit(1)).repartition(3)
-    got = scan.moving_average(df.drop("at", "a"), ["k"], ["i"], "v", 0.9, 2, chunk=chunk)
+    df = spark.createDataFrame(rows, "i int, k string, v double").withColumn("at", F.lit("mine")).withColumn("a", F.lit(1)).withColumn("entry", F.lit(2)).repartition(3)
+    got = scan.moving_average(df, ["k"], ["i"], "v", 0.9, 2, chunk=chunk)
     want = {}
     for key in {k for _, k, _ in rows}:
         want |= dict(slow_average([(i, v) for i, k, v in rows if k == key], 0.9, 2))
     assert {r.i: r.ema for r in got.collect()} == {i: None if v is None else pytest.approx(v) for i, v in want.items()}
-    assert got.columns == ["k", "i", "v", "ema"]
-    assert scan.moving_average(df.drop("at", "a").limit(0), ["k"], ["i"], "v", 0.9, chunk=chunk).count() == 0
+    assert got.columns == ["k", "i", "v", "at", "a", "entry", "ema"] and {(r["at"], r.a, r.entry) for r in got.collect()} == {("mine", 1, 2)}
+    assert scan.moving_average(df.limit(0), ["k"], ["i"], "v", 0.9, chunk=chunk).count() == 0
 
 
 def test_places_are_dense(spark):
