@@ -91,3 +91,19 @@ def test_common_in_little_memory(monkeypatch):
         assert len(whole) == len(parts)
         rest = iter(b)
         assert all(a[i] in rest for i in sorted(parts))
+
+
+def test_without_broadcast(spark, monkeypatch):
+    """The join by shuffle, which large key tables get, gives the same texts."""
+    rows = [(i, f"http://h{i % 3}.org/{'ab'[i % 2]}/{i}", page(f"own text of this page {i}", (f"menu of {i % 3}", "footer"))) for i in range(60)] + [(None, None, None), (7, "http://h1.org/b/7", page("another text under the same id", ("menu of 1", "footer")))]
+    d = spark.createDataFrame(rows, SCHEMA)
+    want = sorted(map(repr, pages.main_text(d, run=8).collect()))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr("lexigauge.llm.base.BROADCAST_BYTES", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = pages.main_text(d, run=8)
+        assert "SortMergeJoin" in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(repr, got.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
